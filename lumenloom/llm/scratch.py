@@ -1,0 +1,59 @@
+"""Intermediate tables in the folder that all executors share.
+
+Lineage is cut by writing a table and reading it back: each part is committed once, so a lost
+executor costs its unfinished tasks and nothing that was already written. The folder is the one
+the cluster names in ``spark.checkpoint.dir``; only a local session without that setting gets a
+folder of its own.
+"""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SETTING = "spark.checkpoint.dir"
+_removed_at_exit: set[str] = set()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``."""
+    base = spark.conf.get(_SETTING, None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lumenloom-")
+        spark.conf.set(_SETTING, base)
+    folder = f"{base.rstrip('/')}/lumenloom-{spark.sparkContext.applicationId}"
+    if folder not in _removed_at_exit:
+        _removed_at_exit.add(folder)
+        atexit.register(_remove_quietly, spark, folder)
+    return folder
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder; what comes back reads that table and nothing else."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
+    except Exception:  # the session may be gone by now; its folder then stays
+        pass
