@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenloom.llm.chat_format import OP1_SQL, op1_chat_format
 from lumenloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from lumenloom.llm.mixing import OP8_SQL, op8_mix_sources
+from lumenloom.llm.near_dedup import op6_minhash_dedup
 from lumenloom.llm.packing import op9_pack_sequences
 from lumenloom.llm.quality import OP4_SQL, op4_quality_rules
 from lumenloom.llm.token_counts import op10_token_counts
 
-_QUERIES = [op1_chat_format, op3_exact_dedup, op4_quality_rules, op8_mix_sources, op9_pack_sequences, op10_token_counts]
+_QUERIES = [op1_chat_format, op3_exact_dedup, op4_quality_rules, op6_minhash_dedup, op8_mix_sources, op9_pack_sequences, op10_token_counts]
 _SQL = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_mix_sources": OP8_SQL}
 
 
