@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.scratch import cut
+from lumenloom.scratch import cut
 
 
 def _large(edges: DataFrame) -> DataFrame:
