@@ -3,8 +3,8 @@
 Rows with equal shingle sets are one class, which the smallest id stands for. Classes meet in
 buckets of equal band keys. Within a bucket no list of pairs is made: first every member is
 compared with the bucket's least member, which joins most large groups; then, with the components
-known, only members of different components are compared, the smaller components' against all
-others. Pairs within one component can add nothing, so no link that could change a component is
+known, the members outside a bucket's largest component are compared with the others, in blocks
+of sets that are multiplied as matrices. Pairs within one component can add nothing, so no link that could change a component is
 left out, however large a bucket is.
 """
 
@@ -14,18 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.llm.bytewords import SLICE_BYTES, slices
-from lumenloom.llm.components import components
-from lumenloom.llm.scratch import cut
+from lumenloom.operators.graph import components
+from lumenloom.scratch import cut
 
 SIMILARITY_PERCENT = 80
 #: 30 bands of 5 coordinates: a pair at 0.8 shares no band with probability (1 - 0.8^5)^30, 7 in a million.
 BANDS, ROWS = 30, 5
 #: Ids of eight bytes that are broadcast to filter the second reading of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Sets in a block, of all members and of those outside the largest component, and shingles in a piece of a block's matrix.
+BLOCK, FEW_BLOCK, _COLUMNS = 64, 256, 4096
 
 
 def _signatures(size: int, bands: int, rows: int, slice_bytes: int):
@@ -94,7 +96,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = SIMILARITY_PER
     stars = shared.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     links = cut(_linked(stars, sets, percent), "links")
     labels = components(links)
-    more = cut(_linked(_crossing(shared, labels), sets, percent), "links")
+    more = cut(_crossing(shared, labels, sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = classes.join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("label", "node").alias("component"))
@@ -103,19 +105,80 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = SIMILARITY_PER
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _crossing(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are in different components and were not compared yet."""
+def _blocks(rows: DataFrame, name: str, blocks: Column) -> DataFrame:
+    """The rows of each key in about ``blocks`` lists of their sets."""
+    number = F.pmod(F.xxhash64("node"), blocks.cast("long")).alias("block")
+    return rows.groupBy("key", number).agg(F.collect_list(F.struct("node", "label", "set")).alias(name)).select("key", name)
+
+
+def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row the nodes, labels, set sizes and set values of its list."""
+    flat = column.flatten()
+    nodes, labels, sets = (flat.field(k) for k in range(3))
+    at = np.asarray(column.offsets) - column.offsets[0].as_py()
+    begin = np.asarray(sets.offsets)
+    values = np.asarray(sets.values)
+    nodes, labels = np.asarray(nodes), np.asarray(labels)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield nodes[a:b], labels[a:b], np.diff(begin[a : b + 1]), values[begin[a] : begin[b]]
+
+
+def common_sizes(sizes: np.ndarray, values: np.ndarray, other_sizes: np.ndarray, other_values: np.ndarray) -> np.ndarray:
+    """Of each set with each other set the size of what they have in common: a product of two 0/1 matrices, by columns of shingles that both sides have."""
+    shared = np.intersect1d(values, other_values)
+    out = np.zeros((len(sizes), len(other_sizes)), np.float32)
+
+    def placed(sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, col = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(shared, values)
+        ok = col < len(shared)
+        ok[ok] = shared[col[ok]] == values[ok]
+        order = np.argsort(col[ok], kind="stable")
+        return row[ok][order], col[ok][order]
+
+    (ra, ca), (rb, cb) = placed(sizes, values), placed(other_sizes, other_values)
+    for start in range(0, len(shared), _COLUMNS):
+        parts = []
+        for n, r, c in ((len(sizes), ra, ca), (len(other_sizes), rb, cb)):
+            i, j = np.searchsorted(c, [start, start + _COLUMNS])
+            dense = np.zeros((n, min(_COLUMNS, len(shared) - start)), np.float32)
+            dense[r[i:j], c[i:j] - start] = 1
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _compare_blocks(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for (n1, l1, s1, v1), (n2, l2, s2, v2) in zip(_lists(batch.column(0)), _lists(batch.column(1)), strict=True):
+                common = common_sizes(s1, v1, s2, v2)
+                alike = (100 * common >= percent * (s1[:, None] + s2[None, :] - common)) & (l1[:, None] != l2[None, :])
+                i, j = np.nonzero(alike)
+                found.append(np.stack([np.minimum(n1[i], n2[j]), np.maximum(n1[i], n2[j])]))
+            if found:
+                u, v = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
+
+
+def _crossing(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket that are in different components.
+
+    A bucket's members outside its largest component are compared with all of its members, in
+    blocks: a row holds some sets of both sides, so pairs are not made into rows, a task holds two
+    blocks at a time, and a large bucket is many independent rows.
+    """
     label = labels.withColumnRenamed("node", "l_node")
-    many = shared.where("c > 2").join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", "center", F.coalesce("label", "node").alias("label"))
+    many = shared.where("c > 2").join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     parts = many.groupBy("key", "label").agg(F.count("*").alias("k"))
-    largest = parts.groupBy("key").agg(F.max("k").alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = cut(many.join(largest.select("key"), "key", "left_semi"), "open")
-    sized = open_.groupBy("key", "label").agg(F.count("*").alias("k"))
-    order = F.struct("k", "label")
-    head = sized.groupBy("key").agg(F.max(order).alias("head")).select("key", F.col("head.label").alias("head"))
-    few = open_.join(head, "key").where("label <> head").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    met = few.join(open_, "key").where("la <> label AND a <> center AND node <> center")
-    return met.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).distinct()
+    heads = parts.groupBy("key").agg(F.max(F.struct("k", "label")).alias("head"), F.sum("k").alias("c"), F.count("*").alias("parts")).where("parts > 1")
+    heads = heads.select("key", F.col("head.label").alias("head"), F.ceil(F.col("c") / BLOCK).alias("all_blocks"), F.ceil((F.col("c") - F.col("head.k")) / FEW_BLOCK).alias("few_blocks"))
+    opened = cut(many.join(heads, "key"), "open").join(sets, "node")
+    few = _blocks(opened.where("label <> head"), "few", F.col("few_blocks"))
+    every = _blocks(opened, "every", F.col("all_blocks"))
+    return few.join(every, "key").select("few", "every").mapInArrow(_compare_blocks(percent), "u long, v long").distinct()
 
 
 def drop_near(docs: DataFrame, shingle: int = 5, percent: int = SIMILARITY_PERCENT) -> DataFrame:
