@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _LONG_WORD = 512

@@ -18,7 +18,7 @@ import numpy as np
 from lumenloom.llm.bytewords import ragged, spans_hash
 
 #: Distinct pieces that a worker keeps; later ones are encoded anew in each slice.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 200_000
 #: Pieces that the library encodes in one call.
 CALL_UNITS = 8_192
 
