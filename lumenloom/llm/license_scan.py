@@ -147,7 +147,7 @@ def _scan(vocabulary: list[bytes], phrases: list[tuple[list[int], str]], join: J
                 hits = np.flatnonzero(s.word >= 0)
                 line, doc, word = s.lines(hits), text_of(hits), s.word[hits]
                 edges = np.flatnonzero(np.diff(line, prepend=-1))
-                for a, b in zip(edges.tolist(), np.append(edges[1:], len(hits)).tolist(), strict=True):
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(hits)], strict=False):  # no edge, no line
                     if in_prefix[word[a:b]].any():
                         block = set(word[a:b].tolist())
                         found = join.matches(block, len(block))
