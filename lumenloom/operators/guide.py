@@ -226,7 +226,7 @@ def compare(a: Guide, b: Guide, aliases: dict | None = None) -> tuple[DataFrame,
 
 def compare_summary(breakdown: DataFrame, differences: DataFrame) -> DataFrame:
     channels = breakdown.agg(
-        F.count_if("in_a").alias("channels_a"), F.count_if("in_b").alias("channels_b"), F.count_if("in_a AND in_b").alias("common"), F.count_if("in_a AND NOT in_b").alias("only_a_channels"), F.count_if("in_b AND NOT in_a").alias("only_b_channels"),
+        F.count_if("in_a").alias("channels_a"), F.count_if("in_b").alias("channels_b"), F.count_if(F.col("in_a") & F.col("in_b")).alias("common"), F.count_if(F.col("in_a") & ~F.col("in_b")).alias("only_a_channels"), F.count_if(F.col("in_b") & ~F.col("in_a")).alias("only_b_channels"),
         F.sum("programmes_a").alias("programmes_a"), F.sum("programmes_b").alias("programmes_b"), F.sum("matched").alias("matched"),
     )
     slots = differences.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("changed", "only_a", "only_b")])

@@ -261,7 +261,7 @@ def build(entries: DataFrame, options: PlaylistOptions | None = None) -> Playlis
     unique = drop_repeated_urls(named, o.unify_scheme)
     out = finalise(unique, o.style, o.infer_id)
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    tables = [n(entries, "parsed"), n(kept, "selected"), grouped.agg(F.count_distinct("channel_key").alias("groups"), F.count_if("copy_no > 0").alias("backups")), n(collapsed, "collapsed"), n(capped, "capped"), n(named, "named"), n(out, "written")]
+    tables = [n(entries, "parsed"), n(kept, "selected"), grouped.agg(F.count_distinct("channel_key").alias("groups"), F.count_if(F.col("copy_no") > 0).alias("backups")), n(collapsed, "collapsed"), n(capped, "capped"), n(named, "named"), n(out, "written")]
     stats = reduce(lambda a, b: a.crossJoin(b), tables)  # one-row tables
     found = grouped.agg(F.count("*").alias("grouped"))
     stats = stats.crossJoin(found).select("parsed", "selected", "groups", F.col("backups").alias("backups_found"), (F.col("grouped") - F.col("collapsed")).alias("collapsed_duplicates"), (F.col("collapsed") - F.col("capped")).alias("max_copies_dropped"), (F.col("capped") - F.col("named")).alias("dropped_copies"), (F.col("named") - F.col("written")).alias("duplicate_urls_dropped"), "written")

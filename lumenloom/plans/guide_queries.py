@@ -186,12 +186,12 @@ def published_order(spark, sf_dir):
 
 @query("SELECT event_id, CAST(unnest(generate_series(CAST(ts AS DATE) - INTERVAL 1 DAY, CAST(ts AS DATE) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS DATE)::VARCHAR AS day FROM events")
 def date_window(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.explode(I.date_window(F.to_date("ts"), 1, 2)).cast("string").alias("day"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.transform(I.date_window(F.to_date("ts"), 1, 2), lambda d: d.cast("string"))).alias("day"))
 
 
 @query("SELECT event_id, CAST(unnest(generate_series(date_trunc('week', CAST(ts AS DATE)), date_trunc('week', CAST(ts AS DATE)) + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS DATE)::VARCHAR AS day, CAST(isodow(ts) - 1 AS INTEGER) AS weekday FROM events")
 def week_window(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.explode(I.week_days(F.to_date("ts"))).cast("string").alias("day"), F.weekday(F.to_date("ts")).alias("weekday"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.transform(I.week_days(F.to_date("ts")), lambda d: d.cast("string"))).alias("day"), F.weekday(F.to_date("ts")).alias("weekday"))
 
 
 def _shifted(spark, sf_dir) -> DataFrame:
