@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import text as X
 from lumenloom.operators.graph import components
+from lumenloom.scratch import cut
 
 STYLES = ("numbered", "parenthesized", "none", "backup", "source", "keep-first", "fail")
 
@@ -213,11 +214,10 @@ def _numbered(rows: DataFrame, want: str, numbered) -> DataFrame:
     out = rows.withColumn("_n", F.row_number().over(Window.partitionBy(low).orderBy(*order)))
     given = F.when(F.col("_n") == 1, F.col(want)).otherwise(numbered(F.col(want), F.col("_n")))
     while True:
-        out = out.withColumn("_given", given)
         clash = F.row_number().over(Window.partitionBy(F.lower("_given")).orderBy(F.col("_n") > 1, *order))
-        marked = out.withColumn("_clash", clash)
+        marked = cut(out.withColumn("_given", given).withColumn("_clash", clash), "names")
         if marked.where("_clash > 1").isEmpty():
-            return out
+            return marked.drop("_n", "_clash")
         bump = F.sum(F.when(F.col("_clash") > 1, 1).otherwise(0)).over(Window.partitionBy(low).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
         out = marked.withColumn("_n", F.when(F.col("_n") == 1, F.when(F.col("_clash") > 1, 2).otherwise(1)).otherwise(F.col("_n") + bump)).drop("_given", "_clash")
 
@@ -254,10 +254,11 @@ def build(entries: DataFrame, options: PlaylistOptions | None = None) -> Playlis
     o = options or PlaylistOptions()
     kept, unmatched = select(entries, o.want, o.exclude, o.compatible)
     expanded = expand_backups(override(kept, o.rules, o.compatible), o.use_backups)
-    grouped = group_channels(expanded, o.quality_tokens, o.compatible)
+    grouped = cut(group_channels(expanded, o.quality_tokens, o.compatible), "grouped")
     collapsed = collapse_feeds(grouped, o.unify_scheme, o.keep_query) if o.dedupe_feeds else grouped
     capped = cap_copies(collapsed, o.max_copies, o.dedupe_feeds)
     named, conflicts = name_copies(vote_labels(capped) if o.unify_groups else capped, o.style, o.id_suffix)
+    named = cut(named, "named")
     unique = drop_repeated_urls(named, o.unify_scheme)
     out = finalise(unique, o.style, o.infer_id)
     n = lambda df, name: df.agg(F.count("*").alias(name))
