@@ -69,8 +69,7 @@ def to_xmltv(x: Column) -> Column:
 def from_xmltv(x: Column) -> Column:
     """The strict instant of an XMLTV timestamp; null where it is malformed or impossible."""
     t = F.trim(x)
-    g = lambda k: F.regexp_extract(t, _XMLTV, k)
-    iso = F.concat(g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.lit("T"), g(4), F.lit(":"), g(5), F.lit(":"), g(6), g(7), g(8), F.lit(":"), g(9))
+    iso = F.regexp_replace(t, _XMLTV, "$1-$2-$3T$4:$5:$6$7$8:$9")
     return F.when(t.rlike(_XMLTV) & guide_epoch(iso).isNotNull(), iso)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenloom.functions import instants as I
 from lumenloom.functions import text as X
 from lumenloom.operators.guide import Guide, dedupe_slots, normalise, validate
+from lumenloom.scratch import cut
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -22,11 +23,11 @@ def attribute(attrs: Column, name: str) -> Column:
 
 def tag_text(body: Column, tag: str) -> Column:
     p = rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
-    return F.when(body.rlike(p), F.nullif(X.trim(X.decode_entities(F.regexp_extract(body, p, 1))), F.lit("")))
+    return F.when(body.rlike(p), X.trim(X.decode_entities(F.regexp_extract(body, p, 1))))
 
 
 def icon_source(body: Column) -> Column:
-    return F.nullif(X.decode_entities(F.regexp_extract(body, r'<icon\s[^>]*src\s*=\s*"([^"]*)"[^>]*/?>', 1)), F.lit(""))
+    return X.decode_entities(F.regexp_extract(body, r'<icon\s[^>]*src\s*=\s*"([^"]*)"[^>]*/?>', 1))
 
 
 def document_language(document: Column) -> Column:
@@ -34,22 +35,35 @@ def document_language(document: Column) -> Column:
     return F.when(X.is_language_tag(tag), X.trim(tag)).otherwise("tr")
 
 
+_CHANNEL, _PROGRAMME = r"<channel\b([^>]*)>", r"<programme\s([^>]*?)>"
+
+
+def _elements(documents: DataFrame, tag: str, opening: str) -> DataFrame:
+    """``provider, seq, attrs, body`` of each element."""
+    found = documents.select("provider", F.posexplode(F.regexp_extract_all("value", F.lit(f"(?s){opening}.*?</{tag}>"), F.lit(0))).alias("seq", "x"))
+    inner = F.regexp_extract("x", f"(?s)^{opening}(.*)</{tag}>$", 2)
+    return found.select("provider", F.col("seq").cast("long").alias("seq"), F.regexp_extract("x", f"(?s)^{opening}", 1).alias("attrs"), inner.alias("body"))
+
+
 def parse(documents: DataFrame) -> Guide:
-    """The guide of ``documents(provider, value)``, a whole document a row."""
-    ch = documents.select("provider", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<channel\b[^>]*>.*?</channel>"), F.lit(0))).alias("seq", "x"))
-    attrs, body = F.regexp_extract("x", r"(?s)^<channel\b([^>]*)>", 1), F.regexp_extract("x", r"(?s)^<channel\b[^>]*>(.*)</channel>$", 1)
-    ident = attribute(attrs, "id")
-    channels = ch.select("provider", F.col("seq").cast("long").alias("seq"), ident.alias("id"), F.coalesce(tag_text(body, "display-name"), ident).alias("name"), icon_source(body).alias("icon"), tag_text(body, "url").alias("url")).where("id <> ''")
+    """The guide of ``documents(provider, value)``, a whole document a row.
+
+    Decoded texts are written before anything looks at them again: else each later condition
+    would be put together with the patterns and evaluated over and over.
+    """
+    some = lambda *names: {c: F.nullif(F.col(c), F.lit("")) for c in names}
+    attrs, body = F.col("attrs"), F.col("body")
+    ch = cut(_elements(documents, "channel", _CHANNEL).select("provider", "seq", attribute(attrs, "id").alias("id"), tag_text(body, "display-name").alias("name"), icon_source(body).alias("icon"), tag_text(body, "url").alias("url")), "channels")
     w = Window.partitionBy("provider", "id").orderBy("seq")
+    channels = ch.where("id <> ''").withColumns(some("name", "icon", "url")).withColumn("name", F.coalesce("name", "id"))
     channels = channels.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    pr = documents.select("provider", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<programme\s[^>]*?>.*?</programme>"), F.lit(0))).alias("seq", "x"))
-    attrs, body = F.regexp_extract("x", r"(?s)^<programme\s([^>]*?)>", 1), F.regexp_extract("x", r"(?s)^<programme\s[^>]*?>(.*)</programme>$", 1)
-    programmes = pr.select(
-        "provider", F.col("seq").cast("long").alias("seq"), attribute(attrs, "channel").alias("channel"), I.from_xmltv(attribute(attrs, "start")).alias("start"), I.from_xmltv(attribute(attrs, "stop")).alias("stop"),
-        tag_text(body, "title").alias("title"), tag_text(body, "sub-title").alias("sub_title"), tag_text(body, "desc").alias("desc"), tag_text(body, "category").alias("category"), icon_source(body).alias("icon"),
-    ).where("start IS NOT NULL AND stop IS NOT NULL AND title IS NOT NULL")
+    texts = {"title": "title", "sub_title": "sub-title", "desc": "desc", "category": "category"}
+    read = [attribute(attrs, c).alias(c) for c in ("channel", "start", "stop")] + [tag_text(body, t).alias(c) for c, t in texts.items()]
+    raw = cut(_elements(documents, "programme", _PROGRAMME).select("provider", "seq", *read, icon_source(body).alias("icon")), "programmes")
+    timed = cut(raw.withColumns({"start": I.from_xmltv(F.col("start")), "stop": I.from_xmltv(F.col("stop")), **some(*texts, "icon")}), "programmes")
     listed = channels.select("provider", F.col("id").alias("channel"))
-    guide, _ = normalise(Guide(channels, programmes.join(listed, ["provider", "channel"], "left_semi")))
+    sound = timed.where("start IS NOT NULL AND stop IS NOT NULL AND title IS NOT NULL").join(listed, ["provider", "channel"], "left_semi")
+    guide, _ = normalise(Guide(channels, sound))
     return guide
 
 
