@@ -128,6 +128,11 @@ def _rank() -> list[Column]:
     return [F.coalesce("weight", F.lit(0.0)).desc(), F.col("source_order"), F.coalesce("line", F.lit(0)), F.col("entry_id"), F.col("copy_no")]
 
 
+def rank_copies(entries: DataFrame) -> DataFrame:
+    """``entries`` with ``copy_index`` within the channel, 0 for the best."""
+    return entries.withColumn("copy_index", F.row_number().over(Window.partitionBy("channel_key").orderBy(*_rank())) - 1)
+
+
 def collapse_feeds(entries: DataFrame, unify_scheme: bool = True, keep_query: bool = False) -> DataFrame:
     """Of a channel's entries with the same feed the first seen."""
     feed = X.normalize_stream_url(F.col("url"), unify_scheme, keep_query)

@@ -95,6 +95,11 @@ def collapse_feeds(spark, sf_dir):
     return P.collapse_feeds(grouped(spark, sf_dir)).select("channel_key", "entry_id", "url")
 
 
+@query(f"WITH {_RANKED} SELECT channel_key, entry_id, k AS copy_index FROM r")
+def rank_copies(spark, sf_dir):
+    return P.rank_copies(P.collapse_feeds(grouped(spark, sf_dir))).select("channel_key", "entry_id", F.col("copy_index").cast("long").alias("copy_index"))
+
+
 @query(f"WITH {_RANKED} SELECT channel_key, entry_id FROM r WHERE k < 3")
 def cap_copies(spark, sf_dir):
     return P.cap_copies(P.collapse_feeds(grouped(spark, sf_dir)), 3).select("channel_key", "entry_id")
