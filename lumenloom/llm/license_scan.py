@@ -1,7 +1,9 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text; a template is the wording of a notice. A block matches a template
-when it holds at least a given share of the template's distinct words. Words of both are ordered
+A block is a line of a text, however long, or a run of as many of the text's words as the template
+has, wherever its lines break; a template is the wording of a notice. A block matches a template
+when it holds at least a given share of the template's distinct words, and in the template's order
+where they stand on several lines: words of unlike lines that happen to meet are no notice. Words of both are ordered
 by how often they occur in the whole corpus, rarest first. A block that holds enough of a
 template must hold a word of the template's prefix (prefix filter), have at least as many words
 as must be common (length filter), and, from the place of its first common word on, the template
@@ -89,6 +91,7 @@ class Join:
         order = sorted({w for _, t in templates for w in t}, key=lambda w: (counts[w], w))
         self.rank = {w: r for r, w in enumerate(order)}
         self.label = [label for label, _ in templates]
+        self.wording = [t for _, t in templates]
         self.ranked = [sorted({self.rank[w] for w in t}) for _, t in templates]
         self.need = [max(1, math.ceil(threshold * len(t) - 1e-9)) for t in self.ranked]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
@@ -114,6 +117,51 @@ class Join:
                     out[k] = common / len(self.ranked[k])
         return out
 
+    def in_order(self, run: list[int], k: int) -> int:
+        """Distinct words of the longest common subsequence of a run of words and template ``k``."""
+        t = self.wording[k]
+        best = [[0] * (len(t) + 1) for _ in range(len(run) + 1)]
+        for i in range(len(run) - 1, -1, -1):
+            for j in range(len(t) - 1, -1, -1):
+                best[i][j] = 1 + best[i + 1][j + 1] if run[i] == t[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        common: set[int] = set()
+        while i < len(run) and j < len(t):
+            if run[i] == t[j]:
+                common.add(t[j])
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return len(common)
+
+
+def _windows(join: Join, k: int, word: np.ndarray, at: np.ndarray, line: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, float]]:
+    """Blocks over several lines, as long as template ``k``, that hold it: their first word's place in ``word``, and the containment.
+
+    ``word``: the words of a slice that any template has; ``at``: their places in it; ``line``: their lines; ``end``: where
+    their texts end. What a block holds is also held by the one that begins at its first common word, so only those are looked at.
+    """
+    member = np.zeros(len(word) and word.max() + 1, bool)
+    rare = member.copy()
+    for w, r in join.rank.items():
+        if w < len(member):
+            member[w] = r in join.ranked[k]
+            rare[w] = any(t == k for t, _ in join.prefix.get(r, ()))
+    mine = np.flatnonzero(member[word])
+    word, at, line, end = word[mine], at[mine], line[mine], end[mine]
+    upto = np.searchsorted(at, np.minimum(at + len(join.wording[k]), end))
+    begin = np.arange(len(word))
+    prefixes = np.concatenate([[0], np.cumsum(rare[word])])
+    for i in np.flatnonzero((upto - begin >= join.need[k]) & (prefixes[upto] > prefixes[begin])).tolist():
+        if line[i] == line[upto[i] - 1]:  # the line's own block has these words
+            continue
+        run = word[i : upto[i]].tolist()
+        block = set(run)
+        if k in join.matches(block, len(block)) and (common := join.in_order(run, k)) >= join.need[k]:
+            yield int(mine[i]), common / len(join.ranked[k])
+
 
 def _scan(vocabulary: list[bytes], phrases: list[tuple[list[int], str]], join: Join, slice_bytes: int):
     in_prefix = np.zeros(len(vocabulary) + 1, bool)
@@ -154,6 +202,11 @@ def _scan(vocabulary: list[bytes], phrases: list[tuple[list[int], str]], join: J
                         for k, c in found.items():
                             labels[doc[a]].add(join.label[k])
                             score[doc[a]] = max(score[doc[a]], c)
+                end = s.first[doc + 1]
+                for k, label in enumerate(join.label):
+                    for a, c in _windows(join, k, word, hits, line, end):
+                        labels[doc[a]].add(label)
+                        score[doc[a]] = max(score[doc[a]], c)
                 none = count == 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -176,7 +229,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     """Labels of every whole text: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``n_base`` counts all places of the phrases. ``labels`` are the phrases' and those of the
-    templates that a block of the text holds; ``score`` is the highest containment found, 1 for a
+    templates that a block of the text holds, also where a notice is wrapped over lines; ``score`` is the highest containment found, 1 for a
     phrase, 0 without any. Templates and phrases are a bounded list that goes to every task; the
     corpus gives them their order, counted over all rows. Null and empty texts have no word and
     no label. Null ids stay null, repeated rows give repeated rows, other columns are left out,

@@ -39,6 +39,21 @@ def test_licenses(spark, hard, empty):
     assert license_scan(hard).count() == hard.count() and license_scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Notices as published, over several lines, and a split at every word; far-off words of two texts or paragraphs are no notice."""
+    mit = "The MIT License (MIT)\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions are\r\n# met:"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */"
+    rows = [(1, mit, "mit"), (2, bsd, "bsd"), (3, mpl, "mpl-2.0"), (4, "one\nword a\nline " + mit.replace(" ", "\n"), "mit"), (5, "Released under\n" + "other words " * 9 + "\nthe MIT License", "")]
+    rows += [(6, "Redistribution and use in source and binary forms, with or", ""), (7, "without modification, are permitted provided that the following conditions are met", "")]
+    parts = TEMPLATES[4][1].split()
+    rows += [(100 + k, "before " * k + " ".join(parts[:k]) + "\n" + " ".join(parts[k:]), "bsd") for k in range(1, len(parts))]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)).collect()}
+    for i, _, label in rows:
+        assert got[i].labels == label, i
+    assert all(got[i].score == 1.0 for i in got if i >= 100 or i < 5) and got[5].score == 0
+
+
 def test_containment_join_finds_all(spark):
     """Against a plain comparison of every block with every template."""
     import random
