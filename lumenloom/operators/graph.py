@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.scratch import cut
+from lumenloom.scratch import cut, drop
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        last = now
+        last, old = now, edges
         edges = cut(_small(_large(edges)), "edges")
+        drop(old)
