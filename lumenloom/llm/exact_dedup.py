@@ -1,12 +1,13 @@
 """Exact duplicates by a Golomb-coded exchange of fingerprints.
 
-1. Each task sorts the distinct 64-bit fingerprints of its rows and sends them, Rice-coded, to
-   owners: an owner has all fingerprints with the same leading bits. A fingerprint goes out once a task,
-   with a bit that tells whether the task holds it again, so a group of copies that fills a third
-   of the table costs an owner one entry a task.
+1. The rows' 64-bit fingerprints are written, eight bytes a row, and read by few large tasks, so
+   that messages stay long on a large cluster. Each task sorts its distinct fingerprints and sends
+   them, Rice-coded, to owners: an owner has all fingerprints with the same leading bits. A
+   fingerprint goes out once a task, with its number if the task holds it again, so a group of
+   copies that fills a third of the table costs an owner one entry a task.
 2. An owner decodes what it was sent and answers each message with a bitmap of duplicates.
-3. The marked fingerprints are joined to the rows of their task: the suspects. Only suspects'
-   texts are shuffled, and grouped on their bytes, partially within each task first.
+3. Rows with marked fingerprints are the suspects. Only suspects' texts are shuffled, and grouped
+   on their bytes, partially within each task first.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.scratch import cut
+from lumenloom.llm.hot import bounded, join_hot, release
+from lumenloom.scratch import cut, drop
 
-#: Fingerprints that an owner should get; owners are as many as that takes.
-OWNER_ROWS = 1 << 20
+#: Fingerprints that an owner should get; owners are as many as that takes. And those that a task codes at once.
+OWNER_ROWS, SENT_ROWS = 1 << 20, 4 << 20
 #: Distinct duplicate fingerprints of eight bytes that are broadcast; beyond that they are joined by a shuffle.
-BROADCAST_PRINTS = 2_000_000
+BROADCAST_PRINTS, SALTS = 2_000_000, 16
 
 _P = "__lm_"
 
@@ -63,39 +65,53 @@ def _bits(owners: int) -> int:
 
 
 def _messages(bits: int):
+    """Sends the fingerprints of a task, some millions at a time: each owner's, sorted, coded, and with a bit for what came more than once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[np.ndarray]] = {}
+        held, size = [], 0
         for batch in batches:
-            task, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64).view(np.uint64)
-            for t in np.unique(task):
-                got.setdefault(int(t), []).append(prints[task == t])
-        rows = []
-        for task, parts in got.items():
-            values, n = np.unique(np.concatenate(parts), return_counts=True)
-            owner = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
-            edges = np.flatnonzero(np.diff(owner, prepend=-1))
-            for a, b in zip(edges, np.append(edges[1:], len(values)), strict=True):
-                k = int(owner[a])
-                blob, low = rice_encode(values[a:b] - np.uint64(k << (64 - bits) if bits else 0))
-                rows.append((task, k, int(b - a), low, blob, np.packbits(n[a:b] > 1).tobytes()))
-        if rows:
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], ["task", "owner", "n", "low", "prints", "again"])
+            held.append(batch.column(0).to_numpy().view(np.uint64))
+            size += batch.num_rows
+            if size >= SENT_ROWS:
+                yield _coded(np.concatenate(held), bits)
+                held, size = [], 0
+        if size:
+            yield _coded(np.concatenate(held), bits)
+        release()
 
     return send
 
 
+def _coded(prints: np.ndarray, bits: int) -> pa.RecordBatch:
+    values, n = np.unique(prints, return_counts=True)
+    owner = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+    edges = np.flatnonzero(np.diff(owner, prepend=-1))
+    rows = []
+    for a, b in zip(edges, np.append(edges[1:], len(values)), strict=True):
+        k = int(owner[a])
+        blob, low = rice_encode(values[a:b] - np.uint64(k << (64 - bits) if bits else 0))
+        rows.append((k, int(b - a), low, blob, np.packbits(n[a:b] > 1).tobytes(), n[a:b][n[a:b] > 1].astype("<i4").tobytes()))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in MESSAGE.split(", ")])
+
+
+MESSAGE = "owner int, n int, low int, prints binary, again binary, counts binary"
+ANSWER = "owner int, n int, low int, prints binary, bitmap binary, totals binary"
+
+
 def _answers(messages: pd.DataFrame) -> pd.DataFrame:
-    """One owner's messages with their bitmaps: a bit is set if the fingerprint came again, in this message or in another."""
+    """One owner's messages with their bitmaps: a bit is set if the fingerprint came again, in this message or in another; and for each set bit how many rows have it in all."""
     decoded = [rice_decode(b, low, n) for b, low, n in zip(messages["prints"], messages["low"], messages["n"], strict=True)]
-    everything = np.sort(np.concatenate(decoded))
-    twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
-    bitmaps = []
-    for values, again, n in zip(decoded, messages["again"], messages["n"], strict=True):
-        own = np.unpackbits(np.frombuffer(again, np.uint8))[:n].astype(bool)
-        bitmaps.append(np.packbits(own | np.isin(values, twice, assume_unique=True)).tobytes())
-    return messages[["task", "owner", "n", "low", "prints"]].assign(bitmap=bitmaps)
+    counts = []
+    for again, some, n in zip(messages["again"], messages["counts"], messages["n"], strict=True):
+        count = np.ones(n, np.int64)
+        count[np.unpackbits(np.frombuffer(again, np.uint8))[:n].astype(bool)] = np.frombuffer(some, "<i4")
+        counts.append(count)
+    everything, where = np.unique(np.concatenate(decoded), return_inverse=True)
+    total = np.bincount(where, weights=np.concatenate(counts), minlength=len(everything)).astype("<i8")
+    own = np.split(total[where], np.cumsum([len(d) for d in decoded])[:-1])
+    answers = [(np.packbits(t > 1).tobytes(), t[t > 1].tobytes()) for t in own]
+    return messages[["owner", "n", "low", "prints"]].assign(bitmap=[b for b, _ in answers], totals=[t for _, t in answers])
 
 
 def _marked(bits: int):
@@ -105,7 +121,8 @@ def _marked(bits: int):
             for r in batch.itertuples():
                 values = rice_decode(r.prints, r.low, r.n) + np.uint64(r.owner << (64 - bits) if bits else 0)
                 again = np.unpackbits(np.frombuffer(r.bitmap, np.uint8))[: r.n].astype(bool)
-                yield pd.DataFrame({"task": np.int32(r.task), "print": values[again].view(np.int64)})
+                yield pd.DataFrame({"print": values[again].view(np.int64), "rows": np.frombuffer(r.totals, "<i8")})
+        release()
 
     return decode
 
@@ -115,12 +132,12 @@ def normalised(text: Column) -> Column:
 
 
 def marked_prints(keys: DataFrame) -> DataFrame:
-    """``task, print`` of all fingerprints that more than one row of ``keys(task, print)`` has; a written table."""
+    """``print, rows`` of all fingerprints that more than one row of ``keys(print)``, a written table, has; a written table itself."""
     rows = keys.count()
     bits = _bits(max(1, -(-rows // OWNER_ROWS), min(64, rows // 4096)))
-    messages = keys.select("task", "print").mapInArrow(_messages(bits), "task int, owner int, n int, low int, prints binary, again binary")
-    answers = messages.groupBy("owner").applyInPandas(_answers, "task int, owner int, n int, low int, prints binary, bitmap binary")
-    return cut(answers.mapInPandas(_marked(bits), "task int, print long"), "marked")
+    messages = keys.select("print").mapInArrow(_messages(bits), MESSAGE)
+    answers = messages.groupBy("owner").applyInPandas(_answers, ANSWER)
+    return cut(answers.mapInPandas(_marked(bits), "print long, rows long").distinct(), "marked")
 
 
 def with_print(docs: DataFrame, text_col: str) -> DataFrame:
@@ -129,9 +146,19 @@ def with_print(docs: DataFrame, text_col: str) -> DataFrame:
     return out.withColumn(_P + "print", F.conv(F.substring(_P + "sha256", 1, 16), 16, -10).cast("long"))
 
 
-def _hinted(prints: DataFrame) -> DataFrame:
-    """Distinct duplicate fingerprints: sent to every executor if they are few enough, else shuffled by the join."""
-    return F.broadcast(prints) if prints.count() <= BROADCAST_PRINTS else prints
+def _suspects(rows: DataFrame, marked: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows whose fingerprint is marked (``keep`` False: the others).
+
+    Marked fingerprints go to every executor if they are few enough; else each is dealt SALTS
+    times and so are the rows, so the copies of one text aren't all sent to one task.
+    """
+    how = "left_semi" if keep else "left_anti"
+    prints = marked.select(F.col("print").alias(_P + "print"))
+    if prints.count() <= BROADCAST_PRINTS:
+        return rows.join(F.broadcast(prints), _P + "print", how)
+    salted = prints.withColumn(_P + "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = rows.withColumn(_P + "salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return own.join(salted, [_P + "print", _P + "salt"], how).drop(_P + "salt")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,20 +169,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both, the first as read, so one row of each group stays. Other columns are left out; an empty
     table gives an empty one.
     """
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     keys = with_print(rows, "text").select("doc_id", (-F.length("text")).alias("less"), F.col(_P + "sha256").alias("sha"), F.col(_P + "print").alias("print"))
     # a small row for each row: where it was read, what it is, its fingerprint
-    keys = cut(keys.withColumn("row", F.monotonically_increasing_id()).withColumn("task", F.spark_partition_id()), "prints")
+    keys = cut(keys.withColumn("row", F.monotonically_increasing_id()), "prints")
     marked = marked_prints(keys)
     # suspects' texts, compared byte by byte: equal ones meet in one group, within each task first
-    texts = with_print(rows, "text").join(_hinted(marked.select(F.col("print").alias(_P + "print")).distinct()), _P + "print", "left_semi")
+    texts = _suspects(with_print(rows, "text"), marked)
     verified = texts.groupBy(normalised(F.col("text")).alias("norm")).agg(F.first(_P + "sha256").alias("sha")).groupBy("sha").agg(F.count("*").alias("texts"))
-    suspect = keys.join(marked, ["task", "print"], "left_semi")
+    suspect = _suspects(keys.withColumnRenamed("print", _P + "print"), marked)
     first = F.min(F.struct("less", F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     groups = suspect.groupBy("sha").agg(first.alias("best"), F.count("*").alias("n")).join(verified, "sha")
     one = F.when(F.col("texts") == 1, F.col("best")).otherwise(F.raise_error(F.lit("one digest, two texts")).cast("struct<less:int,none:boolean,doc_id:bigint,row:bigint>"))
-    groups = groups.select("sha", one.alias("best"), "n")
-    out = keys.join(groups, "sha", "left")
+    groups = cut(groups.select("sha", one.alias("best"), "n"), "groups")
+    drop(marked)
+    out = join_hot(keys, groups, ["sha"], "n", "left")
     alone = F.col("n").isNull()
     return out.select(
         "doc_id",
@@ -167,16 +196,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: those whose fingerprint is theirs alone, and of each group of suspects with equal bytes the one that ``exact_groups`` keeps."""
-    keyed = with_print(docs, text_col)
-    keys = cut(keyed.select(F.col(_P + "print").alias("print")).withColumn("task", F.spark_partition_id()), "prints")
-    twice = _hinted(marked_prints(keys).select(F.col("print").alias(_P + "print")).distinct())
-    alone = keyed.join(twice, _P + "print", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    again = keyed.join(twice, _P + "print", "left_semi")
-    text, key = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").cast("long")
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    best = again.groupBy(normalised(F.col(f"`{text_col}`")).alias("norm")).agg(F.min_by(row, F.struct(-F.length(text), key.isNull(), key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))).alias("best"))
-    return alone.unionByName(best.select(*[F.col(f"best.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
+    """The rows of ``docs`` that stay, with all their columns: those whose fingerprint is theirs alone, and of each group of suspects with equal bytes the one that ``exact_groups`` keeps.
+
+    Null texts count as empty, and empty texts are one group. Null ids come after all others; of
+    rows alike in length and id one stays, chosen by a hash of all columns. Columns may have any
+    names; an empty table gives an empty one.
+    """
+    bounded(docs.sparkSession)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    ident, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    keyed = with_print(own, text)
+    marked = marked_prints(cut(keyed.select(F.col(_P + "print").alias("print")), "prints"))
+    alone = _suspects(keyed, marked, keep=False).select(*names)
+    size, key = F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.col(ident).cast("long")
+    order = F.struct(-size, key.isNull(), key, F.xxhash64(*names))
+    best = _suspects(keyed, marked).groupBy(normalised(F.col(text)).alias("norm")).agg(F.min_by(F.struct(*names), order).alias("best"))
+    return alone.unionByName(best.select("best.*")).toDF(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

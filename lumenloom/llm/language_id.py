@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenloom.llm.hot import bounded, release
+
 UNKNOWN = "und"
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 #: Bounds of the sample that the classifier is fitted on: texts of each language, characters of a
@@ -149,7 +151,9 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                 continue
             pred, score, rejected = zip(*got, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+        release()
 
+    bounded(docs.sparkSession)
     rows = docs.select("doc_id", (F.coalesce(remainder(F.col("doc_id")), F.lit(-1)) == 1).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenloom.llm.hot import bounded, release
 from lumenloom.llm.bytewords import ALNUM, SLICE_BYTES, Texts, fold, hash_of, slices, spans_hash, words
 
 #: Phrases and the labels that they give.
@@ -221,6 +222,7 @@ def _scan(vocabulary: list[bytes], phrases: list[tuple[list[int], str]], join: J
                     ],
                     [x.split()[0] for x in SCHEMA.split(", ")],
                 )
+        release()
 
     return run
 
@@ -239,6 +241,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     spoken = [(_words(p), label) for p, label in (PHRASES if phrases is None else phrases).items()]
     vocabulary = sorted({w for _, t in wordings for w in t} | {w for t, _ in spoken for w in t})
     number = {w: k for k, w in enumerate(vocabulary)}
+    bounded(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
     counted = rows.select("text").mapInArrow(_frequencies(vocabulary, slice_bytes), "word long, n long").groupBy("word").sum("n").collect()  # one row a vocabulary word
     counts = [0] * len(vocabulary)

@@ -1,11 +1,13 @@
 """Near duplicates: fast similarity sketches, banding, and exact verification on full sets.
 
-Rows with equal shingle sets are one class, which the smallest id stands for. Classes meet in
-buckets of equal band keys. Within a bucket no list of pairs is made: first every member is
-compared with the bucket's least member, which joins most large groups; then, with the components
-known, the members outside a bucket's largest component are compared with the others, in blocks
-of sets that are multiplied as matrices. Pairs within one component can add nothing, so no link that could change a component is
-left out, however large a bucket is.
+Rows with equal shingle sets are one class, a node of its own whatever ids its rows have. Classes
+meet in buckets of equal band keys; buckets with the same members are one. Within a bucket no
+list of pairs is made: first every member is compared with the bucket's least member, which joins
+most large groups; then, with the components known, the members outside a bucket's largest
+component are compared with the others. Both happen in blocks of texts, whose sets are multiplied
+as matrices; a large bucket is many blocks, dealt one by one. Pairs within one component can add
+nothing, so no link that could change a component is left out, however large a bucket is. Texts
+are shuffled, compressed, and not their sets, which are larger and are made again from them.
 """
 
 from __future__ import annotations
@@ -18,109 +20,135 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.llm.bytewords import SLICE_BYTES, slices
+from lumenloom.llm.hot import bounded, join_hot, release
 from lumenloom.operators.graph import components
-from lumenloom.scratch import cut
+from lumenloom.scratch import cut, drop
 
 SIMILARITY_PERCENT = 80
 #: 30 bands of 5 coordinates: a pair at 0.8 shares no band with probability (1 - 0.8^5)^30, 7 in a million.
 BANDS, ROWS = 30, 5
-#: Ids of eight bytes that are broadcast to filter the second reading of the texts; more are joined by a shuffle.
+#: Ids of eight bytes that are broadcast to filter rows; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Sets in a block, of all members and of those outside the largest component, and shingles in a piece of a block's matrix.
-BLOCK, FEW_BLOCK, _COLUMNS = 64, 256, 4096
+#: Sets and shingles that a block should hold at most, and shingles in a piece of a block's matrix.
+BLOCK, BLOCK_SHINGLES, _COLUMNS = 128, 500_000, 4096
 
 
-def _signatures(size: int, bands: int, rows: int, slice_bytes: int):
+def _signatures(size: int, bands: int, rows: int, slice_bytes: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lumenloom.llm import sketching as S
 
         for batch in batches:
-            for part in slices(batch.column(1), slice_bytes):
+            column = batch.column(batch.schema.names.index(text))
+            for part in slices(column, slice_bytes):
                 values, begin = S.shingle_sets(part, size)
                 n = np.diff(begin)
                 keys = S.band_keys(S.sketches(values, begin, bands * rows), bands, rows)
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].reshape(-1).view(np.int64)))
                 d = [pa.array(S.set_digest(values, begin, s).view(np.int64)) for s in (11, 12)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(n.astype(np.int64)), *d, listed], ["doc_id", "n", "d1", "d2", "keys"])
+                own = batch.slice(part.first, len(part))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n.astype(np.int64)), *d, listed], [*own.schema.names, "n", "d1", "d2", "keys"])
+        release()
 
     return run
 
 
-def _sets(size: int, slice_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lumenloom.llm import sketching as S
+def _power(x: Column) -> Column:
+    """The least power of two that is not below x, at least 1."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), x.cast("double"))))).cast("long")
 
-        for batch in batches:
-            for part in slices(batch.column(1), slice_bytes):
-                values, begin = S.shingle_sets(part, size)
-                listed = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), listed], ["node", "set"])
 
-    return run
+def _blocks(members: Column, shingles: Column) -> Column:
+    return _power(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    one = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
-    two = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-    a, b = F.size("a"), F.size("b")
-    both = pairs.join(one, "u").join(two, "v").where((100 * F.least(a, b)) >= (percent * F.greatest(a, b)))
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
+def _part(node: Column, blocks: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(seed)), blocks)
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, percent: int = SIMILARITY_PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Every row's component: ``doc_id, n_shingles, component_id, kept``.
+def _signed(rows: DataFrame, text: str, shingle: int, bands: int, per_band: int, slice_bytes: int) -> DataFrame:
+    """A written table of ``rows`` with ``row``, a number of its own, set size, digests and band keys."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    signed = rows.mapInArrow(_signatures(shingle, bands, per_band, slice_bytes, text), f"{kinds}, n long, d1 long, d2 long, keys array<bigint>")
+    return cut(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
 
-    Texts are linked when their sets of ``shingle`` words, with A-Z in lower case, have a Jaccard
-    similarity of ``percent`` hundredths or more; shingles are told apart by 64-bit hashes. Null
-    texts and texts without words have an empty set and are linked with nothing. Rows of one id
-    are one document. A row with a null id belongs to its set's class; a class of null ids alone
-    has a null component, and its rows are kept. Other columns are left out; an empty table gives
-    an empty one.
+
+def _named(signed: DataFrame, shingle: int, percent: int, text: str, slice_bytes: int) -> DataFrame:
+    """``row, doc_id, n, best`` of all rows: ``best`` is the row that stands for the row's component, null for empty sets.
+
+    A component's best row is that with the smallest id, null ids last, and of those the first as
+    written. ``signed`` needs ``doc_id``.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(_signatures(shingle, bands, rows, slice_bytes), "doc_id long, n long, d1 long, d2 long, keys array<bigint>"), "signed")
-    classes = cut(signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
-    # one row a class and band, from the row that stands for the class
-    stands = signed.where("n > 0").join(classes.withColumnRenamed("node", "doc_id"), ["n", "d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    members = cut(stands.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")), "members")
-    buckets = members.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("c")).where("c > 1")
-    shared = cut(members.join(buckets, "key"), "shared")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    filled = signed.where("n > 0")
+    classes = cut(filled.groupBy("n", "d1", "d2").agg(F.min("row").alias("node"), best, F.count("*").alias("rows")), "classes")
+    members = filled.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", F.explode("keys").alias("key"))
+    members = cut(members, "members")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    buckets = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("center"), F.count("*").alias("c"), *same).where("c > 1")
+    buckets = cut(buckets.groupBy("center", "c", "x1", "x2").agg(F.min("key").alias("key")).select("key", "center", "c"), "buckets")
+    shared = cut(join_hot(members, buckets, ["key"], "c"), "shared")
+    drop(members, buckets)
     ids = cut(shared.select("node").distinct(), "candidates")
-    wanted = ids.select(F.col("node").alias("doc_id"))
-    sets = texts.join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle, slice_bytes), "node long, set array<bigint>")
-    sets = cut(sets, "sets")
+    wanted = ids.select(F.col("node").alias("row"))
+    texts = signed.select("row", F.col(f"`{text}`").alias("text")).join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, "row", "left_semi")
+    texts = cut(texts.select(F.col("row").alias("node"), "text"), "texts")
 
-    stars = shared.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    links = cut(_linked(stars, sets, percent), "links")
+    links = cut(_star_links(shared, texts, shingle, percent, slice_bytes), "links")
     labels = components(links)
-    more = cut(_crossing(shared, labels, sets, percent), "links")
+    more = cut(_crossing(shared, labels, texts, shingle, percent, slice_bytes), "links")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    named = classes.join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("label", "node").alias("component"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        old, labels = labels, components(links.unionByName(more))
+        drop(old)
+    drop(shared, ids, texts, links, more)
+    # class to component, component to its best row: both from tables of one row a class
+    owned = cut(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "owned")
+    bests = cut(owned.groupBy("label").agg(F.min("best").alias("best"), F.count("*").alias("c")), "bests")
+    found = cut(join_hot(owned.select("n", "d1", "d2", "rows", "label"), bests, ["label"], "c").select("n", "d1", "d2", "rows", "best"), "found")
+    out = join_hot(signed.select("row", "doc_id", "n", "d1", "d2"), found, ["n", "d1", "d2"], "rows", "left").select("row", "doc_id", "n", "best")
+    out = cut(out, "named")
+    drop(classes, owned, bests, found)
+    return out
 
 
-def _blocks(rows: DataFrame, name: str, blocks: Column) -> DataFrame:
-    """The rows of each key in about ``blocks`` lists of their sets."""
-    number = F.pmod(F.xxhash64("node"), blocks.cast("long")).alias("block")
-    return rows.groupBy("key", number).agg(F.collect_list(F.struct("node", "label", "set")).alias(name)).select("key", name)
+def near_groups(docs: DataFrame, shingle: int = 5, percent: int = SIMILARITY_PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Every row's component: ``doc_id, n_shingles, component_id, kept``.
+
+    Texts are linked when their sets of ``shingle`` words, with A-Z in lower case, have a Jaccard
+    similarity of ``percent`` hundredths or more; shingles are told apart by 64-bit hashes and
+    sets by 128-bit digests. Null texts and texts without words have an empty set and are linked
+    with nothing. A component's id is the smallest that any of its rows has, null if none has
+    one; different texts under one id are texts of their own. ``kept`` tells whether a row has
+    its component's id. Other columns are left out; an empty table gives an empty one.
+    """
+    bounded(docs.sparkSession)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    signed = _signed(texts, "text", shingle, bands, rows, slice_bytes)
+    out = _named(signed, shingle, percent, "text", slice_bytes)
+    component = F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row the nodes, labels, set sizes and set values of its list."""
-    flat = column.flatten()
-    nodes, labels, sets = (flat.field(k) for k in range(3))
-    at = np.asarray(column.offsets) - column.offsets[0].as_py()
-    begin = np.asarray(sets.offsets)
-    values = np.asarray(sets.values)
-    nodes, labels = np.asarray(nodes), np.asarray(labels)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        yield nodes[a:b], labels[a:b], np.diff(begin[a : b + 1]), values[begin[a] : begin[b]]
+def drop_near(docs: DataFrame, shingle: int = 5, percent: int = SIMILARITY_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component, with all their columns.
+
+    Rows are told apart by their place in a written table and not by their ids: of a component the
+    row with the smallest id stays, null ids last, of equal ids the first as read. Texts under one
+    id that are not alike are all kept, rows that are alike and have no id leave one. Rows without
+    words all stay. Columns may have any names; an empty table gives an empty one.
+    """
+    bounded(docs.sparkSession)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    ident, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = own.withColumns({"doc_id": F.col(ident).cast("long"), "__lm_text": F.col(text).cast("string")}) if docs.schema[text_col].dataType.typeName() != "string" else own.withColumn("doc_id", F.col(ident).cast("long"))
+    read = "__lm_text" if "__lm_text" in rows.columns else text
+    signed = _signed(rows, read, shingle, BANDS, ROWS, SLICE_BYTES)
+    found = _named(signed, shingle, percent, read, SLICE_BYTES)
+    gone = cut(found.where(F.col("n") > 0).where(F.col("row") != F.col("best.row")).select("row"), "gone")
+    drop(found)
+    hinted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return signed.join(hinted, "row", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def common_sizes(sizes: np.ndarray, values: np.ndarray, other_sizes: np.ndarray, other_values: np.ndarray) -> np.ndarray:
@@ -147,45 +175,142 @@ def common_sizes(sizes: np.ndarray, values: np.ndarray, other_sizes: np.ndarray,
     return out.astype(np.int64)
 
 
-def _compare_blocks(percent: int):
+class _Sets:
+    """Shingle sets of some texts, made as they are needed; those of the last texts are kept."""
+
+    def __init__(self, size: int, slice_bytes: int):
+        self.size, self.slice_bytes = size, slice_bytes
+
+    def of(self, column: pa.Array) -> list[np.ndarray]:
+        from lumenloom.llm import sketching as S
+
+        out = []
+        for part in slices(column, self.slice_bytes):
+            values, begin = S.shingle_sets(part, self.size)
+            out += [values[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        return out
+
+
+def _alike(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    s, t = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    common = common_sizes(s, np.concatenate(a), t, np.concatenate(b))
+    return 100 * common >= percent * (s[:, None] + t[None, :] - common)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int, size: int, slice_bytes: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Runs of rows with the same first ``n_keys`` columns (rows come sorted by them): the other columns, ``text`` last, and the texts' sets."""
+    sets, held, key = _Sets(size, slice_bytes), [], None
+
+    def flush():
+        columns = [np.concatenate([h[0][k] for h in held]) for k in range(len(held[0][0]))]
+        return columns, [s for h in held for s in h[1]]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(n_keys)])
+        edges = np.append(np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))), batch.num_rows)
+        own = sets.of(batch.column(batch.num_columns - 1))
+        others = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys, batch.num_columns - 1)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            now = tuple(keys[:, a].tolist())
+            if key is not None and now != key:
+                yield flush()
+                held = []
+            key = now
+            held.append(([c[a:b] for c in others], own[a:b]))
+    if held:
+        yield flush()
+
+
+def _links(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if found:
+        u, v = np.concatenate(found, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _compare_star(size: int, percent: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[np.ndarray] = []
-            for (n1, l1, s1, v1), (n2, l2, s2, v2) in zip(_lists(batch.column(0)), _lists(batch.column(1)), strict=True):
-                common = common_sizes(s1, v1, s2, v2)
-                alike = (100 * common >= percent * (s1[:, None] + s2[None, :] - common)) & (l1[:, None] != l2[None, :])
-                i, j = np.nonzero(alike)
-                found.append(np.stack([np.minimum(n1[i], n2[j]), np.maximum(n1[i], n2[j])]))
-            if found:
-                u, v = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        found = []
+        for (center, node), sets in _groups_with(batches, 3, size, slice_bytes):
+            at = int(np.flatnonzero(node == center)[0])
+            ok = _alike([sets[at]], sets, percent)[0]
+            ok[at] = False
+            found.append(np.stack([center[ok], node[ok]]))
+        yield from _links(found)
+        release()
 
     return run
 
 
-def _crossing(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _groups_with(batches: Iterator[pa.RecordBatch], n_keys: int, size: int, slice_bytes: int):
+    """``_groups`` of batches whose first column is both a key and wanted."""
+
+    def doubled():
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_keys], b.column(0), *b.columns[n_keys:]], [f"k{k}" for k in range(n_keys)] + ["first", *b.schema.names[n_keys:]])
+
+    return _groups(doubled(), n_keys, size, slice_bytes)
+
+
+def _star_links(shared: DataFrame, texts: DataFrame, size: int, percent: int, slice_bytes: int) -> DataFrame:
+    """Links of bucket members with their bucket's least member, in blocks that hold that member and some others.
+
+    Sets whose sizes alone rule a link out are not compared. How many blocks a centre has follows
+    from its largest bucket, so that needs no counting; a centre's text goes to each of its blocks.
+    """
+    fits = (100 * F.least("n", "center.n")) >= (percent * F.greatest("n", "center.n"))
+    pairs = shared.where(F.col("node") != F.col("center.node")).where(fits)
+    pairs = pairs.groupBy(F.col("center.node").alias("center"), "node").agg(F.max("c").alias("c"), F.max("center.n").alias("n"))
+    blocks = _blocks(F.col("c"), F.col("c") * F.col("n"))
+    pairs = cut(pairs.select("center", "node", blocks.alias("blocks")).withColumn("part", _part(F.col("node"), F.col("blocks"), 5)), "stars")
+    centers = pairs.select("center", "blocks", "part", F.col("center").alias("node")).distinct()
+    rows = pairs.select("center", "blocks", "part", "node").unionByName(centers).join(texts, "node")
+    dealt = rows.select("center", "blocks", "part", "node", "text").repartition("center", "blocks", "part").sortWithinPartitions("center", "blocks", "part")
+    return dealt.mapInArrow(_compare_star(size, percent, slice_bytes), "u long, v long").distinct()
+
+
+def _compare_block(size: int, percent: int, slice_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for (node, label, few, every), sets in _groups(batches, 3, size, slice_bytes):
+            a, b = np.flatnonzero(few), np.flatnonzero(every)
+            if len(a) and len(b):
+                ok = _alike([sets[k] for k in a], [sets[k] for k in b], percent) & (label[a][:, None] != label[b][None, :])
+                i, j = np.nonzero(ok)
+                u, v = node[a][i], node[b][j]
+                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+        yield from _links(found)
+        release()
+
+    return run
+
+
+def _crossing(shared: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int, slice_bytes: int) -> DataFrame:
     """Links between members of one bucket that are in different components.
 
-    A bucket's members outside its largest component are compared with all of its members, in
-    blocks: a row holds some sets of both sides, so pairs are not made into rows, a task holds two
-    blocks at a time, and a large bucket is many independent rows.
+    A bucket's members outside its largest component, in i blocks, are compared with all of its
+    members, in j blocks: i times j independent groups of rows, each of two blocks at most. Pairs
+    are not made into rows.
     """
     label = labels.withColumnRenamed("node", "l_node")
-    many = shared.where("c > 2").join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    parts = many.groupBy("key", "label").agg(F.count("*").alias("k"))
-    heads = parts.groupBy("key").agg(F.max(F.struct("k", "label")).alias("head"), F.sum("k").alias("c"), F.count("*").alias("parts")).where("parts > 1")
-    heads = heads.select("key", F.col("head.label").alias("head"), F.ceil(F.col("c") / BLOCK).alias("all_blocks"), F.ceil((F.col("c") - F.col("head.k")) / FEW_BLOCK).alias("few_blocks"))
-    opened = cut(many.join(heads, "key"), "open").join(sets, "node")
-    few = _blocks(opened.where("label <> head"), "few", F.col("few_blocks"))
-    every = _blocks(opened, "every", F.col("all_blocks"))
-    return few.join(every, "key").select("few", "every").mapInArrow(_compare_blocks(percent), "u long, v long").distinct()
-
-
-def drop_near(docs: DataFrame, shingle: int = 5, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    gone = cut(near_groups(docs, shingle, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__lm_gone")).distinct(), "gone")
-    hinted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(hinted, F.col("doc_id").cast("long") == F.col("__lm_gone"), "left_anti")
+    many = shared.where("c > 2").join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    many = cut(many, "many")
+    parts = many.groupBy("key", "label").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    heads = parts.groupBy("key").agg(F.max(F.struct("k", "label", "s")).alias("head"), F.sum("k").alias("c"), F.sum("s").alias("s"), F.count("*").alias("parts"))
+    few = _blocks(F.col("c") - F.col("head.k"), F.col("s") - F.col("head.s"))
+    heads = cut(heads.select("key", F.col("head.label").alias("head"), "c", "parts", few.alias("few_blocks"), _blocks(F.col("c"), F.col("s")).alias("blocks")), "heads")
+    opened = join_hot(many, heads, ["key"], "c").where("parts > 1")
+    opened = opened.withColumns({"i": _part(F.col("node"), F.col("few_blocks"), 6), "j": _part(F.col("node"), F.col("blocks"), 7), "outside": F.col("label") != F.col("head")})
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    place = lambda i, j, few, every: F.struct(i.alias("i"), j.alias("j"), few.alias("few"), every.alias("every"))
+    as_few = F.transform(upto("blocks"), lambda j: place(F.col("i"), j, F.lit(True), j == F.col("j")))
+    as_every = F.transform(upto("few_blocks"), lambda i: place(i, F.col("j"), F.lit(False), F.lit(True)))
+    both = F.concat(as_few, F.filter(as_every, lambda x: x["i"] != F.col("i")))
+    rows = opened.select("key", "node", "label", F.explode(F.when(F.col("outside"), both).otherwise(as_every)).alias("x"))
+    rows = rows.select("key", "x.i", "x.j", "node", "label", "x.few", "x.every").join(texts, "node")
+    dealt = rows.select("key", "i", "j", "node", "label", "few", "every", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_compare_block(size, percent, slice_bytes), "u long, v long").distinct()
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

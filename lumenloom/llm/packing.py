@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenloom.llm.bytewords import SLICE_BYTES, slices, sums
+from lumenloom.llm.hot import bounded, release
 
 WINDOW = 2048
 #: The id that ends each document.
@@ -142,7 +143,9 @@ def pack_sequences(docs: DataFrame, tokenizer: str, ranks: str | None = None, pa
         packer.finish()
         if packer.rows:
             yield table()
+        release()
 
+    bounded(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
     return rows.mapInArrow(pack, SCHEMA)
 

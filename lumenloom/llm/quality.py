@@ -16,13 +16,15 @@ from lumenloom.scratch import cut
 
 BLANKS = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A group with fewer usable documents than this takes its language's thresholds, and a language the corpus'.
-MIN_GROUP = 100
-#: A document is rejected where a ratio lies above the third quartile by more than REACH times the
-#: distance of the quartiles, which counts as at least the figure given here for the ratio (in thousandths;
-#: word length in hundredths of a code point).
-REACH = 3
-LEAST_SPREAD = {"symbols": 20, "dup_lines": 150, "repeats": 100, "capitals": 60, "word_length": 90}
+#: A group's fence counts as if it had been seen on as many documents as it has, and its parent's (the
+#: language of a source, the corpus of a language) on so many more: small groups lean on their parent.
+PRIOR = 100
+#: A document is rejected where a ratio lies above the third quartile by more than REACH times the distance
+#: of the quartiles, and by more than the figure given here for the ratio (in thousandths; word length in
+#: hundredths of a code point). The figures matter where three quarters of a group have the same value, as
+#: of symbols, repeated lines and repeated windows, which most texts don't have at all: quartiles say nothing there.
+REACH = 8
+LEAST_DISTANCE = {"symbols": 60, "dup_lines": 450, "repeats": 300, "capitals": 10, "word_length": 10}
 
 _P = "__lm_"
 
@@ -99,7 +101,7 @@ def sketch(measures: DataFrame) -> DataFrame:
 
 
 def fences(counts: DataFrame) -> DataFrame:
-    """Upper fences of every language and source of a sketch, from its own, its language's or all counts."""
+    """Upper fences of every language and source of a sketch, from its own, its language's and all counts."""
     from pyspark.sql import Window
 
     merged = counts.selectExpr("lang", "source", "2 as level", "kind", "bucket", "n")
@@ -109,17 +111,18 @@ def fences(counts: DataFrame) -> DataFrame:
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
     quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
     by_kind = ranked.groupBy("level", "lang", "source", "kind").agg(F.max("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    least = F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv])
-    fence = F.col("q3") + REACH * F.greatest(F.col("q3") - F.col("q1"), least[F.col("kind")].cast("long"))
-    wide = by_kind.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("kind") == k, fence)).alias(f"{_P}max_{k}") for k in LEAST_SPREAD])
-    cols = [f"{_P}max_{k}" for k in LEAST_SPREAD]
+    least = F.create_map(*[F.lit(x) for kv in LEAST_DISTANCE.items() for x in kv])
+    fence = (F.col("q3") + F.greatest(REACH * (F.col("q3") - F.col("q1")), least[F.col("kind")].cast("long"))).cast("double")
+    wide = by_kind.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("kind") == k, fence)).alias(f"{_P}max_{k}") for k in LEAST_DISTANCE])
+    cols = [f"{_P}max_{k}" for k in LEAST_DISTANCE]
     level = lambda n: wide.where(F.col("level") == n).select("lang", *([] if n < 2 else ["source"]), "total", F.struct(*cols).alias(f"f{n}"))
     own = level(2).withColumnsRenamed({"total": "total2"})
     lang = level(1).withColumnsRenamed({"lang": "lang1", "total": "total1"})
     whole = level(0).drop("lang", "total")
     found = own.join(lang, F.col("lang").eqNullSafe(F.col("lang1")), "left").join(F.broadcast(whole), how="left")  # one row
-    pick = F.when(F.col("total2") >= MIN_GROUP, F.col("f2")).when(F.col("total1") >= MIN_GROUP, F.col("f1")).otherwise(F.col("f0"))
-    return found.select(F.col("lang").alias(_P + "lang"), F.col("source").alias(_P + "source"), pick.alias("f")).select(_P + "lang", _P + "source", "f.*")
+    blend = lambda n, own, parent: (F.col(n) * own + F.lit(float(PRIOR)) * parent) / (F.col(n) + F.lit(float(PRIOR)))
+    one = lambda c: blend("total2", F.col(f"f2.{c}"), blend("total1", F.col(f"f1.{c}"), F.col(f"f0.{c}"))).alias(c)
+    return found.select(F.col("lang").alias(_P + "lang"), F.col("source").alias(_P + "source"), *[one(c) for c in cols])
 
 
 def judged(measures: DataFrame) -> DataFrame:
@@ -146,10 +149,19 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. Measures are written beside the rows, so no row has to be found again by its id."""
-    known = {"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")}
-    table = cut(measured(docs.withColumns(known)), "measured")
-    return judged(table).where(_P + "kept").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Only rows that pass the base rules count for the thresholds or can be kept: those are written
+    once, with their measures, so no row has to be found again by its id. Null texts fail, null
+    languages and sources are groups of their own, repeated rows and null ids are kept as they
+    are, columns may have any names, an empty table gives an empty one.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    lang, source, text = (names[docs.columns.index(c)] for c in ("lang", "source", "text"))
+    known = own.withColumns({"lang": F.col(lang).cast("string"), "source": F.col(source).cast("string")})
+    table = cut(measured(known, text).where(~base_failed()), "measured")
+    return judged(table).where(_P + "kept").select(*names).toDF(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +190,8 @@ l AS (SELECT 2 AS level, lang, source, kind, x FROM b UNION ALL SELECT 1, lang,
 c AS (SELECT level, lang, source, kind, x, count(*) AS n FROM l GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, kind ORDER BY x) AS upto, sum(n) OVER (PARTITION BY level, lang, source, kind) AS total FROM c),
 q AS (SELECT level, lang, source, kind, max(total) AS total, min(x) FILTER (4 * upto >= total) AS q1, min(x) FILTER (4 * upto >= 3 * total) AS q3 FROM u GROUP BY ALL),
-f AS (SELECT level, lang, source, kind, total, q3 + 3 * greatest(q3 - q1, [20, 150, 100, 60, 90][kind]) AS fence FROM q),
-t AS (SELECT f2.lang, f2.source, f2.kind, CASE WHEN f2.total >= 100 THEN f2.fence WHEN f1.total >= 100 THEN f1.fence ELSE f0.fence END AS fence
+f AS (SELECT level, lang, source, kind, CAST(total AS DOUBLE) AS total, CAST(q3 + greatest(8 * (q3 - q1), [60, 450, 300, 10, 10][kind]) AS DOUBLE) AS fence FROM q),
+t AS (SELECT f2.lang, f2.source, f2.kind, (f2.total * f2.fence + 100.0::DOUBLE * ((f1.total * f1.fence + 100.0::DOUBLE * f0.fence) / (f1.total + 100.0::DOUBLE))) / (f2.total + 100.0::DOUBLE) AS fence
   FROM f f2 JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM f2.lang AND f1.kind = f2.kind JOIN f f0 ON f0.level = 0 AND f0.kind = f2.kind WHERE f2.level = 2),
 bad AS (SELECT DISTINCT rid FROM r JOIN t ON r.lang IS NOT DISTINCT FROM t.lang AND r.source IS NOT DISTINCT FROM t.source WHERE [r1, r2, r3, r4, r5][kind] > fence)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM r LEFT JOIN bad ON r.rid = bad.rid

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenloom.llm.bytewords import SLICE_BYTES, slices, sums
+from lumenloom.llm.hot import bounded, release
 
 #: Texts with more tokens than this are marked.
 LIMIT = 2048
@@ -38,7 +39,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 continue
             tokens = np.concatenate(n_tokens)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_bytes)), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        release()
 
+    bounded(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

@@ -108,3 +108,28 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(1, 21)}, 100: 0, 201: 200, 202: 200}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_of_one_id_or_none_are_told_apart(spark):
+    """Nothing is dropped but copies: different texts under one id all stay, copies without an id leave one."""
+    rows = [(1, "a b c d e"), (5, "A b c d e"), (5, "completely different words here now"), (None, "no id at all here"), (None, "No id at all here"), (7, "no words shared with any"), (7, "no words shared with any")]
+    df = spark.createDataFrame([(*r, "x", 2) for r in rows], "doc_id long, text string, best string, n int").repartition(3)
+    kept = drop_near(df, 2)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text.lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "a b c d e"), (5, "completely different words here now"), (None, "no id at all here"), (7, "no words shared with any")], key=str)
+    exact = sorted((r.text for r in drop_exact(df).collect()))
+    assert exact == sorted({r[1] for r in rows})
+
+
+def test_hot_keys_join_alike(spark):
+    from pyspark.sql import functions as F
+
+    from lumenloom.llm import hot
+    from lumenloom.scratch import cut
+
+    rows = cut(spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("k"), "id"), "rows")
+    table = cut(rows.where("k < 400").groupBy("k").agg(F.count("*").alias("n")), "table")
+    for how in ("inner", "left"):
+        got = sorted(hot.join_hot(rows, table, ["k"], "n", how).select("k", "id", "n").collect(), key=str)
+        assert got == sorted(rows.join(table, ["k"], how).select("k", "id", "n").collect(), key=str)
