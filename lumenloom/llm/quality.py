@@ -160,7 +160,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     own = docs.toDF(*names)
     lang, source, text = (names[docs.columns.index(c)] for c in ("lang", "source", "text"))
     known = own.withColumns({"lang": F.col(lang).cast("string"), "source": F.col(source).cast("string")})
-    table = cut(measured(known, text).where(~base_failed()), "measured")
+    # the partition's number keeps the filter above the measures: below, it would evaluate their nested expressions anew
+    passing = measured(known, text).withColumn(_P + "part", F.spark_partition_id()).where((F.col(_P + "part") >= 0) & ~base_failed())
+    table = cut(passing.drop(_P + "part"), "measured")
     return judged(table).where(_P + "kept").select(*names).toDF(*docs.columns)
 
 
