@@ -33,14 +33,28 @@ class Levels:
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list] = [[] for _ in range(window + 1)]
 
-    def choose(self, r: int) -> int:
+    def choose(self, r: int, new: bool = True) -> int:
+        """The level for r tokens; ``new`` False: of the open windows' only, 0 if they have no room."""
         n, w = self.count, self.window
         cost = 2 * (n[r:] - n[: w - r + 1]) + 2
         cost[-1] = 1 - 2 * n[w - r]
         cost[n[: w - r + 1] == 0] = np.iinfo(np.int64).max
-        cost[0] = 2 * n[r] + 1 if r < w else 1
+        if new:
+            cost[0] = 2 * n[r] + 1 if r < w else 1
+        elif cost.min() == np.iinfo(np.int64).max:
+            return 0
         return w - r - int(np.argmin(cost[::-1]))
 
+    def most(self) -> int:
+        """The level with the most windows, the fullest on a tie: filling one of them lowers the sum of squares most. 0 without open windows."""
+        k = int(np.argmax(self.count[:0:-1]))
+        return self.window - k if self.count[self.window - k] else 0
+
+    def least(self) -> int:
+        """The emptiest level that has windows."""
+        filled = np.flatnonzero(self.count)
+        return int(filled[0]) if len(filled) else 0
+
     def take(self, h: int):
         if h == 0:
             return None
@@ -78,22 +92,34 @@ class Packer:
         r = total - whole
         if r:
             h = self.levels.choose(r)
-            pieces = self.levels.take(h) or []
             # the slice's ids go when the slice is done; an open window keeps its own
-            pieces.append((doc, whole, ids[whole:] if h + r == w else ids[whole:].copy(), total))
-            if h + r == w:
-                self._emit(pieces)
-            else:
-                self.levels.put(h + r, pieces)
+            self._place(h, (doc, whole, ids[whole:] if h + r == w else ids[whole:].copy(), total))
+
+    def _place(self, h: int, piece: tuple) -> None:
+        pieces = self.levels.take(h) or []
+        pieces.append(piece)
+        if h + len(piece[2]) == self.window:
+            self._emit(pieces)
+        else:
+            self.levels.put(h + len(piece[2]), pieces)
 
     def finish(self) -> None:
-        """Windows that are still open are joined, fullest first, and cut into full ones; what is left of them into powers of two, which need no padding."""
-        left = [p for h in range(self.window - 1, 0, -1) for pieces in self.levels.open[h] for p in pieces]
+        """Windows that are still open leave no padding: the emptiest is dissolved and its pieces are placed by the same rule among the others, again and again.
+
+        A piece that fits into no window fills one of the commonest level and goes on with its
+        rest. What the last window holds is cut into powers of two, which need no padding.
+        """
+        levels = self.levels
+        while levels.count.sum() > 1:
+            for doc, start, ids, total in sorted(levels.take(levels.least()), key=lambda p: -len(p[2])):
+                while len(ids):
+                    h = levels.choose(len(ids), new=False)
+                    room = len(ids) if h else self.window - levels.most()
+                    self._place(h or levels.most(), (doc, start, ids[:room], total))
+                    start, ids = start + room, ids[room:]
+        left = [p for windows in levels.open for pieces in windows for p in pieces][::-1]
         self.levels = Levels(self.window)
-        tokens = sum(len(p[2]) for p in left)
-        sizes = [self.window] * (tokens // self.window) + _powers(tokens % self.window)
-        left.reverse()
-        for size in sizes:
+        for size in _powers(sum(len(p[2]) for p in left)):
             pieces, room = [], size
             while room:
                 doc, start, ids, total = left.pop()
@@ -108,8 +134,9 @@ def pack_sequences(docs: DataFrame, tokenizer: str, ranks: str | None = None, pa
     """Pieces of every whole document in sequences of at most ``window`` tokens.
 
     Packing is online and needs no exchange: each task places its documents in turn, holding the
-    level array and the pieces of its open windows only (their number stays small, since filling
-    a window lowers the sum of squares). Sequence ids carry the task's number, so they don't clash.
+    level array and the pieces of its open windows only (a few for each level at most, since
+    filling a window lowers the sum of squares); what is open at its end is placed again by the
+    same rule, emptiest window first. Sequence ids carry the task's number, so they don't clash.
     Null and empty texts are the end id alone. Null ids stay null; repeated rows are packed as
     often as they occur; other columns are left out; an empty table gives no sequence.
     """
@@ -151,6 +178,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, ranks: str | None = None, pa
 
 
 def pack_with_public_tokenizer(docs: DataFrame) -> DataFrame:
+    """``pack_sequences`` with the byte-level vocabulary of 50,000 tokens and its rank file."""
     import public_tokenizers
 
     return pack_sequences(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
