@@ -87,7 +87,7 @@ def _ordered(guides: list[Guide]) -> Guide:
     """Guides as one, each a provider of its own by its place in the list."""
     place = lambda df, k: df.withColumn("provider", F.lit(k))
     union: Callable[[list[DataFrame]], DataFrame] = lambda dfs: reduce(DataFrame.unionByName, dfs)
-    return Guide(union([place(g.channels, k) for k, g in enumerate(guides)]), union([place(g.programmes, k) for k, g in enumerate(guides)]), sum(g.days for g in guides), sum(g.failures for g in guides), guides[0].language)
+    return Guide(union([place(g.channels, k) for k, g in enumerate(guides)]), union([place(g.programmes, k) for k, g in enumerate(guides)]), sum(g.days for g in guides), sum(g.failures for g in guides), guides[0].language, tuple(g.language for g in guides))
 
 
 def is_empty(guide: Guide, keep_channels: bool = False) -> bool:

@@ -6,12 +6,15 @@ here give their epoch seconds or lay them out anew. Impossible dates give null,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_GUIDE = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})([+-])(\d{2}):(\d{2})$"
-_ISO = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2})(?::(\d{2}))?(?:\.(\d+))?(?:Z|([+-])(\d{2}):?(\d{2}))?$"
-_XMLTV = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})\s*([+-])(\d{2})(\d{2})$"
+# The three forms of an instant.
+_GUIDE = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d[+-](?:[01]\d|2[0-3]):[0-5]\d$"
+_ISO = r"^\d{4}-\d\d-\d\dT\d\d:\d\d(?::\d\d)?(?:\.\d+)?(?:Z|[+-](?:[01]\d|2[0-3]):?[0-5]\d)?$"
+_XMLTV = r"^\d{14}\s*[+-]\d{4}$"
 
 # Month names of Turkish pages, January first.
 TURKISH_MONTHS = ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık")
@@ -38,39 +41,73 @@ def wall_to_instant(date: Column, minutes: Column, offset: str = "+03:00") -> Co
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"), F.lit(f":00{offset}"))
 
 
-def _seconds(x: Column, p: str, sign: int) -> Column:
-    second = F.coalesce(_int(x, p, 6), F.lit(0))
-    clock = _int(x, p, 4).between(0, 23) & _int(x, p, 5).between(0, 59) & second.between(0, 59)
-    away = F.coalesce(_int(x, p, sign + 1), F.lit(0)).between(0, 23) & F.coalesce(_int(x, p, sign + 2), F.lit(0)).between(0, 59)
-    wall = F.unix_seconds(F.try_make_timestamp(_int(x, p, 1), _int(x, p, 2), _int(x, p, 3), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")))
-    offset = F.coalesce(_int(x, p, sign + 1) * 60 + _int(x, p, sign + 2), F.lit(0)) * F.when(F.regexp_extract(x, p, sign) == "-", -60).otherwise(60)
-    return F.when(x.rlike(p) & clock & away, wall + _int(x, p, 4) * 3600 + _int(x, p, 5) * 60 + second - offset)
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` looks at it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _piece(x: Column, start: int, length: int) -> Column:
+    return F.substring(x, start, length)
+
+
+def _wall_seconds(date_and_time: Column) -> Column:
+    """Seconds of ``YYYY-MM-DDTHH:MM:SS`` as if in UTC; null for an impossible date or time."""
+    return F.unix_seconds(F.concat(date_and_time, F.lit("Z")).try_cast("timestamp"))
+
+
+def _away_seconds(sign: Column, hours: Column, minutes: Column) -> Column:
+    return (hours.try_cast("int") * 3600 + minutes.try_cast("int") * 60) * F.when(sign == "-", -1).otherwise(1)
+
+
+def _guide_epoch(x: Column) -> Column:
+    return F.when(x.rlike(_GUIDE), _wall_seconds(_piece(x, 1, 19)) - _away_seconds(_piece(x, 20, 1), _piece(x, 21, 2), _piece(x, 24, 2)))
 
 
 def guide_epoch(x: Column) -> Column:
     """Epoch seconds of a strict instant ``YYYY-MM-DDTHH:MM:SS+HH:MM``; null for anything else."""
-    return _seconds(x, _GUIDE, 7)
+    return _bound(x, _guide_epoch)
+
+
+def _iso_parts(x: Column) -> Column:
+    """``wall`` with seconds, ``fraction`` as written, and ``away``, the offset as written, empty without one or for Z."""
+    wall = F.concat(_piece(x, 1, 16), F.when(_piece(x, 17, 1) == ":", _piece(x, 17, 3)).otherwise(F.lit(":00")))
+    return F.struct(wall.alias("wall"), F.regexp_extract(x, r"\.(\d+)", 1).alias("fraction"), F.regexp_extract(x, r"[+-]\d\d:?\d\d$", 0).alias("away"))
+
+
+def _iso(x: Column, f: Callable[[Column], Column]) -> Column:
+    return _bound(x, lambda t: F.when(t.rlike(_ISO), _bound(_iso_parts(t), f)))
+
+
+def _iso_seconds(p: Column) -> Column:
+    away = F.when(p["away"] == "", F.lit(0)).otherwise(_away_seconds(F.left(p["away"], F.lit(1)), F.substring(p["away"], 2, 2), F.right(p["away"], F.lit(2))))
+    return _wall_seconds(p["wall"]) - away
 
 
 def iso_epoch_ms(x: Column) -> Column:
     """Epoch milliseconds (double) of a wider ISO form: seconds, fraction and offset may be absent."""
-    fraction = F.coalesce(F.concat(F.lit("0."), F.nullif(F.regexp_extract(x, _ISO, 7), F.lit(""))).try_cast("double"), F.lit(0.0))
-    return _seconds(x, _ISO, 8) * 1000 + fraction * 1000
+    return _iso(x, lambda p: (_iso_seconds(p) + F.concat(F.lit("0."), p["fraction"], F.lit("0")).try_cast("double")) * 1000)
 
 
 def to_xmltv(x: Column) -> Column:
     """``YYYYMMDDHHMMSS +HHMM``; null where the instant is impossible or has a fraction."""
-    ok = iso_epoch_ms(x).isNotNull() & (F.regexp_extract(x, _ISO, 7) == "")
-    g = lambda k: F.regexp_extract(x, _ISO, k)
-    offset = F.when(g(8) == "", F.lit("+0000")).otherwise(F.concat(g(8), g(9), g(10)))
-    return F.when(ok, F.concat(g(1), g(2), g(3), g(4), g(5), F.lpad(g(6), 2, "0"), F.lit(" "), offset))
+
+    def laid_out(p: Column) -> Column:
+        offset = F.when(p["away"] == "", F.lit("+0000")).otherwise(F.translate(p["away"], ":", ""))
+        return F.when((p["fraction"] == "") & _iso_seconds(p).isNotNull(), F.concat(F.translate(p["wall"], "-T:", ""), F.lit(" "), offset))
+
+    return _iso(x, laid_out)
 
 
 def from_xmltv(x: Column) -> Column:
     """The strict instant of an XMLTV timestamp; null where it is malformed or impossible."""
-    t = F.trim(x)
-    iso = F.regexp_replace(t, _XMLTV, "$1-$2-$3T$4:$5:$6$7$8:$9")
-    return F.when(t.rlike(_XMLTV) & guide_epoch(iso).isNotNull(), iso)
+
+    def instant(t: Column) -> Column:
+        digits, away = [_piece(t, a, n) for a, n in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2))], F.right(t, F.lit(5))
+        y, mo, d, h, mi, s = digits
+        return F.concat(F.concat_ws("-", y, mo, d), F.lit("T"), F.concat_ws(":", h, mi, s), F.left(away, F.lit(3)), F.lit(":"), F.right(away, F.lit(2)))
+
+    sound = lambda i: F.when(_guide_epoch(i).isNotNull(), i)
+    return _bound(F.trim(x), lambda t: F.when(t.rlike(_XMLTV), _bound(instant(t), sound)))
 
 
 def local_wall(ms: Column, zone: str) -> Column:
@@ -89,10 +126,10 @@ def epoch_to_iso(ms: Column, zone: str) -> Column:
     return F.concat(F.date_format(local_wall(ms, zone), "yyyy-MM-dd'T'HH:mm:ss"), mark)
 
 
-def turkish_date(x: Column) -> Column:
-    """The first ``8 Eylül 2026`` in a text as a date."""
-    p = r"(\d{1,2})\s+(\p{L}+)\s+(\d{4})"
-    name = F.lower(F.replace(F.regexp_extract(x, p, 2), F.lit("İ"), F.lit("i")))
+def turkish_date(x: Column, before: str = "", after: str = "") -> Column:
+    """The first ``8 Eylül 2026`` in a text as a date. ``before``, ``after``: patterns of what must stand around it."""
+    p = before + r"(\d{1,2})\s+(\p{L}+)\s+(\d{4})" + after
+    name = F.lower(F.replace(F.replace(F.regexp_extract(x, p, 2), F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı")))
     month = F.array_position(F.array(*[F.lit(m) for m in TURKISH_MONTHS]), name).cast("int")
     return F.when(month > 0, F.try_make_timestamp(_int(x, p, 3), month, _int(x, p, 1), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
 
@@ -114,3 +151,21 @@ def today_in(zone: str) -> Column:
 
 def dashed_date(date: Column) -> Column:
     return F.date_format(date, "dd-MM-yyyy")
+
+
+# How pages name the days around today, today first.
+DAY_TAGS = ("bugun", "yarin", "sonraki-gun")
+
+
+def day_tag(date: Column, today: Column) -> Column:
+    """The tag of today and the two days after it, null for other days."""
+    return F.get(F.array(*[F.lit(t) for t in DAY_TAGS]), F.datediff(date, today))
+
+
+def previous_day(date: Column) -> Column:
+    return F.date_sub(date, 1)
+
+
+def weekday_tag(date: Column, tags: list[str]) -> Column:
+    """Of seven tags, Monday's first, the date's."""
+    return F.element_at(F.array(*[F.lit(t) for t in tags]), F.weekday(date) + 1)

@@ -6,6 +6,7 @@ White space is the set that trimming means in the feeds' own tools, which is wid
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 import pandas as pd
@@ -80,7 +81,8 @@ def strip_quality_qualifier(x: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _compatible(x: pd.Series) -> pd.Series:
-    return x.str.normalize("NFKC")
+    """NFKC; texts in ASCII are in it already."""
+    return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 @F.pandas_udf(T.StringType())
@@ -234,15 +236,25 @@ def normalize_stream_url(x: Column, unify_scheme: bool = True, keep_query: bool
     return F.when(text.rlike(_URL), out).otherwise(text)
 
 
+def _masked(query: Column) -> Column:
+    """A query's parameters, of which secret ones have their values masked, whatever way their names are written."""
+    secret = rf"(?i)^(?:{'|'.join(SECRET_PARAMETERS)})$"
+    name = lambda p: F.try_url_decode(F.substring_index(p, "=", 1))
+    return F.array_join(F.transform(F.split(query, "&"), lambda p: F.when(F.coalesce(name(p).rlike(secret), F.lit(False)), F.concat(name(p), F.lit("=REDACTED"))).otherwise(p)), "&")
+
+
 def redact_url(x: Column) -> Column:
-    """A URL that can be shown: user names, passwords and the values of secret parameters are masked."""
-    user = F.regexp_replace(_text(x), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@", "$1REDACTED@")
-    return F.regexp_replace(user, rf"(?i)([?&](?:{'|'.join(SECRET_PARAMETERS)})=)[^&#]*", "$1REDACTED")
+    """A URL that can be shown: without user name and password, and with the values of secret parameters masked. What is no absolute URL, or has nothing to hide, stays as it is."""
+    text = _text(x)
+    parts = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*@)?([^?#]*)(\?[^#]*)?(#.*)?$"
+    part = lambda k: F.regexp_extract(text, parts, k)
+    query = F.when(part(4) != "", F.concat(F.lit("?"), _masked(F.substring(part(4), 2, 2**31 - 1)))).otherwise("")
+    return F.when(text.rlike(parts), F.concat(part(1), part(3), query, part(5))).otherwise(text)
 
 
 def absolutize(x: Column, base: str) -> Column:
     base = base.rstrip("/")
-    return F.when(trim(_text(x)) == "", F.lit(None)).when(x.startswith("//"), F.concat(F.lit("https:"), x)).when(x.rlike("^(?i)https?://"), x).when(x.startswith("/"), F.concat(F.lit(base), x)).otherwise(F.concat(F.lit(base + "/"), x))
+    return F.when(trim(_text(x)) == "", F.lit(None).cast("string")).when(x.startswith("//"), F.concat(F.lit("https:"), x)).when(x.rlike("^(?i)https?://"), x).when(x.startswith("/"), F.concat(F.lit(base), x)).otherwise(F.concat(F.lit(base + "/"), x))
 
 
 def strip_query(x: Column) -> Column:

@@ -32,6 +32,8 @@ class Guide:
     days: int = 0
     failures: int = 0
     language: str = "tr"
+    #: Languages of the guides that this one holds, in order of precedence, where they are known.
+    languages: tuple[str, ...] = ()
 
 
 def derive_stops(slots: DataFrame) -> DataFrame:
@@ -66,6 +68,13 @@ def _first(keys: list[str], *order: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
 
 
+def least(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The least row of each key. Tasks reduce their own rows first, so a key that many rows have is no burden; nulls are keys as well."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in rows.columns])
+
+
 def sanitize_channels(channels: DataFrame) -> DataFrame:
     """Channels with a name and a folded id, one row an id and provider: the first's name, and the first icon and url that any of its rows has. Rejects have ``issue``."""
     return channels.select("provider", "seq", X.fold_channel_id(F.col("id")).alias("id"), "name", X.blank_to_null(F.col("icon")).alias("icon"), X.blank_to_null(F.col("url")).alias("url"), F.when(X.blank_to_null(F.col("id")).isNull() | X.blank_to_null(F.col("name")).isNull(), F.lit("invalid-channel")).alias("issue"))
@@ -96,13 +105,12 @@ def check_programmes(programmes: DataFrame, ids: DataFrame) -> DataFrame:
 
 def dedupe_identity(programmes: DataFrame, within: list[str] | None = None) -> DataFrame:
     """The first of all programmes with the same channel, start, stop and title, as written."""
-    keys = (within or []) + IDENTITY
-    return programmes.withColumn("_first", _first(keys, "provider", "seq")).where("_first").drop("_first")
+    return least(programmes, (within or []) + IDENTITY, ["provider", "seq"])
 
 
 def dedupe_slots(programmes: DataFrame) -> DataFrame:
     """The first of each channel, start and stop, in published order."""
-    return programmes.withColumn("_first", _first(SLOT, I.guide_epoch(F.col("start")), "start", "provider", "seq")).where("_first").drop("_first")
+    return least(programmes, SLOT, ["provider", "seq"])
 
 
 def in_order(programmes: DataFrame) -> DataFrame:
@@ -118,7 +126,7 @@ def normalise(guide: Guide) -> tuple[Guide, DataFrame]:
     good = checked.where("issue IS NULL").drop("issue").withColumn("_first", _first(["provider", *IDENTITY], "seq"))
     programmes = good.where("_first").drop("_first")
     issues = marked.select("issue").unionAll(checked.select("issue")).where("issue IS NOT NULL").unionAll(good.where("NOT _first").select(F.lit("duplicate-programme").alias("issue")))
-    return Guide(channels, programmes, max(0, guide.days), max(0, guide.failures), guide.language), issues.groupBy("issue").agg(F.count("*").alias("count"))
+    return Guide(channels, programmes, max(0, guide.days), max(0, guide.failures), guide.language, guide.languages), issues.groupBy("issue").agg(F.count("*").alias("count"))
 
 
 def validate(guide: Guide) -> None:
@@ -181,11 +189,13 @@ def merge(guide: Guide, aliases: dict | None = None, exclusive: bool = False) ->
     kept = (programmes.where("provider = owner") if exclusive else programmes).withColumn("channel", F.col("spelling")).drop("key", "spelling", "owner")
     marked = kept.withColumn("_first", _first(IDENTITY, "provider", "seq"))
     unique = marked.where("_first").drop("_first").withColumn("channel", X.fold_channel_id(F.col("channel")))
-    merged = Guide(united.drop("key").withColumn("id", X.fold_channel_id(F.col("id"))), unique, clean.days, clean.failures, clean.language)
+    language = clean.languages[0] if clean.languages else clean.language
+    merged = Guide(united.drop("key").withColumn("id", X.fold_channel_id(F.col("id"))), unique, clean.days, clean.failures, language)
     counters = marked.agg(F.count_if("_first").alias("programmes"), F.count_if(~F.col("_first")).alias("duplicates"))
     # three one-row tables
     counters = counters.crossJoin(shadowed.agg(F.count("*").alias("shadowed"))).crossJoin(united.agg(F.count("*").alias("channels")))
-    return merged, counters
+    known = {"days": clean.days, "failures": clean.failures, "mixed_language": sum(x != language for x in clean.languages)}
+    return merged, counters.withColumns({k: F.lit(v).cast("long") for k, v in known.items()})
 
 
 def keep_channels(guide: Guide, ids: list[str]) -> Guide:

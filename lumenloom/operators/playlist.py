@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import text as X
 from lumenloom.operators.graph import components
-from lumenloom.scratch import cut
+from lumenloom.operators.guide import least
+from lumenloom.scratch import cut, drop
 
 STYLES = ("numbered", "parenthesized", "none", "backup", "source", "keep-first", "fail")
 
@@ -136,8 +137,7 @@ def rank_copies(entries: DataFrame) -> DataFrame:
 def collapse_feeds(entries: DataFrame, unify_scheme: bool = True, keep_query: bool = False) -> DataFrame:
     """Of a channel's entries with the same feed the first seen."""
     feed = X.normalize_stream_url(F.col("url"), unify_scheme, keep_query)
-    w = Window.partitionBy("channel_key", "_feed").orderBy("entry_id", "copy_no")
-    return entries.withColumn("_feed", feed).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_feed", "_n")
+    return least(entries.withColumn("_feed", feed), ["channel_key", "_feed"], ["entry_id", "copy_no"]).drop("_feed")
 
 
 def cap_copies(entries: DataFrame, most: int, ranked: bool = True) -> DataFrame:
@@ -210,28 +210,36 @@ def _with_id_number(candidate: Column, n: Column) -> Column:
 def _numbered(rows: DataFrame, want: str, numbered) -> DataFrame:
     """``_given``: the candidate, or its first numbered form that is free.
 
-    Rows are numbered within their candidate, then forms that meet another row's are moved on by
-    rounds until no two agree: the row that comes first in output order keeps what it has. Names
-    that meet are few, and each round is one grouped pass over them.
+    Rows are numbered within their candidate. What no other row has stays as it is; only the forms
+    that meet are moved on, by rounds in which the row that comes first in output order keeps what
+    it has, and each round writes no more than the rows that still meet and what they could meet.
     """
     order = ["channel_key", "copy_index"]
     low = F.lower(F.col(want))
     out = rows.withColumn("_n", F.row_number().over(Window.partitionBy(low).orderBy(*order)))
     given = F.when(F.col("_n") == 1, F.col(want)).otherwise(numbered(F.col(want), F.col("_n")))
+    out = cut(out.withColumn("_given", given), "names")
     while True:
-        clash = F.row_number().over(Window.partitionBy(F.lower("_given")).orderBy(F.col("_n") > 1, *order))
-        marked = cut(out.withColumn("_given", given).withColumn("_clash", clash), "names")
-        if marked.where("_clash > 1").isEmpty():
-            return marked.drop("_n", "_clash")
-        bump = F.sum(F.when(F.col("_clash") > 1, 1).otherwise(0)).over(Window.partitionBy(low).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
-        out = marked.withColumn("_n", F.when(F.col("_n") == 1, F.when(F.col("_clash") > 1, 2).otherwise(1)).otherwise(F.col("_n") + bump)).drop("_given", "_clash")
+        # a name meets another only if two rows have it: found by counting, without a window over all rows
+        met = out.groupBy(F.lower("_given").alias("_low")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_low")
+        clash = out.join(met, F.lower("_given") == F.col("_low"), "left_semi")
+        place = F.row_number().over(Window.partitionBy(F.lower("_given")).orderBy(F.col("_n") > 1, *order))
+        moved = cut(clash.withColumn("_place", place).where("_place > 1").groupBy(low.alias("_k")).agg(F.sort_array(F.collect_list("_n")).alias("_hit")), "moved")
+        if moved.isEmpty():
+            return out.drop("_n")
+        # rows of a candidate from its first hit on move up by one for each hit so far; a first row that is hit becomes the second
+        mine = out.join(moved, low == F.col("_k"), "left")
+        before = F.size(F.filter("_hit", lambda h: h <= F.col("_n")))
+        n = F.when(F.col("_hit").isNull(), F.col("_n")).when(F.col("_n") == 1, F.when(before > 0, 2).otherwise(1)).otherwise(F.col("_n") + before)
+        stepped = mine.withColumn("_n", n.cast("int")).drop("_hit", "_k")
+        old, out = out, cut(stepped.withColumn("_given", F.when(F.col("_n") == 1, F.col(want)).otherwise(numbered(F.col(want), F.col("_n")))), "names")
+        drop(old, moved)
 
 
 def drop_repeated_urls(entries: DataFrame, unify_scheme: bool = True) -> DataFrame:
     """Of all channels' entries with the same feed, query included, the first in output order."""
     feed = X.normalize_stream_url(F.col("url"), unify_scheme, True)
-    w = Window.partitionBy("_feed").orderBy("channel_key", "copy_index")
-    return entries.withColumn("_feed", feed).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_feed", "_n")
+    return least(entries.withColumn("_feed", feed), ["_feed"], ["channel_key", "copy_index"]).drop("_feed")
 
 
 def finalise(entries: DataFrame, style: str, infer: bool = True) -> DataFrame:
@@ -280,17 +288,28 @@ def report(playlist: Playlist) -> str:
     return json.dumps({"stats": playlist.stats.first().asDict(), "unmatched_patterns": [r.pattern for r in playlist.unmatched.collect()], "conflicts": [f"{r.base_name} ({r.feeds} feeds)" for r in playlist.conflicts.collect()], "entries": [r.asDict() for r in rows]}, ensure_ascii=False)
 
 
+# Transport errors that trying again doesn't mend.
+FINAL_ERRORS = ("ECONNREFUSED", "ENOTFOUND", "EAI_AGAIN", "CERT_HAS_EXPIRED", "ERR_TLS_CERT_ALTNAME_INVALID", "DEPTH_ZERO_SELF_SIGNED_CERT", "UNABLE_TO_VERIFY_LEAF_SIGNATURE")
+
+
 def classify_probes(observations: DataFrame) -> DataFrame:
-    """``observations(url, status, body_head, error)`` with ``alive, reason, retryable``: alive is a 2xx answer that holds ``#EXTM3U`` in its first 400 characters."""
-    e = F.lower(F.coalesce("error", F.lit("")))
-    alive = F.col("status").between(200, 299) & F.contains(F.substring(F.coalesce("body_head", F.lit("")), 1, 400), F.lit("#EXTM3U"))
-    reason = (
-        F.when(F.coalesce(alive, F.lit(False)), F.lit(None).cast("string"))
-        .when(e.rlike("certificate|self.signed|ssl|tls"), "tls-error")
-        .when(e.rlike("etimedout|abort|timed? ?out"), "timeout")
-        .when(e.rlike("econnreset|socket hang up|reset"), "connection-reset")
-        .when(e != "", "network-error")
-        .when(F.col("status").between(200, 299), "not-a-playlist")
-        .otherwise(F.concat(F.lit("http-"), F.coalesce(F.col("status").cast("string"), F.lit("none"))))
+    """``observations(url, status, body_head, error_code, error)`` with ``alive, reason, retryable``.
+
+    Alive is a 2xx answer that holds ``#EXTM3U`` in its first 400 characters. A transport error
+    (a code or a message) counts before a status. Timeouts, resets, 429 and 5xx are worth another try.
+    """
+    code, message = F.upper(F.coalesce("error_code", F.lit(""))), F.coalesce("error", F.lit(""))
+    status, failed = F.coalesce("status", F.lit(0)), (F.coalesce("error_code", F.lit("")) != "") | (F.coalesce("error", F.lit("")) != "")
+    manifest = F.contains(F.substring(F.coalesce("body_head", F.lit("")), 1, 400), F.lit("#EXTM3U"))
+    transport = (
+        F.when(code.isin(*FINAL_ERRORS), F.lower(code))
+        .when(message.rlike("(?i)certificate|self.signed|SSL|TLS"), "tls-error")
+        .when((code == "ETIMEDOUT") | message.rlike("(?i)abort|timed? ?out"), "timeout")
+        .when((code == "ECONNRESET") | message.rlike("(?i)socket hang up|reset"), "connection-reset")
+        .when(code != "", F.lower(code))
+        .otherwise("network-error")
     )
-    return observations.withColumns({"alive": F.coalesce(alive, F.lit(False)), "reason": reason}).withColumn("retryable", F.coalesce(F.col("reason").isin("timeout", "connection-reset") | (F.col("status") >= 500), F.lit(False)))
+    answered = F.when(status.between(200, 299), F.when(~manifest, "not-a-manifest")).when(status == 403, "forbidden").otherwise(F.concat(F.lit("http-"), status.cast("string")))
+    out = observations.withColumn("reason", F.when(failed, transport).otherwise(answered))
+    again = F.when(failed, F.col("reason").isin("timeout", "connection-reset")).otherwise((status == 429) | status.between(500, 599))
+    return out.withColumns({"alive": F.col("reason").isNull(), "retryable": again})

@@ -72,6 +72,12 @@ def drop_since(before: set[str], *kept: DataFrame) -> None:
         remove(_tables.pop(path), path)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``, on any file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

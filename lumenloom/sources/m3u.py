@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text as X
+from lumenloom.scratch import cut
 
 # Limits of the format's readers and writers, in bytes, entries and characters.
 MAX_BYTES, MAX_ENTRIES, MAX_FIELD = 16 * 1024 * 1024, 20_000, 16_384
@@ -111,4 +112,5 @@ def write(entries: DataFrame, path: str, keep: tuple[str, ...] = KEPT_ATTRIBUTES
     spark = entries.sparkSession
     head = spark.createDataFrame([("", -1, "#EXTM3U")], "channel_key string, copy_index int, value string")
     lines = head.unionByName(render(entries, keep).select("channel_key", "copy_index", "value"))
-    lines.coalesce(1).sortWithinPartitions("channel_key", "copy_index").select("value").write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+    lines = cut(lines.repartitionByRange("channel_key", "copy_index"), "lines")  # rendered by many tasks; only the writing is one
+    lines.repartition(1).sortWithinPartitions("channel_key", "copy_index").select("value").write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)

@@ -13,91 +13,122 @@ from pyspark.sql import types as T
 
 from lumenloom.functions import instants as I
 from lumenloom.functions import text as X
+from lumenloom.operators.guide import least
+from lumenloom.sources import markup as M
 
 
-def _matches(pages: DataFrame, pattern: str, *groups: str, column: str = "value") -> DataFrame:
-    """A row for each match with its groups; ``seq`` counts matches of a page."""
-    arrays = [F.regexp_extract_all(column, F.lit(pattern), F.lit(k + 1)).alias(g) for k, g in enumerate(groups)]
-    zipped = pages.select("page", F.posexplode(F.arrays_zip(*arrays)).alias("seq", "m"))
-    return zipped.select("page", "seq", *[F.col(f"m.{g}").alias(g) for g in groups])
+# Names of the parts of pages.
+LIST, TIME, NAME = "epg-list", "time", "program-name"
+PAIR_TIME, PAIR_NAME = "program-time", "program-name"
+RAIL, ROW, CELL, CELL_TITLE, CELL_TIME = "flow-module-channel", "flow-module-row", "flow-module-col", "column-title", "column-time"
+DAY_TITLE, DAY_ROW, DAY_TIME, DAY_NAME, BRAND = "day-title", "prog-row", "prog-time", "prog-name", "w-nav-brand"
+SERVED_AFTER, CARD_LINK, LOGO_LINK = r"\s+tarihli", r"/([a-z0-9-]+)-yayin-akisi-bugun$", r"/yayin-akisi/([a-z0-9-]+)/\d{2}-\d{2}-\d{4}$"
 
+_CLOCK = r"^(\d{1,2}):(\d{2})$"
 
-def _title(x: Column) -> Column:
-    return X.collapse_whitespace(X.decode_entities(x))
+
+def _each(pages: DataFrame, found: Column, *more: str) -> DataFrame:
+    """A row for each section; ``seq`` counts those of a page."""
+    return pages.select("page", *more, F.posexplode(found).alias("seq", "section"))
+
+
+def _one(x: Column, tag: str, css: str) -> Column:
+    """What the first element of a kind and class holds, null without one."""
+    return M.content(F.get(M.sections(x, tag, css), F.lit(0)), tag)
 
 
 def _slots(rows: DataFrame, end_of_day: bool = True) -> DataFrame:
-    out = rows.withColumns({"start_min": I.clock_minutes(F.col("h").try_cast("int"), F.col("m").try_cast("int"), end_of_day), "title": _title(F.col("title"))})
-    return out.where("start_min IS NOT NULL AND title <> ''").drop("h", "m")
+    """``rows(clock, title)`` with ``start_min``; rows without a time of day or a title are left out."""
+    part = lambda k: F.regexp_extract("clock", _CLOCK, k).try_cast("int")
+    out = rows.withColumn("start_min", I.clock_minutes(part(1), part(2), end_of_day))
+    return out.where("start_min IS NOT NULL AND title <> ''").drop("clock")
 
 
 def _image(x: Column) -> Column:
     """The address if it is http(s) and has no ``|``."""
-    url = X.trim(X.decode_entities(x))
+    url = X.trim(x)
     return F.when(url.rlike("(?i)^https?://") & ~url.contains("|"), url)
 
 
 def flat_list(pages: DataFrame) -> DataFrame:
-    """Slots of a page with one list of times and titles, and the date that the page says it serves."""
-    listed = pages.withColumn("list", F.regexp_extract("value", r'(?s)<ul class="epg-list">(.*?)</ul>', 1))
-    rows = _matches(listed, r'(?s)<div class="time">\s*(\d{1,2}):(\d{2})\s*</div>.*?<div class="(?:title|name)[^"]*">(.*?)</div>', "h", "m", "title", column="list")
-    served = pages.select("page", I.turkish_date(X.decode_entities(F.regexp_extract("value", r"(?is)<title>(.*?)</title>", 1))).alias("served"))
-    return _slots(rows, end_of_day=False).withColumn("title", X.collapse_whitespace(X.strip_tags(F.col("title")))).join(served, "page")
+    """Slots of a page with one list of times and names, and the date that the page's title says it serves."""
+    listed = _each(pages, M.sections(_one(F.col("value"), "ul", LIST), "li"))
+    rows = listed.select("page", "seq", M.words(_one(F.col("section"), "div", TIME)).alias("clock"), M.words(_one(F.col("section"), "div", NAME)).alias("title"))
+    title = M.content(F.get(M.sections(F.col("value"), "title"), F.lit(0)), "title")
+    return _slots(rows, end_of_day=False).join(pages.select("page", I.turkish_date(M.words(title), after=SERVED_AFTER).alias("served")), "page")
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
-    """Slots of a page with a table of names and times, and the date in its heading."""
-    cell = '<td style="padding:2px"><strong>'
-    rows = _matches(pages, rf"(?s){cell}(.*?)</strong></td>\s*{cell}(\d{{1,2}}):(\d{{2}})</strong></td>", "title", "h", "m")
-    served = pages.select("page", I.turkish_date(X.decode_entities(F.regexp_extract("value", "<h2>([^<]+)</h2>", 1))).alias("served"))
-    return _slots(rows).join(served, "page")
+    """Slots of a page with a table of names and times, and the date that begins its heading."""
+    cells = F.transform(F.filter(M.sections(F.col("section"), "td"), lambda c: c.rlike("(?i)<strong>")), lambda c: M.words(M.content(c, "td")))
+    rows = _each(pages, M.sections(F.col("value"), "tr")).select("page", "seq", cells.alias("cells")).where(F.size("cells") >= 2)
+    heading = M.words(M.content(F.get(M.sections(F.col("value"), "h2"), F.lit(0)), "h2"))
+    slots = _slots(rows.select("page", "seq", F.get("cells", F.lit(1)).alias("clock"), F.get("cells", F.lit(0)).alias("title")))
+    return slots.join(pages.select("page", I.turkish_date(heading, before="^").alias("served")), "page")
 
 
 def table_logo(pages: DataFrame, base: str) -> DataFrame:
-    tag = F.regexp_extract("value", r'<img[^>]*\bborder="0"[^>]*>', 0)
-    src = X.trim(F.regexp_extract(tag, r'src="([^"]*)"', 1))
-    ok = (src != "") & ~src.startswith("data:") & ~src.rlike(r"[\s|]")
-    return pages.select("page", F.when(ok, X.strip_query(X.absolutize(src, base))).alias("icon")).where("icon IS NOT NULL")
+    """The address, without its query, of a page's first borderless image."""
+    own = F.get(F.filter(M.sections(F.col("value"), "img"), lambda i: F.coalesce(F.try_element_at(M.attributes(i), F.lit("border")) == "0", F.lit(False))), F.lit(0))
+    src = X.trim(F.try_element_at(M.attributes(own), F.lit("src")))
+    sound = (src != "") & ~src.startswith("data:") & ~src.rlike(r"[\s|]")
+    return pages.select("page", F.when(sound, X.strip_query(X.absolutize(src, base))).alias("icon")).where("icon IS NOT NULL")
 
 
 def zipped_lists(pages: DataFrame) -> DataFrame:
-    """Slots of a page whose times and names stand in two lists; the longer list's end is left out."""
-    every = lambda p: F.regexp_extract_all("value", F.lit(p), F.lit(1))
-    lists = pages.select("page", every(r'class="program-time[^"]*">([^<]*)</strong>').alias("t"), every(r'class="program-name[^"]*">([^<]*)</p>').alias("n"))
+    """Slots of a page whose times and names stand beside each other in two series; the longer one's end is left out."""
+    every = lambda tag, css: F.transform(M.sections(F.col("value"), tag, css), lambda s: M.words(M.content(s, tag)))
+    lists = pages.select("page", every("strong", PAIR_TIME).alias("t"), every("p", PAIR_NAME).alias("n"))
     both = F.least(F.size("t"), F.size("n"))
     rows = lists.select("page", F.posexplode(F.arrays_zip(F.slice("t", F.lit(1), both).alias("t"), F.slice("n", F.lit(1), both).alias("n"))).alias("seq", "x"))
-    clock = _title(F.col("x.t"))
-    return _slots(rows.select("page", "seq", F.regexp_extract(clock, r"^(\d{1,2}):(\d{2})$", 1).alias("h"), F.regexp_extract(clock, r"^(\d{1,2}):(\d{2})$", 2).alias("m"), F.col("x.n").alias("title")))
+    return _slots(rows.select("page", "seq", F.col("x.t").alias("clock"), F.col("x.n").alias("title")))
+
+
+def _cards(pages: DataFrame, link: str) -> DataFrame:
+    """Links whose address ends like ``link``: ``page, seq, slug`` and the attributes of the first image inside, as ``image``."""
+    rows = _each(pages, M.sections(F.col("value"), "a"))
+    slug = F.lower(F.regexp_extract(F.coalesce(M.attribute(F.col("section"), "href"), F.lit("")), f"(?i){link}", 1))
+    image = F.get(M.sections(M.content(F.col("section"), "a"), "img"), F.lit(0))
+    return rows.select("page", "seq", slug.alias("slug"), image.alias("image")).where("slug <> ''")
 
 
 def channel_cards(pages: DataFrame) -> DataFrame:
-    """Channels of an index page; the first card of a slug counts."""
-    rows = _matches(pages, r'(?is)<a[^>]*\bhref="[^"]*/([a-z0-9-]+)-yayin-akisi-bugun"[^>]*>(.*?)</a>', "slug", "inner")
-    named = rows.select("page", "seq", "slug", _title(F.regexp_extract("inner", 'alt="([^"]*)"', 1)).alias("name"), _image(F.regexp_extract("inner", r'(?:data-src|src)="([^"]*)"', 1)).alias("icon")).where("name <> ''")
-    return named.withColumn("_n", F.row_number().over(Window.partitionBy("page", "slug").orderBy("seq"))).where("_n = 1").drop("_n")
+    """Channels of an index page; the first card of a slug that has a name counts."""
+    icon = F.coalesce(M.attribute(F.col("image"), "data-src"), M.attribute(F.col("image"), "src"))
+    named = _cards(pages, CARD_LINK).select("page", "seq", "slug", X.collapse_whitespace(M.attribute(F.col("image"), "alt")).alias("name"), _image(icon).alias("icon"))
+    return least(named.where("name <> ''"), ["page", "slug"], ["seq"])
 
 
 def logo_cards(pages: DataFrame) -> DataFrame:
     """Channel logos of an index page by slug; the first sound one counts."""
-    rows = _matches(pages, r'(?i)<a[^>]*href="[^"]*?/yayin-akisi/([a-z0-9-]+)/[0-9]{2}-[0-9]{2}-[0-9]{4}"[^>]*>\s*<img[^>]*src="([^"]+)"[^>]*>', "slug", "src")
-    sound = rows.select("page", "seq", F.lower("slug").alias("slug"), _image(F.col("src")).alias("icon")).where("icon IS NOT NULL")
+    sound = _cards(pages, LOGO_LINK).withColumn("icon", _image(M.attribute(F.col("image"), "src"))).where("icon IS NOT NULL")
     return sound.groupBy("page", "slug").agg(F.min_by("icon", "seq").alias("icon"))
 
 
+def brand_logo(pages: DataFrame) -> DataFrame:
+    """The logo in a page's brand link."""
+    brand = M.content(F.get(M.sections(F.col("value"), "a", BRAND), F.lit(0)), "a")
+    return pages.select("page", _image(M.attribute(F.get(M.sections(brand, "img"), F.lit(0)), "src")).alias("icon")).where("icon IS NOT NULL")
+
+
 def week_grid(pages: DataFrame, categories: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Channels of the rail and slots of the rows; row i belongs to the i-th channel. Equal times are a whole day, and a slot may cross midnight."""
-    rail = _matches(pages, r'(?s)<li class="flow-module-channel">(.*?)</li>', "block")
-    channels = rail.select("page", "seq", _title(F.regexp_extract("block", r'<img[^>]*\balt="([^"]*)"', 1)).alias("name"), F.regexp_extract("block", r'<a[^>]*\bhref="([^"]*)"', 1).alias("url"), X.strip_query(F.regexp_extract("block", r'<img[^>]*\bsrc="([^"]*)"', 1)).alias("icon")).where("name <> ''")
-    channels = channels.withColumn("channel_no", F.row_number().over(Window.partitionBy("page").orderBy("seq")) - 1)
-    rows = pages.select("page", F.posexplode(F.slice(F.split("value", r'<div class="flow-module-row">'), 2, 2**31 - 1)).alias("channel_no", "row"))
-    cols = rows.select("page", "channel_no", F.posexplode(F.slice(F.split("row", r'(?=<div class="flow-module-col[^"]*"[^>]*>)'), 1, 2**31 - 1)).alias("seq", "col")).where(F.col("col").startswith('<div class="flow-module-col'))
-    time = r'class="column-time">\s*([0-2]?\d):([0-5]\d)\s*-\s*([0-2]?\d):([0-5]\d)'
-    g = lambda k: F.regexp_extract("col", time, k).try_cast("int")
-    start, stop = I.clock_minutes(g(1), g(2)), I.clock_minutes(g(3), g(4), True)
-    span = (stop - start + 1440) % 1440
-    kind = F.regexp_extract("col", 'data-type="([^"]*)"', 1)
-    category = F.try_element_at(F.create_map(*[F.lit(v) for kv in categories.items() for v in kv]), kind) if categories else F.lit(None).cast("string")
-    slots = cols.select("page", "channel_no", "seq", _title(F.regexp_extract("col", r'(?s)class="column-title">(.*?)(?:<a\s|</h2>)', 1)).alias("title"), category.alias("category"), start.alias("start_min"), (start + F.when(span == 0, 1440).otherwise(span)).alias("stop_min"))
+    rail = _each(pages, M.sections(F.col("value"), "li", RAIL))
+    block = M.content(F.col("section"), "li")
+    image, link = F.get(M.sections(block, "img"), F.lit(0)), F.get(M.sections(block, "a"), F.lit(0))
+    named = rail.select("page", "seq", X.collapse_whitespace(M.attribute(image, "alt")).alias("name"), M.attribute(link, "href").alias("url"), X.strip_query(M.attribute(image, "src")).alias("icon")).where("name <> ''")
+    channels = named.withColumn("channel_no", F.row_number().over(Window.partitionBy("page").orderBy("seq")) - 1)
+    rows = pages.select("page", F.posexplode(M.sections(F.col("value"), "div", ROW)).alias("channel_no", "row"))
+    cells = rows.select("page", "channel_no", F.posexplode(M.sections(F.col("row"), "div", CELL)).alias("seq", "cell"))
+    # the title ends where a link in it begins
+    title = M.words(F.regexp_replace(F.get(F.transform(M.sections(F.col("cell"), "h2", CELL_TITLE), lambda h: M.content(h, "h2")), F.lit(0)), r"(?s)<a\s.*$", ""))
+    kind = M.attribute(F.col("cell"), "data-type")
+    times = F.regexp_extract_all(F.regexp_extract("cell", rf'(?s)class="{CELL_TIME}"[^>]*>([^<]*)', 1), F.lit(r"(\d{1,2}:\d{2})"), F.lit(1))
+    read = cells.select("page", "channel_no", "seq", title.alias("title"), kind.alias("kind"), times.alias("times")).where(F.size("times") == 2)
+    minute = lambda k, end: I.clock_minutes(F.split_part(F.get("times", F.lit(k)), F.lit(":"), F.lit(1)).try_cast("int"), F.split_part(F.get("times", F.lit(k)), F.lit(":"), F.lit(2)).try_cast("int"), end)
+    start, span = minute(0, False), F.pmod(minute(1, True) - minute(0, False), F.lit(1440))
+    category = F.try_element_at(F.create_map(*[F.lit(v) for kv in categories.items() for v in kv]), F.col("kind")) if categories else F.lit(None).cast("string")
+    slots = read.select("page", "channel_no", "seq", "title", category.alias("category"), start.alias("start_min"), (start + F.when(span == 0, 1440).otherwise(span)).alias("stop_min"))
     return channels, slots.where("title <> '' AND start_min IS NOT NULL AND stop_min IS NOT NULL")
 
 
@@ -108,21 +139,20 @@ def pair_rail(channels: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFra
     return paired.where("channel IS NOT NULL"), lost
 
 
-def weekly_cards(pages: DataFrame, heading: str, row: str) -> DataFrame:
-    """Slots of a page of day headings and rows; a row belongs to the last heading before it.
+def weekly_cards(pages: DataFrame) -> DataFrame:
+    """Slots of a page of day headings (``name / DD.MM.YYYY``) and rows; a row belongs to the last sound heading before it.
 
-    ``heading`` and ``row`` are patterns with one group (``name / DD.MM.YYYY``) and three (hour,
-    minute, title). Both are found in one pass, so the order of what was found is their offset.
+    The page is split at headings and rows at once, so the order of what comes is its offset.
     """
-    both = pages.select("page", F.posexplode(F.regexp_extract_all("value", F.lit(f"(?s){heading}|{row}"), F.lit(0))).alias("seq", "x"))
-    label = _title(F.regexp_extract("x", f"(?s){heading}", 1))
-    date = F.regexp_extract(label, r"^[^/]*[^/\s][^/]*/(?:.*/)?\s*(\d{2}\.\d{2}\.\d{4})$", 1)
-    day = F.try_to_date(date, "dd.MM.yyyy")
-    w = Window.partitionBy("page").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    marked = both.withColumn("date", F.last(F.when(F.col("x").rlike(f"(?s){heading}"), day), ignorenulls=True).over(w))
-    rows = marked.where(F.col("date").isNotNull() & F.col("x").rlike(f"(?s){row}") & ~F.col("x").rlike(f"(?s)^{heading}"))
-    g = lambda k: F.regexp_extract("x", f"(?s){row}", k)
-    return _slots(rows.select("page", "seq", "date", g(1).alias("h"), g(2).alias("m"), g(3).alias("title")))
+    mark = rf'(?i)(?=<h3\b[^>]*class="{DAY_TITLE}")|(?=<div\s+class="{DAY_ROW}")'
+    both = pages.select("page", F.posexplode(F.split("value", mark)).alias("seq", "section"))
+    heading = F.col("section").rlike("(?i)^<h3")
+    label = F.when(heading, M.words(M.content(F.col("section"), "h3")))
+    day = F.when(F.trim(F.substring_index(label, "/", 1)) != "", F.try_to_date(F.regexp_extract(label, r"/\s*(\d{2}\.\d{2}\.\d{4})$", 1), "dd.MM.yyyy"))
+    w = Window.partitionBy("page").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dated = both.withColumn("date", F.last(day, ignorenulls=True).over(w)).where(F.col("section").rlike("(?i)^<div") & F.col("date").isNotNull())
+    of = lambda css: M.words(_one(F.col("section"), "span", css))
+    return _slots(dated.select("page", "seq", "date", of(DAY_TIME).alias("clock"), of(DAY_NAME).alias("title")))
 
 
 NEXT_DATA = "props struct<pageProps:struct<activeLeagues:array<struct<rewriteId:string,image:string,channelId:string>>,data:struct<event_date:string,listTvGuides:array<struct<channel_id:string,event_time:string,name:string>>>>>"
@@ -138,9 +168,8 @@ def next_data(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     leagues = props.select("page", F.posexplode("p.activeLeagues").alias("seq", "x")).where("x.rewriteId <> '' AND x.channelId IS NOT NULL")
     channels = leagues.groupBy("page", F.col("x.rewriteId").alias("slug")).agg(F.min_by(F.col("x.channelId").try_cast("long"), "seq").alias("channel_id"), F.min_by(F.when(X.is_http_url(F.col("x.image")), F.col("x.image")), "seq").alias("icon"))
     items = props.select("page", F.try_to_date("p.data.event_date", "yyyy-MM-dd").alias("served"), F.posexplode("p.data.listTvGuides").alias("seq", "x"))
-    p = r"^(\d{1,2}):(\d{2})(?::\d{2})?$"
-    clock = X.trim(F.col("x.event_time"))
-    slots = items.select("page", "seq", "served", F.col("x.channel_id").try_cast("long").alias("channel_id"), F.regexp_extract(clock, p, 1).alias("h"), F.regexp_extract(clock, p, 2).alias("m"), F.col("x.name").alias("title"))
+    clock = F.regexp_extract(X.trim(F.col("x.event_time")), r"^(\d{1,2}:\d{2})(?::\d{2})?$", 1)
+    slots = items.select("page", "seq", "served", F.col("x.channel_id").try_cast("long").alias("channel_id"), clock.alias("clock"), M.words(F.col("x.name")).alias("title"))
     return channels, _slots(slots)
 
 
@@ -169,9 +198,9 @@ _EVENTS = "name string, date_time string, sport_name string, channels array<stru
 
 
 def _event_slots(events: DataFrame) -> DataFrame:
-    p = r"^(\d{4}-\d{2}-\d{2})[ T](\d{1,2}):(\d{2})(?::\d{2})?$"
+    p = r"^(\d{4}-\d{2}-\d{2})[ T](\d{1,2}:\d{2})(?::\d{2})?$"
     at = X.trim(F.col("e.date_time"))
-    rows = events.select("*", F.try_to_date(F.regexp_extract(at, p, 1), "yyyy-MM-dd").alias("date"), F.regexp_extract(at, p, 2).alias("h"), F.regexp_extract(at, p, 3).alias("m"), F.col("e.name").alias("title"), X.clean_text(F.col("e.sport_name")).alias("category")).drop("e")
+    rows = events.select("*", F.try_to_date(F.regexp_extract(at, p, 1), "yyyy-MM-dd").alias("date"), F.regexp_extract(at, p, 2).alias("clock"), M.words(F.col("e.name")).alias("title"), X.clean_text(F.col("e.sport_name")).alias("category")).drop("e")
     return _slots(rows.where("date IS NOT NULL"))
 
 
@@ -239,3 +268,8 @@ def event_envelope(pages: DataFrame, owners: dict[str, str]) -> DataFrame:
     known = F.create_map(*[F.lit(v) for kv in owners.items() for v in kv])
     fanned = events.select("page", "day", "seq", "e", F.explode("e.channels").alias("c")).withColumn("channel", F.try_element_at(known, X.normalize_channel_key(F.col("c.name")))).withColumn("icon", _image(F.col("c.icon"))).drop("c")
     return _event_slots(fanned.where("channel IS NOT NULL")).where(F.col("date") == F.col("day").cast("date"))
+
+
+def platform_address(pages: DataFrame) -> DataFrame:
+    """The secure address that an answer about the platform names; pages without one are left out."""
+    return pages.select("page", F.nullif(F.get_json_object("value", "$.https"), F.lit("")).alias("https")).where("https IS NOT NULL")

@@ -12,58 +12,61 @@ from pyspark.sql import functions as F
 from lumenloom.functions import instants as I
 from lumenloom.functions import text as X
 from lumenloom.operators.guide import Guide, dedupe_slots, normalise, validate
-from lumenloom.scratch import cut
+from lumenloom.scratch import cut, drop, size_of
+from lumenloom.sources import markup as M
 
 
-def attribute(attrs: Column, name: str) -> Column:
-    """An attribute's decoded value. The name must follow white space, so ``data-id`` is not ``id``; null without it."""
-    p = rf'(?:^|\s){name}\s*=\s*"([^"]*)"'
-    return F.when(attrs.rlike(p), X.decode_entities(F.regexp_extract(attrs, p, 1)))
+def _elements(documents: DataFrame, tag: str) -> DataFrame:
+    """``provider, seq, attrs, children`` of each element."""
+    found = documents.select("provider", F.posexplode(M.sections(F.col("value"), tag)).alias("seq", "x")).where(F.col("x").contains(f"</{tag}>"))
+    return found.select("provider", F.col("seq").cast("long").alias("seq"), M.attributes(F.col("x")).alias("attrs"), M.children(M.content(F.col("x"), tag)).alias("children"))
 
 
-def tag_text(body: Column, tag: str) -> Column:
-    p = rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
-    return F.when(body.rlike(p), X.trim(X.decode_entities(F.regexp_extract(body, p, 1))))
+def _filled(x: Column) -> Column:
+    return F.nullif(X.trim(X.decode_entities(x)), F.lit(""))
 
 
-def icon_source(body: Column) -> Column:
-    return X.decode_entities(F.regexp_extract(body, r'<icon\s[^>]*src\s*=\s*"([^"]*)"[^>]*/?>', 1))
+def _own(name: str) -> Column:
+    return X.decode_entities(F.try_element_at("attrs", F.lit(name)))
 
 
-def document_language(document: Column) -> Column:
-    tag = X.decode_entities(F.regexp_extract(document, r"""(?i)<(?:display-name|title)\b[^>]*\blang\s*=\s*(["'])([^"']*)\1""", 2))
-    return F.when(X.is_language_tag(tag), X.trim(tag)).otherwise("tr")
+def _inner(tag: str) -> Column:
+    return _filled(M.child(F.col("children"), tag)["text"])
 
 
-_CHANNEL, _PROGRAMME = r"<channel\b([^>]*)>", r"<programme\s([^>]*?)>"
+def _icon_source() -> Column:
+    return _filled(F.try_element_at(M.attributes(M.child(F.col("children"), "icon")["opening"]), F.lit("src")))
 
 
-def _elements(documents: DataFrame, tag: str, opening: str) -> DataFrame:
-    """``provider, seq, attrs, body`` of each element."""
-    found = documents.select("provider", F.posexplode(F.regexp_extract_all("value", F.lit(f"(?s){opening}.*?</{tag}>"), F.lit(0))).alias("seq", "x"))
-    inner = F.regexp_extract("x", f"(?s)^{opening}(.*)</{tag}>$", 2)
-    return found.select("provider", F.col("seq").cast("long").alias("seq"), F.regexp_extract("x", f"(?s)^{opening}", 1).alias("attrs"), inner.alias("body"))
+def _language(tag: str) -> Column:
+    """The language that an element's first ``tag`` says it is in, null if it says none or no sound one."""
+    said = X.trim(X.decode_entities(F.try_element_at(M.attributes(M.child(F.col("children"), tag)["opening"]), F.lit("lang"))))
+    return F.when(X.is_language_tag(said), said)
 
 
 def parse(documents: DataFrame) -> Guide:
     """The guide of ``documents(provider, value)``, a whole document a row.
 
-    Decoded texts are written before anything looks at them again: else each later condition
-    would be put together with the patterns and evaluated over and over.
+    Each element is split into attributes and children once, and what was read is written before
+    anything looks at it again: else each later condition would be put together with the patterns
+    and evaluated over and over. The guide's language is the one that is said first, else Turkish.
     """
-    some = lambda *names: {c: F.nullif(F.col(c), F.lit("")) for c in names}
-    attrs, body = F.col("attrs"), F.col("body")
-    ch = cut(_elements(documents, "channel", _CHANNEL).select("provider", "seq", attribute(attrs, "id").alias("id"), tag_text(body, "display-name").alias("name"), icon_source(body).alias("icon"), tag_text(body, "url").alias("url")), "channels")
+    ch = _elements(documents, "channel").select("provider", "seq", _own("id").alias("id"), _inner("display-name").alias("name"), _icon_source().alias("icon"), _inner("url").alias("url"), _language("display-name").alias("lang"))
+    ch = cut(ch, "channels")
     w = Window.partitionBy("provider", "id").orderBy("seq")
-    channels = ch.where("id <> ''").withColumns(some("name", "icon", "url")).withColumn("name", F.coalesce("name", "id"))
-    channels = channels.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    channels = ch.where("id <> ''").withColumn("name", F.coalesce("name", "id"))
+    channels = channels.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "lang")
     texts = {"title": "title", "sub_title": "sub-title", "desc": "desc", "category": "category"}
-    read = [attribute(attrs, c).alias(c) for c in ("channel", "start", "stop")] + [tag_text(body, t).alias(c) for c, t in texts.items()]
-    raw = cut(_elements(documents, "programme", _PROGRAMME).select("provider", "seq", *read, icon_source(body).alias("icon")), "programmes")
-    timed = cut(raw.withColumns({"start": I.from_xmltv(F.col("start")), "stop": I.from_xmltv(F.col("stop")), **some(*texts, "icon")}), "programmes")
+    raw = _elements(documents, "programme").select("provider", "seq", *[_own(c).alias(c) for c in ("channel", "start", "stop")], *[_inner(t).alias(c) for c, t in texts.items()], _icon_source().alias("icon"), _language("title").alias("lang"))
+    raw = cut(raw, "programmes")
+    timed = cut(raw.withColumns({"start": I.from_xmltv(F.col("start")), "stop": I.from_xmltv(F.col("stop"))}), "programmes")
     listed = channels.select("provider", F.col("id").alias("channel"))
-    sound = timed.where("start IS NOT NULL AND stop IS NOT NULL AND title IS NOT NULL").join(listed, ["provider", "channel"], "left_semi")
-    guide, _ = normalise(Guide(channels, sound))
+    sound = timed.where("start IS NOT NULL AND stop IS NOT NULL AND title IS NOT NULL").drop("lang").join(listed, ["provider", "channel"], "left_semi")
+    said = ch.select("provider", F.lit(0).alias("part"), "seq", "lang").unionByName(timed.select("provider", F.lit(1).alias("part"), "seq", "lang")).where("lang IS NOT NULL")
+    by_provider = {r.provider: r.lang for r in said.groupBy("provider").agg(F.min_by("lang", F.struct("part", "seq")).alias("lang")).collect()}  # one row a file
+    providers = sorted(by_provider)
+    guide, _ = normalise(Guide(channels, sound, language=by_provider[providers[0]] if providers else "tr"))
+    guide.languages = tuple(by_provider[p] for p in providers)
     return guide
 
 
@@ -102,7 +105,14 @@ def render(guide: Guide, generator: str = "lumenloom") -> DataFrame:
     return edge.unionByName(ch).unionByName(pr)
 
 
-def write(guide: Guide, path: str, gzip: bool = True) -> None:
-    """One document in one part file below ``path``: a text document has one end, so its last step is one task that streams sorted blocks."""
-    ordered = render(guide).coalesce(1).sortWithinPartitions("part", "k1", "k2", "k3", "k4").select("value")
-    ordered.write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+def write(guide: Guide, path: str, gzip: bool = True) -> int:
+    """One document in one part file below ``path``; gives its size in bytes.
+
+    Blocks are rendered and sorted by many tasks and written to a table first. A text document has
+    one end, so its last step is one task, which merges what is already sorted by range.
+    """
+    keys = ["part", "k1", "k2", "k3", "k4"]
+    blocks = cut(render(guide).repartitionByRange(*keys).sortWithinPartitions(*keys), "blocks")
+    blocks.repartition(1).sortWithinPartitions(*keys).select("value").write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+    drop(blocks)
+    return size_of(guide.channels.sparkSession, path)

@@ -33,7 +33,9 @@ CASES = [
     (lambda: X.normalize_stream_url(F.lit("HTTPS://User:pw@Host.TV:443/a/b.M3U8?x=1#f")), "http://host.tv/a/b"),
     (lambda: X.normalize_stream_url(F.lit("http://h:8080/x//?b=2&a=1&a"), keep_query=True), "http://h:8080/x?a=1&a=&b=2"),
     (lambda: X.normalize_stream_url(F.lit(" not a url ")), "not a url"),
-    (lambda: X.redact_url(F.lit("http://u:p@h/x?Token=s3&b=1&app_id=9")), "http://REDACTED@h/x?Token=REDACTED&b=1&app_id=REDACTED"),
+    (lambda: X.redact_url(F.lit("http://u:p@h/x?Token=s3&b=1&app_id=9")), "http://h/x?Token=REDACTED&b=1&app_id=REDACTED"),
+    (lambda: X.redact_url(F.lit("not a url?token=x")), "not a url?token=x"),
+    (lambda: X.redact_url(F.lit("http://h/?%74oken=s&x=%zz")), "http://h/?token=REDACTED&x=%zz"),
     (lambda: X.trim(F.lit(" ﻿x　")), "x"),
     (lambda: X.to_portable_id(F.lit("Şık  Kanal é..x")), "sik.kanal.e.x"),
     (lambda: X.episode_label(F.lit(2), F.lit(3)), "Säsong 2, Avsnitt 3"),
