@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import instants as I
 from lumenloom.functions import text as X
+from lumenloom.scratch import cut
 
 OPTIONAL = ["sub_title", "desc", "category", "icon"]
 IDENTITY = ["channel", "start", "stop", "title"]
@@ -118,15 +119,34 @@ def in_order(programmes: DataFrame) -> DataFrame:
     return programmes.orderBy("channel", I.guide_epoch(F.col("start")), "start", "provider", "seq")
 
 
+def with_place(programmes: DataFrame) -> DataFrame:
+    """``programmes`` with ``place``, from 1, in published order.
+
+    Rows are sorted by ranges and numbered within each; a range's first place follows from the
+    counts of the ranges before it, one row each, so no task sees all rows.
+    """
+    order = ["channel", "_epoch", "start", "provider", "seq"]
+    timed = programmes.withColumn("_epoch", I.guide_epoch(F.col("start")))
+    ranged = cut(timed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_id", 33)  # the number's upper bits are the range's, its lower ones the place in it
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))  # a row a range
+    numbered = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")  # as many rows as partitions
+    return numbered.withColumn("place", F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1).drop("_part", "_n", "_before", "_id", "_epoch")
+
+
 def normalise(guide: Guide) -> tuple[Guide, DataFrame]:
     """Each provider's guide made sound, and ``issue, count`` of what was left out."""
     marked = sanitize_channels(guide.channels)
     channels = union_channels(marked.where("issue IS NULL").drop("issue"), ["provider", "id"])
-    checked = check_programmes(guide.programmes, channels)
-    good = checked.where("issue IS NULL").drop("issue").withColumn("_first", _first(["provider", *IDENTITY], "seq"))
-    programmes = good.where("_first").drop("_first")
-    issues = marked.select("issue").unionAll(checked.select("issue")).where("issue IS NOT NULL").unionAll(good.where("NOT _first").select(F.lit("duplicate-programme").alias("issue")))
-    return Guide(channels, programmes, max(0, guide.days), max(0, guide.failures), guide.language, guide.languages), issues.groupBy("issue").agg(F.count("*").alias("count"))
+    # checked once: the good slots and the counts both read this table
+    checked = cut(check_programmes(guide.programmes, channels), "checked")
+    good = checked.where("issue IS NULL").drop("issue")
+    programmes = least(good, ["provider", *IDENTITY], ["seq"])
+    twice = good.groupBy("provider", *IDENTITY).agg((F.count("*") - 1).alias("n")).where("n > 0").select(F.lit("duplicate-programme").alias("issue"), "n")
+    one = F.lit(1).cast("long").alias("n")
+    issues = marked.select("issue", one).unionAll(checked.select("issue", one)).where("issue IS NOT NULL").unionAll(twice)
+    return Guide(channels, programmes, max(0, guide.days), max(0, guide.failures), guide.language, guide.languages), issues.groupBy("issue").agg(F.sum("n").alias("count"))
 
 
 def validate(guide: Guide) -> None:
@@ -243,6 +263,23 @@ def compare_summary(breakdown: DataFrame, differences: DataFrame) -> DataFrame:
     return channels.crossJoin(slots)  # two one-row tables
 
 
+def fetch_mode_summary(breakdown: DataFrame, differences: DataFrame) -> DataFrame:
+    """``compare_summary`` of one guide fetched in two ways, over http (a) and by a browser (b)."""
+    names = {"channels_a": "http_channels", "channels_b": "browser_channels", "programmes_a": "http_programmes", "programmes_b": "browser_programmes", "only_a_channels": "only_http_channels", "only_b_channels": "only_browser_channels", "only_a": "only_http", "only_b": "only_browser"}
+    return compare_summary(breakdown, differences).withColumnsRenamed(names)
+
+
+def slot_key(channel: Column, start: Column, stop: Column) -> Column:
+    return F.concat_ws("|", channel, start, stop)
+
+
+def reconcile(listed: DataFrame, channels: DataFrame) -> DataFrame:
+    """``side, key``: ``missing`` are ids of ``listed(id)`` that ``channels`` lacks, ``stray`` those that only ``channels`` has; case doesn't matter."""
+    key = X.match_key(F.col("id")).alias("key")
+    a, b = listed.select(key).distinct(), channels.select(key).distinct()
+    return a.join(b, "key", "left_anti").select(F.lit("missing").alias("side"), "key").unionByName(b.join(a, "key", "left_anti").select(F.lit("stray").alias("side"), "key"))
+
+
 def report_lines(breakdown: DataFrame, differences: DataFrame, name_a: str, name_b: str, limit: int = 10) -> list[str]:
     """A text report: totals, the channels, and the first differences."""
     s = compare_summary(breakdown, differences).first()

@@ -116,9 +116,11 @@ def merge_exclusive(spark, sf_dir):
     return G.merge(guide(spark, sf_dir), exclusive=True)[0].programmes.select("provider", "seq", "channel", "start", "stop", "title")
 
 
-@query(f"WITH {_PROGRAMMES}, o AS (SELECT *, row_number() OVER (PARTITION BY provider, channel, start, stop, title ORDER BY seq) AS n FROM k), g AS (SELECT * FROM o WHERE n = 1) SELECT count(*) FILTER (provider = owner) AS programmes, CAST(0 AS BIGINT) AS duplicates, count(*) FILTER (provider > owner) AS shadowed, (SELECT count(*) FROM u) AS channels FROM g")
+@query(f"WITH {_PROGRAMMES}, o AS (SELECT *, row_number() OVER (PARTITION BY provider, channel, start, stop, title ORDER BY seq) AS n FROM k), g AS (SELECT * FROM o WHERE n = 1) SELECT count(*) FILTER (provider = owner) AS programmes, CAST(0 AS BIGINT) AS duplicates, count(*) FILTER (provider > owner) AS shadowed, (SELECT count(*) FROM u) AS channels, CAST(5 AS BIGINT) AS days, CAST(2 AS BIGINT) AS failures, CAST(1 AS BIGINT) AS mixed_language FROM g")
 def merge_counters(spark, sf_dir):
-    return G.merge(guide(spark, sf_dir), exclusive=True)[1]
+    """Two guides of unlike languages: days and failures are theirs together."""
+    g = guide(spark, sf_dir)
+    return G.merge(Guide(g.channels, g.programmes, 3 + 2, 0 + 2, "tr", ("tr", "sv")), exclusive=True)[1]
 
 
 @query(f"WITH {_PROGRAMMES} SELECT id, name, icon FROM u")
@@ -136,23 +138,25 @@ def alias_resolve(spark, sf_dir):
 
 
 def _compared(spark, sf_dir):
-    """Two halves whose second has some titles changed and some slots and channels of its own."""
+    """All events on both sides: the first as they are, the second with some titles changed, some slots gone and some channels not listed."""
     g = guide(spark, sf_dir)
-    base = one(g, 0)
-    number = F.regexp_extract("channel", r"(\d+)", 1).cast("int")
-    p = base.programmes.where(F.col("seq") % 10 != 0).withColumn("title", F.when(F.col("seq") % 14 == 0, F.lit("other")).otherwise(F.col("title")))
-    other = Guide(base.channels.where(F.regexp_extract("id", r"(\d+)", 1).cast("int") % 9 != 0), p.where(number % 9 != 0))
-    left = Guide(base.channels, base.programmes.where(F.col("seq") % 8 != 0))
-    return G.compare(left, other)
+    number = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("int")
+    whole = lambda df: df.withColumn("provider", F.lit(0))
+    p = g.programmes.withColumn("title", F.when(F.col("seq") % 14 == 0, F.lit("other")).otherwise(F.col("title")))
+    # a channel and its other spelling are one
+    return G.compare(Guide(whole(g.channels), whole(g.programmes.where(F.col("seq") % 8 != 0))), Guide(whole(g.channels.where(number("id") % 9 != 0)), whole(p.where("seq % 10 <> 0").where(number("channel") % 9 != 0))))
 
 
-_COMPARED = _PROGRAMMES + """, a AS (SELECT DISTINCT ON (channel, start, stop) channel, start, stop, title FROM p WHERE provider = 0 AND seq % 8 <> 0 ORDER BY channel, start, stop, seq),
-b AS (SELECT DISTINCT ON (channel, start, stop) channel, start, stop, CASE WHEN seq % 14 = 0 THEN 'other' ELSE title END AS title FROM p WHERE provider = 0 AND seq % 10 <> 0 AND CAST(regexp_extract(channel, '(\\d+)', 1) AS INTEGER) % 9 <> 0 ORDER BY channel, start, stop, seq),
-f AS (SELECT coalesce(a.channel, b.channel) AS channel, coalesce(a.start, b.start) AS start, coalesce(a.stop, b.stop) AS stop, a.title AS title_a, b.title AS title_b, CASE WHEN b.channel IS NULL THEN 'only_a' WHEN a.channel IS NULL THEN 'only_b' WHEN a.title <> b.title THEN 'changed' ELSE 'matched' END AS kind FROM a FULL JOIN b USING (channel, start, stop)),
-ch AS (SELECT id AS channel, CAST(regexp_extract(id, '(\\d+)', 1) AS INTEGER) % 9 <> 0 AS in_b FROM c WHERE provider = 0),
-br AS (SELECT channel, true AS in_a, in_b, (SELECT count(*) FROM a WHERE a.channel = ch.channel) AS programmes_a, (SELECT count(*) FROM b WHERE b.channel = ch.channel) AS programmes_b,
-  (SELECT count(*) FROM f WHERE f.channel = ch.channel AND kind = 'matched' AND in_b) AS matched, (SELECT count(*) FROM f WHERE f.channel = ch.channel AND kind = 'changed' AND in_b) AS changed,
-  (SELECT count(*) FROM f WHERE f.channel = ch.channel AND kind = 'only_a' AND in_b) AS only_a, (SELECT count(*) FROM f WHERE f.channel = ch.channel AND kind = 'only_b' AND in_b) AS only_b FROM ch)"""
+_COMPARED = _PROGRAMMES + """, n AS (SELECT *, upper(channel) AS key, CAST(regexp_extract(channel, '(\\d+)', 1) AS INTEGER) % 9 <> 0 AS in_b FROM p),
+na AS (SELECT DISTINCT ON (channel, start, stop, title) * FROM n WHERE seq % 8 <> 0 ORDER BY channel, start, stop, title, seq),
+nb AS (SELECT DISTINCT ON (channel, start, stop, title) * FROM (SELECT * REPLACE (CASE WHEN seq % 14 = 0 THEN 'other' ELSE title END AS title) FROM n WHERE seq % 10 <> 0 AND in_b) ORDER BY channel, start, stop, title, seq),
+a AS (SELECT DISTINCT ON (key, start, stop) key, start, stop, title FROM na ORDER BY key, start, stop, seq),
+b AS (SELECT DISTINCT ON (key, start, stop) key, start, stop, title FROM nb ORDER BY key, start, stop, seq),
+ch AS (SELECT upper(id) AS key, min(id) AS channel, bool_or(CAST(regexp_extract(id, '(\\d+)', 1) AS INTEGER) % 9 <> 0) AS in_b FROM c GROUP BY 1),
+f AS (SELECT key, start, stop, a.title AS title_a, b.title AS title_b, CASE WHEN b.title IS NULL THEN 'only_a' WHEN a.title IS NULL THEN 'only_b' WHEN a.title <> b.title THEN 'changed' ELSE 'matched' END AS kind FROM a FULL JOIN b USING (key, start, stop)),
+br AS (SELECT channel, true AS in_a, in_b, (SELECT count(*) FROM na WHERE na.key = ch.key) AS programmes_a, (SELECT count(*) FROM nb WHERE nb.key = ch.key) AS programmes_b,
+  (SELECT count(*) FROM f WHERE f.key = ch.key AND kind = 'matched' AND in_b) AS matched, (SELECT count(*) FROM f WHERE f.key = ch.key AND kind = 'changed' AND in_b) AS changed,
+  (SELECT count(*) FROM f WHERE f.key = ch.key AND kind = 'only_a' AND in_b) AS only_a, (SELECT count(*) FROM f WHERE f.key = ch.key AND kind = 'only_b' AND in_b) AS only_b FROM ch)"""
 
 
 @query(f"WITH {_COMPARED} SELECT * FROM br")
@@ -165,7 +169,7 @@ def compare_summary(spark, sf_dir):
     return G.compare_summary(*_compared(spark, sf_dir))
 
 
-@query(f"WITH {_COMPARED} SELECT kind, channel, start, stop, title_a, title_b FROM f WHERE kind <> 'matched'")
+@query(f"WITH {_COMPARED} SELECT kind, channel, start, stop, title_a, title_b FROM f JOIN ch USING (key) WHERE kind <> 'matched'")
 def compare_changes(spark, sf_dir):
     return _compared(spark, sf_dir)[1].select("kind", "channel", "start", "stop", F.col("a.title").alias("title_a"), F.col("b.title").alias("title_b"))
 
@@ -175,13 +179,23 @@ def subset_filter(spark, sf_dir):
     return G.keep_channels(guide(spark, sf_dir), ["Ch1.se", "CH2.se", "Ch3.se"]).programmes.select("channel", "start", "title", "seq")
 
 
-@query(f"WITH {_PROGRAMMES} SELECT channel, start, stop, title, seq, row_number() OVER (ORDER BY channel, start, seq) AS place FROM p QUALIFY place <= 500")
+@query(f"WITH {_PROGRAMMES} SELECT channel, start, stop, title, seq, row_number() OVER (ORDER BY channel, start, provider, seq) AS place FROM p")
 def published_order(spark, sf_dir):
-    from pyspark.sql import Window
+    """Every programme with its place in the published order."""
+    return G.with_place(guide(spark, sf_dir).programmes).select("channel", "start", "stop", "title", "seq", "place")
+
+
+@query(f"WITH {_COMPARED} SELECT (SELECT count(*) FROM ch) AS http_channels, (SELECT count(*) FROM ch WHERE in_b) AS browser_channels, (SELECT count(*) FROM f WHERE kind = 'changed') AS changed, (SELECT count(*) FROM f WHERE kind = 'only_a') AS only_http, (SELECT count(*) FROM f WHERE kind = 'only_b') AS only_browser")
+def fetch_mode_report(spark, sf_dir):
+    """The same comparison, told as one of two ways to fetch a guide."""
+    return G.fetch_mode_summary(*_compared(spark, sf_dir)).select("http_channels", "browser_channels", "changed", "only_http", "only_browser")
+
 
-    first = G.in_order(guide(spark, sf_dir).programmes).limit(500)
-    place = F.row_number().over(Window.orderBy("channel", I.guide_epoch(F.col("start")), "start", "provider", "seq"))
-    return first.select("channel", "start", "stop", "title", "seq", place.cast("long").alias("place"))
+@query(f"WITH {_PROGRAMMES}, k2 AS (SELECT DISTINCT n_nationkey AS n FROM nation) SELECT 'missing' AS side, 'CH' || n || '.SE' AS key FROM k2 WHERE 'CH' || n || '.SE' NOT IN (SELECT key FROM u) UNION ALL SELECT 'stray', key FROM u WHERE key NOT IN (SELECT 'CH' || n || '.SE' FROM k2)")
+def catalog_reconciliation(spark, sf_dir):
+    """Ids that a catalog lists and the guide lacks, and the other way round."""
+    listed = table(spark, sf_dir, "nation").select(F.concat(F.lit("ch"), F.col("n_nationkey").cast("string"), F.lit(".se")).alias("id"))
+    return G.reconcile(listed, G.merge(guide(spark, sf_dir))[0].channels)
 
 
 @query("SELECT event_id, CAST(unnest(generate_series(CAST(ts AS DATE) - INTERVAL 1 DAY, CAST(ts AS DATE) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS DATE)::VARCHAR AS day FROM events")

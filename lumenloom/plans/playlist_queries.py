@@ -30,12 +30,12 @@ _KEPT = _FORMS + ", l AS (SELECT * FROM f WHERE NOT (a LIKE '%BRAND 3' OR b LIKE
 
 @query(f"WITH {_KEPT} SELECT p_partkey AS entry_id, a AS name FROM l WHERE a LIKE 'RED%' OR b LIKE 'RED%' OR c LIKE 'RED%' OR a LIKE '%BOLT' OR b LIKE '%BOLT' OR c LIKE '%BOLT'")
 def select_globs(spark, sf_dir):
-    return P.select(entries(spark, sf_dir), WANT, EXCLUDE, False)[0].select("entry_id", F.upper("name").alias("name"))
+    return P.select(entries(spark, sf_dir), WANT, EXCLUDE)[0].select("entry_id", F.upper("name").alias("name"))
 
 
 @query("SELECT 'no such thing' AS pattern")
 def unmatched_patterns(spark, sf_dir):
-    return P.select(entries(spark, sf_dir), WANT, EXCLUDE, False)[1]
+    return P.select(entries(spark, sf_dir), WANT, EXCLUDE)[1]
 
 
 RULES = [Rule("red *", group="reds"), Rule("* bolt", group="bolts", id="bolt.tr", name="Bolt"), Rule("red bolt*", id="redbolt.tr")]
@@ -43,7 +43,7 @@ RULES = [Rule("red *", group="reds"), Rule("* bolt", group="bolts", id="bolt.tr"
 
 @query(f"WITH {_FORMS} SELECT p_partkey AS entry_id, CASE WHEN a LIKE 'RED%' OR b LIKE 'RED%' THEN 'Reds' WHEN a LIKE '%BOLT' OR b LIKE '%BOLT' THEN 'Bolts' ELSE upper(c[1]) || lower(c[2:]) END AS group_title, CASE WHEN a LIKE '%BOLT' OR b LIKE '%BOLT' THEN 'bolt.tr' WHEN a LIKE 'RED BOLT%' OR b LIKE 'RED BOLT%' THEN 'redbolt.tr' ELSE '' END AS tvg_id FROM f")
 def override_first_match(spark, sf_dir):
-    return P.override(entries(spark, sf_dir), RULES, False).select("entry_id", "group_title", "tvg_id")
+    return P.override(entries(spark, sf_dir), RULES).select("entry_id", "group_title", "tvg_id")
 
 
 _URL = "'http://h' || (p_partkey % 50) || '.tv/' || (p_partkey // 2) || '{}.m3u8'"
@@ -79,13 +79,14 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as entries of their part's channel."""
     l = table(spark, sf_dir, "lineitem")
     return l.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry_id"), F.lit(0).alias("copy_no"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("channel_key"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("source_id"),
+        # an order's line number occurs again in these tables: supplier and quantity make the id unique
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("entry_id"), F.lit(0).alias("copy_no"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("channel_key"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("source_id"),
         (F.col("l_suppkey") % 5).cast("int").alias("source_order"), F.col("l_quantity").alias("weight"), F.col("l_linenumber").alias("line"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("name"), F.lit("").alias("tvg_id"), F.lit("").alias("tvg_name"), F.lit("").alias("tvg_logo"),
         F.concat("l_returnflag", F.lit(" "), "l_linestatus").alias("group_title"), F.create_map().cast("map<string,string>").alias("attributes"), F.array().cast("array<string>").alias("vlc_options"), F.concat(F.lit("http://s"), (F.col("l_suppkey") % 7).cast("string"), F.lit(".tv/"), F.col("l_partkey").cast("string"), F.lit("?q="), F.col("l_linenumber").cast("string")).alias("url"),
     )
 
 
-_LINES = "l AS (SELECT l_orderkey * 10 + l_linenumber AS entry_id, lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS channel_key, 's' || (l_suppkey % 5) AS source_id, l_suppkey % 5 AS source_order, l_quantity AS weight, l_linenumber AS line, 'Part ' || l_partkey AS base, upper(l_returnflag) || ' ' || upper(l_linestatus) AS label, 'http://s' || (l_suppkey % 7) || '.tv/' || l_partkey AS feed, l_linenumber FROM lineitem)"
+_LINES = "l AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS entry_id, lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS channel_key, 's' || (l_suppkey % 5) AS source_id, l_suppkey % 5 AS source_order, l_quantity AS weight, l_linenumber AS line, 'Part ' || l_partkey AS base, upper(l_returnflag) || ' ' || upper(l_linestatus) AS label, 'http://s' || (l_suppkey % 7) || '.tv/' || l_partkey AS feed, l_linenumber FROM lineitem)"
 _FEEDS = _LINES + ", c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_key, feed ORDER BY entry_id) AS fn FROM l) WHERE fn = 1)"
 _RANKED = _FEEDS + ", r AS (SELECT *, row_number() OVER (PARTITION BY channel_key ORDER BY weight DESC, source_order, line, entry_id) - 1 AS k, count(*) OVER (PARTITION BY channel_key) AS feeds FROM c)"
 
@@ -173,17 +174,27 @@ def cross_group_dedupe(spark, sf_dir):
 @query(None)
 def playlist_build(spark, sf_dir):
     """The whole flow over parts; tests hold it against a plain restatement."""
-    return P.build(entries(spark, sf_dir), P.PlaylistOptions(compatible=False)).entries.select("channel_key", "copy_index", "id", "name", "tvg_id", "group_title", "url")
+    return P.build(entries(spark, sf_dir), P.PlaylistOptions()).entries.select("channel_key", "copy_index", "id", "name", "tvg_id", "group_title", "url")
 
 
 @query(None)
 def run_report(spark, sf_dir):
-    return P.build(entries(spark, sf_dir), P.PlaylistOptions(compatible=False)).stats
+    return P.build(entries(spark, sf_dir), P.PlaylistOptions()).stats
 
 
-@query("SELECT event_id, event_type = 'view' AS alive, CASE event_type WHEN 'view' THEN NULL WHEN 'error' THEN 'timeout' ELSE 'http-404' END AS reason FROM events")
+#: Status, start of the body, error code, message; what they amount to.
+PROBES = [
+    (200, "#EXTM3U\n", None, None, None, False), (206, " #EXTM3U", "", "", None, False), (200, "<html>" + "x" * 400 + "#EXTM3U", None, None, "not-a-manifest", False), (403, "#EXTM3U", None, None, "forbidden", False),
+    (404, "", None, None, "http-404", False), (429, "", None, None, "http-429", True), (503, "", None, None, "http-503", True), (301, "", None, None, "http-301", False), (None, None, "ENOTFOUND", "getaddrinfo", "enotfound", False),
+    (None, None, "CERT_HAS_EXPIRED", "timeout", "cert_has_expired", False), (None, None, "", "self-signed in chain", "tls-error", False), (None, None, "ETIMEDOUT", "x", "timeout", True), (None, None, None, "The operation was aborted", "timeout", True),
+    (None, None, "ECONNRESET", "read", "connection-reset", True), (None, None, None, "socket hang up", "connection-reset", True), (None, None, "EPIPE", "broken", "epipe", False), (500, None, None, "strange", "network-error", False),
+]
+_VERDICTS = ", ".join(f"({k}, {str(reason is None).lower()}, {'NULL' if reason is None else repr(reason)}, {str(again).lower()})" for k, (*_, reason, again) in enumerate(PROBES))
+
+
+@query(f"WITH v(k, alive, reason, retryable) AS (VALUES {_VERDICTS}) SELECT event_id, alive, reason, retryable FROM events JOIN v ON event_id % {len(PROBES)} = k")
 def liveness_classes(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    kind = F.col("event_type")
-    seen = e.select("event_id", F.when(kind == "view", 200).when(kind == "error", F.lit(None)).otherwise(404).cast("int").alias("status"), F.when(kind == "view", "#EXTM3U\n").otherwise("").alias("body_head"), F.when(kind == "error", "request timed out").alias("error"))
-    return P.classify_probes(seen).select("event_id", "alive", "reason")
+    """Every event is one of the recorded answers, among them misleading ones."""
+    kinds = spark.createDataFrame([(k, *p[:4]) for k, p in enumerate(PROBES)], "k long, status int, body_head string, error_code string, error string")
+    seen = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(PROBES)).alias("k")).join(F.broadcast(kinds), "k")  # as many rows as kinds
+    return P.classify_probes(seen).select("event_id", "alive", "reason", "retryable")

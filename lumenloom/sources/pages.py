@@ -259,7 +259,7 @@ def prevue(pages: DataFrame) -> DataFrame:
     minute = lambda c: I.clock_minutes(F.regexp_extract(X.trim(F.col(c)), p, 2).try_cast("int"), F.regexp_extract(X.trim(F.col(c)), p, 3).try_cast("int"), True)
     b, e = "x.beginTime", "x.endTime"
     rows = items.select("page", "seq", day(b).alias("begin_date"), minute(b).alias("begin_min"), day(e).alias("end_date"), minute(e).alias("end_min"), X.clean_text(F.col("x.prevueName")).alias("title"), X.blank_to_null(X.trim(F.col("x.genre"))).alias("category"), X.clean_text(F.col("x.description")).alias("desc"))
-    return rows.where("title IS NOT NULL AND (end_date > begin_date OR end_date = begin_date AND end_min > begin_min)")
+    return rows.where("title IS NOT NULL AND begin_min IS NOT NULL AND end_min IS NOT NULL AND (end_date > begin_date OR end_date = begin_date AND end_min > begin_min)")
 
 
 def event_envelope(pages: DataFrame, owners: dict[str, str]) -> DataFrame:
