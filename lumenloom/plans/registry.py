@@ -26,6 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from lumenloom.plans import guide_queries, lookup_queries, page_queries, playlist_queries, source_queries, text_queries  # noqa: F401
+    from lumenloom.plans import command_queries, guide_queries, lookup_queries, page_queries, playlist_queries, source_queries, text_queries  # noqa: F401
 
     return dict(QUERIES), dict(SQL)
