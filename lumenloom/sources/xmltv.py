@@ -22,26 +22,29 @@ def _elements(documents: DataFrame, tag: str) -> DataFrame:
     return found.select("provider", F.col("seq").cast("long").alias("seq"), M.attributes(F.col("x")).alias("attrs"), M.children(M.content(F.col("x"), tag)).alias("children"))
 
 
-def _filled(x: Column) -> Column:
-    return F.nullif(X.trim(X.decode_entities(x)), F.lit(""))
-
-
 def _own(name: str) -> Column:
-    return X.decode_entities(F.try_element_at("attrs", F.lit(name)))
+    return F.try_element_at("attrs", F.lit(name))
 
 
 def _inner(tag: str) -> Column:
-    return _filled(M.child(F.col("children"), tag)["text"])
+    return M.child(F.col("children"), tag)["text"]
 
 
-def _icon_source() -> Column:
-    return _filled(F.try_element_at(M.attributes(M.child(F.col("children"), "icon")["opening"]), F.lit("src")))
+def _of_inner(tag: str, name: str) -> Column:
+    """An attribute of the first child of a kind."""
+    return F.try_element_at(M.attributes(M.child(F.col("children"), tag)["opening"]), F.lit(name))
 
 
-def _language(tag: str) -> Column:
-    """The language that an element's first ``tag`` says it is in, null if it says none or no sound one."""
-    said = X.trim(X.decode_entities(F.try_element_at(M.attributes(M.child(F.col("children"), tag)["opening"]), F.lit("lang"))))
-    return F.when(X.is_language_tag(said), said)
+def _read(elements: DataFrame, tag: str, **texts: Column) -> DataFrame:
+    """``provider, seq`` and the given texts, decoded and trimmed, blank ones null; and ``lang``, the language that an element's first ``tag`` says it is in, null if it says none or no sound one.
+
+    All texts of an element are decoded by one expression, over their array.
+    """
+    own = texts | {"lang": _of_inner(tag, "lang")}
+    decoded = F.transform(F.array(*own.values()), lambda t: F.nullif(X.trim(X.decode_entities(t)), F.lit("")))
+    rows = elements.select("provider", "seq", decoded.alias("x"))
+    lang = F.get("x", F.lit(len(texts)))
+    return rows.select("provider", "seq", *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate(texts)], F.when(X.is_language_tag(lang), lang).alias("lang"))
 
 
 def parse(documents: DataFrame) -> Guide:
@@ -51,13 +54,12 @@ def parse(documents: DataFrame) -> Guide:
     anything looks at it again: else each later condition would be put together with the patterns
     and evaluated over and over. The guide's language is the one that is said first, else Turkish.
     """
-    ch = _elements(documents, "channel").select("provider", "seq", _own("id").alias("id"), _inner("display-name").alias("name"), _icon_source().alias("icon"), _inner("url").alias("url"), _language("display-name").alias("lang"))
-    ch = cut(ch, "channels")
+    ch = cut(_read(_elements(documents, "channel"), "display-name", id=_own("id"), name=_inner("display-name"), icon=_of_inner("icon", "src"), url=_inner("url")), "channels")
     w = Window.partitionBy("provider", "id").orderBy("seq")
-    channels = ch.where("id <> ''").withColumn("name", F.coalesce("name", "id"))
+    channels = ch.where("id IS NOT NULL").withColumn("name", F.coalesce("name", "id"))
     channels = channels.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "lang")
     texts = {"title": "title", "sub_title": "sub-title", "desc": "desc", "category": "category"}
-    raw = _elements(documents, "programme").select("provider", "seq", *[_own(c).alias(c) for c in ("channel", "start", "stop")], *[_inner(t).alias(c) for c, t in texts.items()], _icon_source().alias("icon"), _language("title").alias("lang"))
+    raw = _read(_elements(documents, "programme"), "title", **{c: _own(c) for c in ("channel", "start", "stop")}, **{c: _inner(t) for c, t in texts.items()}, icon=_of_inner("icon", "src"))
     raw = cut(raw, "programmes")
     timed = cut(raw.withColumns({"start": I.from_xmltv(F.col("start")), "stop": I.from_xmltv(F.col("stop"))}), "programmes")
     listed = channels.select("provider", F.col("id").alias("channel"))
