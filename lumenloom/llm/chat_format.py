@@ -36,13 +36,17 @@ def render(turns: Column, change=lambda x: x) -> Column:
     return F.concat(F.lit(OPEN), F.array_join(marked, ""))
 
 
+def _pieces(formatted: Column) -> Column:
+    """What stands before each closing mark, and what stands after the last."""
+    return F.split(F.substring(formatted, len(OPEN) + 1, 2**31 - 1), CLOSE, -1)
+
+
 def segments(formatted: Column) -> Column:
-    """The written (still escaped) role and text of each turn."""
-    body = F.substring(formatted, len(OPEN) + 1, 2**31 - 1)
-    pieces = F.filter(F.split(body, CLOSE, -1), lambda x: x != "")
+    """The written (still escaped) role and text of each turn of a sound conversation."""
+    every = _pieces(formatted)
     mid = r"\Q" + MID + r"\E"
     return F.transform(
-        pieces,
+        F.slice(every, F.lit(1), F.greatest(F.size(every) - 1, F.lit(0))),
         lambda x: F.struct(
             F.substring(F.split(x, mid, 2)[0], len(HEAD) + 1, 2**31 - 1).alias("role"),
             F.coalesce(F.get(F.split(x, mid, 2), F.lit(1)), F.lit("")).alias("text"),
@@ -51,11 +55,17 @@ def segments(formatted: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted conversation; null where a control string stands outside the grammar."""
-    found = segments(formatted)
+    """The turns of a formatted conversation; null for every text that the grammar doesn't give.
+
+    The text begins with the opening mark, each turn with its head, and holds the mark between
+    role and text; nothing follows the last turn, and no control string stands in a role or text.
+    """
+    every, found = _pieces(formatted), segments(formatted)
+    turns = F.slice(every, F.lit(1), F.greatest(F.size(every) - 1, F.lit(0)))
+    sound = formatted.startswith(OPEN) & (F.element_at(every, -1) == "") & F.forall(turns, lambda x: x.startswith(HEAD) & F.contains(x, F.lit(MID)))
     stray = F.exists(found, lambda t: t["role"].rlike(CONTROL) | t["text"].rlike(CONTROL))
-    turns = F.transform(found, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
-    return F.when(~stray, turns)
+    read = F.transform(found, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+    return F.when(sound & ~stray, read)
 
 
 def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

@@ -26,6 +26,8 @@ BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 #: Bounds of the sample that the classifier is fitted on: texts of each language, characters of a
 #: text that may be in it, and languages, the most frequent first.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 1_000, 20_000, 256
+#: Characters of all texts in the sample together, shared equally by the languages: what the driver holds.
+SAMPLE_TOTAL = 32_000_000
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Share of the fitting sample that only calibrates.
 CALIBRATION = 4
@@ -129,14 +131,20 @@ def remainder(ids: F.Column) -> F.Column:
 
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> list:
-    """At most about ``per_language`` rows ``(doc_id, text, lang)`` of each language: those whose hashed id lies below the share that is wanted."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    """Rows ``(doc_id, text, lang)`` whose hashed id lies below their language's share.
+
+    A language's share is what gives about ``per_language`` rows of at most ``chars`` characters,
+    or, if that is less, its part of SAMPLE_TOTAL characters; so the sample's size is bounded in
+    rows and in characters whatever the table holds.
+    """
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= chars))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    part = SAMPLE_TOTAL / len(counts)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"], part / max(1, r["chars"])))])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    picked = usable.where(chance < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).where(F.length("text") <= chars)
+    picked = usable.where(chance < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
     return sorted(picked.select("doc_id", "text", "lang").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"], r["lang"]))
 
 

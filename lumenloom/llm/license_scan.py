@@ -53,6 +53,9 @@ class _Slice:
     def __init__(self, part: Texts, vocabulary: list[bytes]):
         self.data = fold(part.data)
         self.starts, self.ends, self.first = words(self.data, part.at, ALNUM)
+        if not vocabulary:
+            self.word = np.full(len(self.starts), -1)
+            return
         hashes = spans_hash(self.data, self.starts, self.ends)
         known = np.array([hash_of(w) for w in vocabulary], np.uint64)
         order = np.argsort(known)

@@ -21,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.scratch import new_path
+from lumenloom.llm.hot import bounded, release
+from lumenloom.scratch import cut, drop, new_path
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
 _READ, _FEED = 1 << 20, 1 << 14
 _BATCH_BYTES = 16 << 20
+#: Bytes of ranges that a task of a large cluster reads.
+TASK_BYTES = 1 << 30
+#: Digests of 20 bytes and ids that are broadcast; more are joined by a shuffle.
+BROADCAST_DIGESTS, SALTS = 1_000_000, 16
 _EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 _ID = "<urn:lumenloom:page:{}>"
 RECORDS = "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -74,13 +79,25 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2
     null id is smaller than any other; rows that share the largest id are all responses. Other
     columns are left out; an empty table gives no record.
     """
+    bounded(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    own = own.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    best = own.groupBy("sha").agg(F.max("page_id").alias("best"))
-    both = own.join(best, "sha")
-    revisit = (F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("best"))
+    own = own.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    # digests are grouped without the payloads, which stay where they are read as long as the repeated ones are few
+    repeated = own.groupBy("sha").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("sha", "best")
+    repeated = cut(repeated, "repeated")
+    few = repeated.count() <= BROADCAST_DIGESTS
+    both = own.join(F.broadcast(repeated), "sha", "left") if few else _salted(own, repeated)
+    once = ~F.coalesce(F.octet_length("html") >= least_bytes, F.lit(False)) | F.col("best").isNull()
+    revisit = ~once & ~F.col("page_id").eqNullSafe(F.col("best"))
     rows = both.select("page_id", "url", "html", "best", revisit.alias("revisit")).mapInArrow(_members(date), "value binary")
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
+    drop(repeated)
+
+
+def _salted(own: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The same join by a shuffle: each digest is dealt SALTS times, so the copies of one payload go to as many tasks."""
+    salts = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salts, ["sha", "salt"], "left").drop("salt")
 
 
 class _File:
@@ -148,21 +165,33 @@ def _page(name: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
+def _whole(text: str | None) -> int | None:
+    return int(text) if text and text.strip().isdigit() else None
+
+
 def parse_record(content: bytes) -> tuple:
-    """A row of ``RECORDS``. A response's digest is computed and compared with the one in its header."""
+    """A row of ``RECORDS``.
+
+    A response's digest is computed; if the record names a SHA-1 digest, they are compared. Of
+    other records (``warcinfo``, ``request``, ``metadata`` and so on) the size is that of the
+    block and the digest the one they name, if any. Header names may come in any case and order.
+    """
     head, _, rest = content.partition(b"\r\n\r\n")
     fields = _headers(head)
-    block = rest[: int(fields["content-length"])]
+    length = _whole(fields.get("content-length"))
+    block = rest if length is None else rest[:length]
     http, _, payload = block.partition(b"\r\n\r\n")
-    said = fields["warc-payload-digest"].removeprefix("sha1:")
-    kind = fields["warc-type"]
+    label, _, said = fields.get("warc-payload-digest", "").partition(":")
+    known = said.upper() if label.lower() == "sha1" and said else None
+    kind, size, body = fields.get("warc-type", ""), len(block), None
     if kind == "response":
-        if digest(payload) != said:
-            raise ValueError(f"the payload of {fields['warc-record-id']} does not have its digest")
-        size = len(payload)
-    else:
-        size, payload = int(_headers(http)["content-length"]), None
-    return _page(fields["warc-record-id"]), kind, fields.get("warc-target-uri"), size, said, _page(fields.get("warc-refers-to")), payload
+        own, size, body = digest(payload), len(payload), payload
+        if known is not None and known != own:
+            raise ValueError(f"the payload of {fields.get('warc-record-id')} does not have its digest")
+        known = own
+    elif kind == "revisit":
+        size = _whole(_headers(http).get("content-length"))
+    return _page(fields.get("warc-record-id")), kind, fields.get("warc-target-uri"), size, known, _page(fields.get("warc-refers-to")), body
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -176,7 +205,11 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             file, rows, size = _File(path), [], 0
             at = _next_record(file, start, stop)
             while at is not None:
-                content, end = _inflate(file, at)
+                try:
+                    content, end = _inflate(file, at)
+                except EOFError:  # nothing can follow in this file
+                    rows.append((None, "truncated", None, None, None, None, None))
+                    break
                 rows.append(parse_record(content))
                 size += len(content)
                 if size > _BATCH_BYTES:
@@ -186,15 +219,21 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = end if end < stop and _starts_record(file, end) else _next_record(file, end, stop)
             if rows:
                 yield _table(rows)
+    release()
 
 
 def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The records of all archives below ``path``, by ranges of ``range_bytes``. Files without records and empty files give none."""
+    """The records of all archives below ``path``, by ranges of ``range_bytes``.
+
+    Files without records and empty files give none; a member that is cut off gives a row of type
+    ``truncated``. Ranges are dealt so that a task reads TASK_BYTES on a large set of archives.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("length")).alias("stop"))
-    n = ranges.count()  # ranges of listed files; contents are not read
-    return ranges.repartition(max(1, n)).mapInArrow(_ranges, RECORDS)
+    n, total = ranges.agg(F.count("*"), F.sum(F.col("stop") - F.col("start"))).first()  # of listed files; contents are not read
+    tasks = min(n, max(spark.sparkContext.defaultParallelism * 16, -(-(total or 0) // TASK_BYTES)))
+    return ranges.repartition(max(1, tasks)).mapInArrow(_ranges, RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

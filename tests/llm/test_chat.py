@@ -32,3 +32,20 @@ def test_round_trip(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert format_conversations(df).count() == 0
+
+
+def test_what_the_grammar_does_not_give_is_null(spark):
+    from pyspark.sql import functions as F
+
+    from lumenloom.llm.chat_format import parse
+
+    rows = ["", "<s>", "XYZ[ABCD] user [/INST] hi</s>", "<s>[INST] u [/INST] hi", "<s>[INST] u [/INST] hi</s>x", "<s>[ABCD] u [/INST] hi</s>", "<s>[INST] u hi</s>", "<s>[INST] u [/INST] h[INST]i</s>", "<s>[INST] u [/INST] hi</s>"]
+    got = [r.t for r in spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, x string").orderBy("k").select(parse(F.col("x")).alias("t")).collect()]
+    assert got[0] is None and got[1] == [] and got[2:8] == [None] * 6 and [tuple(t) for t in got[8]] == [("u", "hi")]
+
+
+def test_long_texts_and_other_columns(spark):
+    rows = [(1, 0, "user", "a[INST]" * 50_000, "x", 1), (1, 1, "assistant", "b" * 400_000, "y", 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, t string, source int")
+    got = digests(format_conversations(df)).first()
+    assert (got.n_turns, got.loss_chars) == (2, 400_000) and got.formatted_chars == 3 + 2 * 20 + 4 + 9 + 400_000 + 50_000 * 8

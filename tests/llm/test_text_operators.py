@@ -106,3 +106,70 @@ def test_warc(spark):
     none = new_path(spark, "warc")
     write_warc(df.limit(0), none)
     assert read_warc(spark, none).count() == 0
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Records of other tools: other types, header names in any case, no digest or another label, and a member that is cut off."""
+    import gzip
+    import hashlib
+    import base64
+
+    def record(kind, block, *more):
+        return gzip.compress("\r\n".join(["WARC/1.0", f"content-length: {len(block)}", f"WARC-TYPE: {kind}", *more, "", ""]).encode() + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n<p>x</p>"
+    sha = base64.b32encode(hashlib.sha1(b"<p>x</p>").digest()).decode()
+    parts = [record("warcinfo", b"software: x"), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("response", http, "warc-record-id: <urn:x:7>", f"WARC-Payload-Digest: SHA1:{sha.lower()}"), record("response", http), record("metadata", b""), record("response", http * 900)[:-40]]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"")
+    for size in (64, 1 << 20):
+        got = read_warc(spark, f"file://{tmp_path}", size).collect()
+        assert sorted(r.record_type for r in got) == ["metadata", "request", "response", "response", "truncated", "warcinfo"]
+        whole = [r for r in got if r.record_type == "response"]
+        assert {(r.payload_bytes, r.payload_digest) for r in whole} == {(8, sha)} and sorted(r.page_id or 0 for r in whole) == [0, 7]
+
+
+def test_license_base_columns(spark):
+    """Against a plain scan of random texts, and with empty lists of templates and phrases."""
+    import random
+
+    rng = random.Random(8)
+    phrases = {"cc by": ("cc", "by"), "general public license": ("general", "public", "license"), "all rights reserved": ("all", "rights", "reserved")}
+    label = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    parts = ["CC", "by", "cc-BY", "general", "public", "License", "all", "rights", "reserved", "x", "ü9", "cc by", "all rights reserved"]
+    docs = [(i, "".join(rng.choice(parts) + rng.choice([" ", "\n", ", ", "-", "_"]) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan(df).collect()}
+    for i, text in docs:
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        places = [(k, p) for p, w in phrases.items() for k in range(len(words)) if tuple(words[k : k + len(w)]) == w]
+        r = got[i]
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({label[p] for _, p in places}))
+    assert {(r.n_base, r.labels, r.score) for r in license_scan(df, [], {}).collect()} == {(0, "", 0.0)}
+
+
+def test_language_scores_recomputed(spark):
+    """A prediction's score from the model's tables by plain loops."""
+    import math
+    from collections import Counter
+
+    texts = ["the cat and the dog with this", "der hund und die katze nicht", "le chien et le chat avec"] * 40
+    model = L.fit(texts, ["en", "de", "fr"] * 40)
+    for text in ("the dog and the cat", "und nicht", "x" * 3000, "Le Chat, 12!"):
+        code = " " + " ".join(re.sub(r"[^a-z]+", " ", text.lower()).split()) + " "
+        seen = Counter()
+        for n in L.ORDERS:
+            for i in range(len(code) - n + 1):
+                h = 0
+                for ch in code[i : i + n]:
+                    h = ((h ^ ord(ch)) * 0x9E3779B1) & 0xFFFFFFFF
+                    h ^= h >> 15
+                seen[((h * 0x85EBCA6B) & 0xFFFFFFFF) >> 17] += 1
+        total = sum(seen.values())
+        logits = [(sum(c * model.logits[b][k] for b, c in seen.items()) / total + model.bias[k]) / model.temperature for k in range(3)]
+        top = max(logits)
+        p = [math.exp(x - top) for x in logits]
+        lang, score, _ = model.predict(text)
+        assert model.languages[p.index(max(p))] == lang and score == pytest.approx(max(p) / sum(p), abs=1e-6)
