@@ -98,7 +98,8 @@ def _named(signed: DataFrame, shingle: int, percent: int, text: str, slice_bytes
     labels = components(links)
     more = cut(_crossing(shared, labels, texts, shingle, percent, slice_bytes), "links")
     if not more.isEmpty():
-        old, labels = labels, components(links.unionByName(more))
+        # each node's tie to its component says what the links said, in one step
+        old, labels = labels, components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
         drop(old)
     drop(shared, ids, texts, links, more)
     # class to component, component to its best row: both from tables of one row a class
