@@ -10,8 +10,8 @@ DAYS = [dt.date(2026, 9, 8), dt.date(2026, 9, 9)]
 
 
 def flat(served, *slots):
-    rows = "".join(f'<li><div class="time">{t}</div><div class="title">{n}</div></li>' for t, n in slots)
-    return f'<title>Akış {served}</title><ul class="epg-list">{rows}</ul>'
+    rows = "".join(f'<li  ><div class="time">{t}</div><div class="program-name">{n} </div></li>\n' for t, n in slots)
+    return f'<title>Kanal {served} tarihli Yayın Akışı</title>\n<ul class="epg-list">\n{rows}</ul>'
 
 
 def test_start_only_pages(spark, tmp_path):
