@@ -10,6 +10,7 @@ import datetime as dt
 import re
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,23 @@ from lumenloom.sources import m3u, xmltv
 
 # Fixed value: the widest window, in days either way.
 MAX_WINDOW = 60
+# The playlist flags that take a number, with its bounds.
+M3U_NUMBERS = {
+    "m3u-max-copies": (0, 1000), "m3u-max-bytes": (1024, 256 * 1024 * 1024), "m3u-live-timeout-ms": (100, 120_000),
+    "m3u-live-concurrency": (1, 8), "m3u-live-depth": (1, 2), "m3u-live-retry": (0, 5),
+}
+#: Playlist flags that turn an option on or off.
+M3U_SWITCHES = {"m3u-keep-scheme": ("unify_scheme", False), "m3u-keep-query": ("keep_query", True), "m3u-no-infer-tvg-id": ("infer_id", False), "m3u-no-yedek": ("use_backups", False)}
+_LIVE_KEYS = {"m3u-live-timeout-ms": "timeoutMs", "m3u-live-concurrency": "concurrency", "m3u-live-depth": "depth", "m3u-live-retry": "retries"}
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lumenloom", description=__doc__)
-    for flag in ("date", "provider", "from", "output", "alias-map", "pages", "m3u", "m3u-catalog", "m3u-want", "m3u-exclude", "m3u-style", "m3u-report", "max-channels", "env-file"):
+    for flag in ("date", "provider", "from", "output", "alias-map", "pages", "m3u", "m3u-catalog", "m3u-want", "m3u-exclude", "m3u-style", "m3u-report", "m3u-sources", "m3u-strip-quality", "max-channels", "env-file", *M3U_NUMBERS):
         p.add_argument(f"--{flag}")
     p.add_argument("--days-forward", default="0")
     p.add_argument("--days-back", default="0")
-    for flag in ("merge", "compare", "exclusive-channels", "sports-only", "gzip"):
+    for flag in ("merge", "compare", "exclusive-channels", "sports-only", "gzip", *M3U_SWITCHES, "m3u-live", "m3u-live-keep"):
         p.add_argument(f"--{flag}", action="store_true")
     return p
 
@@ -152,15 +161,45 @@ def run(spark: SparkSession, a: argparse.Namespace, catalog: Catalog, log: Calla
     return None
 
 
-def playlist(spark: SparkSession, a: argparse.Namespace, log: Callable[[str], None]) -> None:
-    """Flags count more than the settings file."""
-    catalog = settings.load_catalog(a.m3u_catalog) if a.m3u_catalog else None
-    s = settings.load_playlist(a.m3u, catalog=catalog, want=settings.split_list(a.m3u_want))
-    s.options.exclude = s.options.exclude + settings.split_list(a.m3u_exclude)
-    if a.m3u_style:
+def overridden(s: settings.PlaylistSettings, a: argparse.Namespace) -> settings.PlaylistSettings:
+    """The settings as the flags change them: a flag counts more than the file, globs add to the file's."""
+    given = vars(a)
+    flag = lambda name: given[name.replace("-", "_")]
+    changes = {option: value for name, (option, value) in M3U_SWITCHES.items() if flag(name)}
+    changes["want"] = s.options.want + settings.split_list(a.m3u_want)
+    changes["exclude"] = s.options.exclude + settings.split_list(a.m3u_exclude)
+    if a.m3u_style is not None:
         if a.m3u_style not in P.STYLES:
             raise Refused(f"--m3u-style: one of {', '.join(P.STYLES)} expected")
-        s.options.style = a.m3u_style
+        changes["style"] = a.m3u_style
+    if a.m3u_strip_quality is not None:
+        changes["quality_tokens"] = tuple(settings.split_list(a.m3u_strip_quality))
+    numbers = {}
+    for name, (low, high) in M3U_NUMBERS.items():
+        if (text := flag(name)) is None:
+            continue
+        if not re.fullmatch(r"\d{1,9}", text) or not low <= int(text) <= high:
+            raise Refused(f"--{name}: a whole number from {low} to {high} expected")
+        numbers[name] = int(text)
+    if "m3u-max-copies" in numbers:
+        changes["max_copies"] = numbers["m3u-max-copies"]
+    live = s.live | {_LIVE_KEYS[k]: v for k, v in numbers.items() if k in _LIVE_KEYS}
+    if a.m3u_live or a.m3u_live_keep:
+        live["enabled"] = True
+    if a.m3u_live_keep:
+        live["keepFailed"] = True
+    sources = s.sources
+    if a.m3u_sources is not None:
+        sources = [{"id": f"source-{k}", "name": f"source-{k}", "path": path, "weight": 0.0} for k, path in enumerate(settings.split_list(a.m3u_sources), 1)]
+    return replace(s, sources=sources, options=replace(s.options, **changes), max_bytes=numbers.get("m3u-max-bytes", s.max_bytes), live=live)
+
+
+def playlist(spark: SparkSession, a: argparse.Namespace, log: Callable[[str], None]) -> None:
+    """Builds and writes the playlist of a settings file and the flags. Probing is left out, so live settings are read and checked only."""
+    catalog = settings.load_catalog(a.m3u_catalog) if a.m3u_catalog else None
+    s = overridden(settings.load_playlist(a.m3u, catalog=catalog), a)
+    if not s.sources:
+        raise Refused("--m3u-sources: a path is missing")
     entries, _ = m3u.read(spark, s.sources, s.max_bytes)
     built = P.build(entries, s.options)
     if s.options.style == "fail" and (clash := built.conflicts.limit(10).collect()):

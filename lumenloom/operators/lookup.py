@@ -40,6 +40,12 @@ def served_as_asked(slots: DataFrame, unknown: bool = False) -> DataFrame:
     return slots.where(F.coalesce(same, F.lit(unknown)))
 
 
+def served_with_warning(slots: DataFrame) -> DataFrame:
+    """All slots, with ``warning`` on those of pages that say another date than the one asked for."""
+    other = F.concat(F.lit("asked for "), F.col("asked").cast("string"), F.lit(", served "), F.col("served").cast("string"))
+    return slots.withColumn("warning", F.when(F.col("served") != F.col("asked"), other))
+
+
 def in_dates(slots: DataFrame, dates: DataFrame, column: str = "date") -> DataFrame:
     """Slots of the given dates."""
     return slots.join(dates.select(F.col("date").alias(column)).distinct(), column, "left_semi")

@@ -65,6 +65,24 @@ SETTINGS = [
 _register("playlist_settings", SETTINGS, _setting)
 
 
+def _flagged(flags: str) -> str:
+    s = settings.PlaylistSettings([{"id": "a", "path": "a"}], settings.PlaylistOptions(want=["w"]))
+    try:
+        s = cli.overridden(s, cli.parser().parse_args(["--m3u", "x", *flags.split()]))
+    except cli.Refused as e:
+        return str(e)
+    o = s.options
+    return f"{','.join(x['path'] for x in s.sources)} {','.join(o.want)} {o.style} {o.max_copies} {int(o.unify_scheme)}{int(o.keep_query)}{int(o.infer_id)}{int(o.use_backups)} {','.join(f'{k}={v}' for k, v in s.live.items())}".strip()
+
+
+PLAYLIST_FLAGS = [
+    ("", "a w backup 6 1011"), ("--m3u-want x,y --m3u-style none", "a w,x,y none 6 1011"), ("--m3u-sources b,c --m3u-max-copies 0", "b,c w backup 0 1011"), ("--m3u-keep-scheme --m3u-keep-query --m3u-no-infer-tvg-id --m3u-no-yedek", "a w backup 6 0100"),
+    ("--m3u-live-keep --m3u-live-depth 2", "a w backup 6 1011 depth=2,enabled=True,keepFailed=True"), ("--m3u-live --m3u-live-retry 0", "a w backup 6 1011 retries=0,enabled=True"), ("--m3u-max-copies 1001", "--m3u-max-copies: a whole number from 0 to 1000 expected"),
+    ("--m3u-max-bytes 1023", "--m3u-max-bytes: a whole number from 1024 to 268435456 expected"), ("--m3u-live-concurrency 9", "--m3u-live-concurrency: a whole number from 1 to 8 expected"), ("--m3u-style odd", "--m3u-style: one of numbered, parenthesized, none, backup, source, keep-first, fail expected"),
+]
+_register("playlist_flags", PLAYLIST_FLAGS, _flagged)
+
+
 def _env(text: str) -> str:
     with tempfile.TemporaryDirectory() as d:
         (p := Path(d) / ".env").write_text(text, encoding="utf-8")

@@ -43,6 +43,11 @@ def served_date_lenient(spark, sf_dir):
     return L.served_as_asked(_asked(spark, sf_dir), unknown=True).select("event_id")
 
 
+@query(f"WITH {_ASKED} SELECT event_id, CASE WHEN served <> asked THEN 'asked for ' || asked || ', served ' || served END AS warning FROM e")
+def served_date_warned(spark, sf_dir):
+    return L.served_with_warning(_asked(spark, sf_dir)).select("event_id", "warning")
+
+
 @query("SELECT event_id FROM events WHERE CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM events GROUP BY 1 HAVING count(*) % 2 = 0)")
 def clamp_dates(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("date"))

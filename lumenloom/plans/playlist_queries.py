@@ -171,13 +171,31 @@ def cross_group_dedupe(spark, sf_dir):
     return P.drop_repeated_urls(e).select("entry_id", normalize_stream_url(F.col("url")).alias("feed"))
 
 
-@query(None)
+_BUILT = (
+    "p AS (SELECT p_partkey AS k, upper(p_name) AS channel_key, p_name || ' ' || p_brand AS tvg, upper(p_type[1]) || lower(p_type[2:]) AS label, p_partkey % 3 AS source_order, p_partkey % 4 AS weight, p_size AS line FROM part), "
+    "b AS (SELECT p.*, w.copy_no, 'http://h' || (k % 50) || '.tv/' || (k // 2) || w.mark AS feed FROM p JOIN (VALUES (0, ''), (1, 'a'), (2, 'b')) AS w(copy_no, mark) ON w.copy_no = 0 OR k % 9 = 0), "
+    "c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY channel_key, feed ORDER BY k, copy_no) = 1), "
+    "m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_key ORDER BY weight DESC, source_order, line, k, copy_no) - 1 AS copy_index FROM c) WHERE copy_index < 6), "
+    "t AS (SELECT channel_key, arg_min(label, copy_index) AS best, arg_min(tvg, copy_index) AS base_name FROM m GROUP BY 1), "
+    "l AS (SELECT channel_key, label, count(*) AS votes, min(k * 10 + copy_no) AS seen FROM m GROUP BY ALL), "
+    "v AS (SELECT channel_key, label AS group_title, base_name FROM l JOIN t USING (channel_key) QUALIFY row_number() OVER (PARTITION BY channel_key ORDER BY votes DESC, label <> best, seen) = 1), "
+    "n AS (SELECT m.*, v.group_title, v.base_name || CASE copy_index WHEN 0 THEN '' WHEN 1 THEN ' Backup' ELSE ' Backup ' || copy_index END AS name FROM m JOIN v USING (channel_key)), "
+    "d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY feed ORDER BY channel_key, copy_index) = 1), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY lower(tvg) ORDER BY channel_key, copy_index) AS i FROM d)"
+)
+
+
+@query(f"WITH {_BUILT} SELECT channel_key, copy_index, regexp_replace(upper(name), '[^A-Z0-9]+', '.', 'g') || '.tr' AS id, name, tvg || CASE WHEN i > 1 THEN '.' || i ELSE '' END AS tvg_id, group_title, feed || '.m3u8' AS url FROM o")
 def playlist_build(spark, sf_dir):
-    """The whole flow over parts; tests hold it against a plain restatement."""
-    return P.build(entries(spark, sf_dir), P.PlaylistOptions()).entries.select("channel_key", "copy_index", "id", "name", "tvg_id", "group_title", "url")
+    """The whole flow over parts: a channel is a name, whatever brands it comes with."""
+    out = P.build(entries(spark, sf_dir), P.PlaylistOptions()).entries
+    return out.select("channel_key", F.col("copy_index").cast("long").alias("copy_index"), "id", "name", "tvg_id", "group_title", "url")
 
 
-@query(None)
+@query(
+    f"WITH {_BUILT}, s AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM c) AS nc, (SELECT count(*) FROM m) AS nm, (SELECT count(*) FROM n) AS nn, (SELECT count(*) FROM d) AS nd, (SELECT count(DISTINCT channel_key) FROM b) AS ng, (SELECT count(*) FROM b WHERE copy_no > 0) AS bb) "
+    "SELECT np AS parsed, np AS selected, ng AS groups, bb AS backups_found, nb - nc AS collapsed_duplicates, nc - nm AS max_copies_dropped, nm - nn AS dropped_copies, nn - nd AS duplicate_urls_dropped, nd AS written FROM s"
+)
 def run_report(spark, sf_dir):
     return P.build(entries(spark, sf_dir), P.PlaylistOptions()).stats
 
