@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import instants as I
 from lumenloom.functions import text as X
+from lumenloom.operators.ranks import with_rank
 from lumenloom.scratch import cut
 
 OPTIONAL = ["sub_title", "desc", "category", "icon"]
@@ -120,19 +121,9 @@ def in_order(programmes: DataFrame) -> DataFrame:
 
 
 def with_place(programmes: DataFrame) -> DataFrame:
-    """``programmes`` with ``place``, from 1, in published order.
-
-    Rows are sorted by ranges and numbered within each; a range's first place follows from the
-    counts of the ranges before it, one row each, so no task sees all rows.
-    """
-    order = ["channel", "_epoch", "start", "provider", "seq"]
+    """``programmes`` with ``place``, from 1, in published order."""
     timed = programmes.withColumn("_epoch", I.guide_epoch(F.col("start")))
-    ranged = cut(timed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("_id", 33)  # the number's upper bits are the range's, its lower ones the place in it
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))  # a row a range
-    numbered = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")  # as many rows as partitions
-    return numbered.withColumn("place", F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1).drop("_part", "_n", "_before", "_id", "_epoch")
+    return with_rank(timed, ["channel", "_epoch", "start", "provider", "seq"], "place").drop("_epoch")
 
 
 def normalise(guide: Guide) -> tuple[Guide, DataFrame]:
