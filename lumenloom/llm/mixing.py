@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenloom.operators.ranks import with_rank
 from lumenloom.scratch import cut
 
 WEIGHTS = (3, 1, 2)
@@ -45,8 +46,8 @@ def water_fill(sources: DataFrame, budget: float) -> DataFrame:
 def targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, epochs: int) -> DataFrame:
     """``source, source_size, target`` from ``sizes(source, size)``. Sources by code point, null last, have the weights in turn."""
     own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (turn % len(weights) + 1).cast("int"))
+    own = with_rank(own, [F.col("source").asc_nulls_last()], _P + "turn")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col(_P + "turn") - 1) % len(weights) + 1).cast("int"))
     own = cut(own.select("source", "source_size", weight.cast("double").alias("weight"), (F.col("source_size") * epochs).alias("cap")), "sources")
     total = own.agg(F.sum("source_size")).first()[0] or 0
     return water_fill(own, percent * total / 100).select("source", "source_size", "target")
