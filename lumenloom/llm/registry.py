@@ -10,6 +10,7 @@ from lumenloom.llm.chat_format import OP1_SQL, op1_chat_format
 from lumenloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from lumenloom.llm.language_id import op2_language_id
 from lumenloom.llm.license_scan import op5_license_scan
+from lumenloom.llm.merkle import OP13_SQL, op13_merkle_manifest
 from lumenloom.llm.mixing import OP8_SQL, op8_mix_sources
 from lumenloom.llm.near_dedup import op6_minhash_dedup
 from lumenloom.llm.packing import op9_pack_sequences
@@ -17,8 +18,8 @@ from lumenloom.llm.quality import OP4_SQL, op4_quality_rules
 from lumenloom.llm.token_counts import op10_token_counts
 from lumenloom.llm.warc import op7_warc
 
-_QUERIES = [op1_chat_format, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_license_scan, op6_minhash_dedup, op7_warc, op8_mix_sources, op9_pack_sequences, op10_token_counts]
-_SQL = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_mix_sources": OP8_SQL}
+_QUERIES = [op1_chat_format, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_license_scan, op6_minhash_dedup, op7_warc, op8_mix_sources, op9_pack_sequences, op10_token_counts, op13_merkle_manifest]
+_SQL = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_mix_sources": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
