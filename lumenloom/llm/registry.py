@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenloom.llm.alignment import op11_cross_tokenizer
 from lumenloom.llm.chat_format import OP1_SQL, op1_chat_format
 from lumenloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from lumenloom.llm.language_id import op2_language_id
@@ -19,7 +20,7 @@ from lumenloom.llm.token_counts import op10_token_counts
 from lumenloom.llm.token_files import op12_token_files
 from lumenloom.llm.warc import op7_warc
 
-_QUERIES = [op1_chat_format, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_license_scan, op6_minhash_dedup, op7_warc, op8_mix_sources, op9_pack_sequences, op10_token_counts, op12_token_files, op13_merkle_manifest]
+_QUERIES = [op1_chat_format, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_license_scan, op6_minhash_dedup, op7_warc, op8_mix_sources, op9_pack_sequences, op10_token_counts, op11_cross_tokenizer, op12_token_files, op13_merkle_manifest]
 _SQL = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_mix_sources": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
 
 
