@@ -9,7 +9,8 @@
 3. Postings are dealt by id of side A and stream, sorted, behind that id's counts, so a task holds
    one id's counts and a batch of postings. An id with a large share of all postings is dealt to
    as many tasks as its share asks for, and its counts to each of them.
-4. Each task sums what its ids contribute to a document, and these are summed by document.
+4. Each task sums what its ids contribute to a document and sends a slice's sums together; they
+   are added up by document where the slice's documents are.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ SLICE_BYTES = 4 << 20
 #: Contributions that a task holds before it sums and emits them.
 HELD = 1 << 21
 _SPACE = 0x20
-DOCUMENT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-#: Postings of one id of side A in one slice: linked ids of side B, in how many of the documents, then for each pair those documents' places after ``row`` and how often they have it.
+DOCUMENT = "row long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+#: Postings of one id of side A in one slice: linked ids of side B, in how many of the documents, then for each pair those documents' places and how often they have it. ``row`` names the slice in either kind of row.
 POSTING = "a int, b array<int>, n array<int>, docs binary, times binary"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 _NAMES = [x.split()[0] for x in f"{DOCUMENT}, {POSTING}".split(", ")]
 
 
@@ -195,8 +197,8 @@ def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _blobs(values: np.ndarray, edges: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(values.astype("<i4"))])
+def _blobs(values: np.ndarray, edges: np.ndarray, kind: str = "<i4") -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * int(kind[2:])).astype(np.int32)), pa.py_buffer(values.astype(kind))])
 
 
 def _batch(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
@@ -212,36 +214,66 @@ def _measured(files: tuple, slice_bytes: int):
             for part in slices(batch.column(1), slice_bytes):
                 numbers, digests, pair, doc, times = aligner(*files).slice(part.data, part.at)
                 n = len(part)
-                yield _batch({"row": pa.array(base + np.arange(n)), "doc_id": batch.column(0).slice(part.first, n), **{x: pa.array(numbers[:, k]) for k, x in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "groups_sha256": pa.array(digests)}, n)
+                yield _batch({"row": pa.array(np.full(n, base)), "place": pa.array(np.arange(n)), "doc_id": batch.column(0).slice(part.first, n), **{x: pa.array(numbers[:, k]) for k, x in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "groups_sha256": pa.array(digests)}, n)
                 if len(pair):
                     pairs = np.append(np.flatnonzero(np.diff(pair, prepend=-1)), len(pair))
                     a, b = pair[pairs[:-1]] >> 32, pair[pairs[:-1]] & 0xFFFFFFFF
                     ids = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))
                     m = len(ids) - 1
                     yield _batch({"row": pa.array(np.full(m, base)), "a": pa.array(a[ids[:-1]]), "b": _lists(b, ids), "n": _lists(np.diff(pairs), ids), "docs": _blobs(doc, pairs[ids]), "times": _blobs(times, pairs[ids])}, m)
-                base += n
+                base += 1
         release()
 
     return run
 
 
-def _flat(column: pa.Array) -> np.ndarray:
-    """All values of a list column, or of one of blobs of 32-bit integers."""
+def _flat(column: pa.Array, kind: str = "<i4") -> np.ndarray:
+    """All values of a list column, or of one of blobs of integers."""
     if pa.types.is_list(column.type):
         return column.flatten().to_numpy(zero_copy_only=False)
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<i4") if len(column) and offsets[-1] else np.zeros(0, "<i4")
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind) if len(column) and offsets[-1] > offsets[0] else np.zeros(0, kind)
 
 
 def _sizes(column: pa.Array) -> np.ndarray:
     return np.diff(column.offsets.to_numpy())
 
 
-def _summed(rows: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(rows, kind="stable")
-    rows, counts, best = rows[order], counts[order], best[order]
-    begin = np.flatnonzero(np.diff(rows, prepend=-1))
-    return pa.RecordBatch.from_arrays([pa.array(rows[begin]), pa.array(np.add.reduceat(counts, begin)), pa.array(np.add.reduceat(best, begin))], ["row", "count_sum", "n_best"])
+def _summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Sums by document, a row for each slice: places, sums of counts, numbers of best links."""
+    row, place, counts, best = map(np.concatenate, zip(*held, strict=True))
+    order = np.lexsort((place, row))
+    row, place = row[order], place[order]
+    begin = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+    row, place = row[begin], place[begin]
+    edges = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+    sums_of = lambda values: _blobs(np.add.reduceat(values[order], begin), edges, "<i8")
+    return pa.RecordBatch.from_arrays([pa.array(row[edges[:-1]]), _blobs(place, edges), sums_of(counts), sums_of(best)], ["row", "places", "counts", "bests"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with what was contributed to them. A slice's contributions come before its documents, and its sums are held until the next slice."""
+    current, total = None, np.zeros((2, 0), np.int64)
+    for batch in batches:
+        rows = batch.column("row").to_numpy()
+        tag = batch.column("tag").to_numpy(zero_copy_only=False)
+        runs = np.append(np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (tag[1:] != tag[:-1]))), len(rows))
+        for a, b in zip(runs[:-1], runs[1:], strict=True):
+            if current != rows[a]:
+                current, total = rows[a], np.zeros((2, 0), np.int64)
+            some = batch.slice(a, b - a)
+            if tag[a] == 0:
+                place = _flat(some.column("places"))
+                more = int(place.max()) + 1 - total.shape[1]
+                total = np.pad(total, ((0, 0), (0, max(0, more))))
+                for k, name in enumerate(("counts", "bests")):
+                    np.add.at(total[k], place, _flat(some.column(name), "<i8"))
+            else:
+                place = some.column("place").to_numpy()
+                sums_of = np.pad(total, ((0, 0), (0, max(0, int(place.max()) + 1 - total.shape[1]))))[:, place]
+                out = {x: some.column(x) for x in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"n_best": pa.array(sums_of[1]), "count_sum": pa.array(sums_of[0]), "groups_sha256": some.column("groups_sha256")}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+    release()
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,15 +297,15 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             per, n = _sizes(postings.column("b")), _flat(postings.column("n")).astype(np.int64)
             pair = np.repeat(postings.column("a").to_numpy().astype(np.int64), per) << 32 | _flat(postings.column("b"))
             where = np.searchsorted(keys, pair)
-            row = np.repeat(np.repeat(postings.column("row").to_numpy(), per), n) + _flat(postings.column("docs"))
+            row, place = np.repeat(np.repeat(postings.column("row").to_numpy(), per), n), _flat(postings.column("docs"))
             times = _flat(postings.column("times")).astype(np.int64)
-            held.append((row, times * np.repeat(count[where], n), times * np.repeat(top[where], n)))
+            held.append((row, place, times * np.repeat(count[where], n), times * np.repeat(top[where], n)))
             size += len(row)
             if size >= HELD:
-                yield _summed(*map(np.concatenate, zip(*held, strict=True)))
+                yield _summed(held)
                 held, size = [], 0
     if size:
-        yield _summed(*map(np.concatenate, zip(*held, strict=True)))
+        yield _summed(held)
     release()
 
 
@@ -306,9 +338,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, a_ranks: str | None = None,
     left = told.select("a", "task", F.lit(0).alias("tag"), none("long").alias("row"), "b", none("array<int>").alias("n"), none("binary").alias("docs"), none("binary").alias("times"), "total", "best")
     right = dealt.select("a", "task", F.lit(1).alias("tag"), "row", "b", "n", "docs", "times", none("array<bigint>").alias("total"), none("long").alias("best"))
     streams = left.unionByName(right).repartition("a", "task").sortWithinPartitions("a", "task", "tag")
-    added = streams.mapInArrow(_contributions, "row long, count_sum long, n_best long").groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return own.join(added, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256"), counts.select("a", "best", "b", "total")
+    added = streams.mapInArrow(_contributions, "row long, places binary, counts binary, bests binary")
+    documents = [x for x in DOCUMENT.split(", ") if not x.startswith("row")]
+    left = added.select("row", F.lit(0).alias("tag"), "places", "counts", "bests", *[none(x.split()[1]).alias(x.split()[0]) for x in documents])
+    right = own.select("row", F.lit(1).alias("tag"), *[none("binary").alias(x) for x in ("places", "counts", "bests")], *[x.split()[0] for x in documents])
+    both = left.unionByName(right).repartition("row").sortWithinPartitions("row", "tag")
+    return both.mapInArrow(_by_document, RESULT), counts.select("a", "best", "b", "total")
 
 
 def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
