@@ -1,10 +1,10 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, however long, or a run of as many of the text's words as the template
-has, wherever its lines break; a template is the wording of a notice. A block matches a template
-when it holds at least a given share of the template's distinct words, and in the template's order
-where they stand on several lines: words of unlike lines that happen to meet are no notice. Words of both are ordered
-by how often they occur in the whole corpus, rarest first. A block that holds enough of a
+A block is a line of a text, however long, or any run of the text's words, wherever its lines
+break, up to twice as long as the template: so a wrapped notice may have words of its own in it.
+A template is the wording of a notice, and a block matches it when it holds at least a given
+share of the template's distinct words. Words of both are ordered by how often they occur in the
+whole corpus, rarest first. A block that holds enough of a
 template must hold a word of the template's prefix (prefix filter), have at least as many words
 as must be common (length filter), and, from the place of its first common word on, the template
 must still have that many words left (positional filter); what passes is verified on full sets.
@@ -37,6 +37,8 @@ TEMPLATES = [
 ]
 #: Share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.8
+#: Words of a block over several lines, at most, as a multiple of the template's.
+STRETCH = 2
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -121,31 +123,12 @@ class Join:
                     out[k] = common / len(self.ranked[k])
         return out
 
-    def in_order(self, run: list[int], k: int) -> int:
-        """Distinct words of the longest common subsequence of a run of words and template ``k``."""
-        t = self.wording[k]
-        best = [[0] * (len(t) + 1) for _ in range(len(run) + 1)]
-        for i in range(len(run) - 1, -1, -1):
-            for j in range(len(t) - 1, -1, -1):
-                best[i][j] = 1 + best[i + 1][j + 1] if run[i] == t[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        common: set[int] = set()
-        while i < len(run) and j < len(t):
-            if run[i] == t[j]:
-                common.add(t[j])
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-        return len(common)
-
 
 def _windows(join: Join, k: int, word: np.ndarray, at: np.ndarray, line: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, float]]:
-    """Blocks over several lines, as long as template ``k``, that hold it: their first word's place in ``word``, and the containment.
+    """Blocks over several lines, up to STRETCH times as long as template ``k``, that hold it: their first word's place in ``word``, and the containment.
 
     ``word``: the words of a slice that any template has; ``at``: their places in it; ``line``: their lines; ``end``: where
-    their texts end. What a block holds is also held by the one that begins at its first common word, so only those are looked at.
+    their texts end. What a block holds is also held by the longest one that begins at its first common word, so only those are looked at.
     """
     member = np.zeros(len(word) and word.max() + 1, bool)
     rare = member.copy()
@@ -155,16 +138,16 @@ def _windows(join: Join, k: int, word: np.ndarray, at: np.ndarray, line: np.ndar
             rare[w] = any(t == k for t, _ in join.prefix.get(r, ()))
     mine = np.flatnonzero(member[word])
     word, at, line, end = word[mine], at[mine], line[mine], end[mine]
-    upto = np.searchsorted(at, np.minimum(at + len(join.wording[k]), end))
+    upto = np.searchsorted(at, np.minimum(at + STRETCH * len(join.wording[k]), end))
     begin = np.arange(len(word))
     prefixes = np.concatenate([[0], np.cumsum(rare[word])])
     for i in np.flatnonzero((upto - begin >= join.need[k]) & (prefixes[upto] > prefixes[begin])).tolist():
         if line[i] == line[upto[i] - 1]:  # the line's own block has these words
             continue
-        run = word[i : upto[i]].tolist()
-        block = set(run)
-        if k in join.matches(block, len(block)) and (common := join.in_order(run, k)) >= join.need[k]:
-            yield int(mine[i]), common / len(join.ranked[k])
+        block = set(word[i : upto[i]].tolist())
+        found = join.matches(block, len(block))
+        if k in found:
+            yield int(mine[i]), found[k]
 
 
 def _scan(vocabulary: list[bytes], phrases: list[tuple[list[int], str]], join: Join, slice_bytes: int):

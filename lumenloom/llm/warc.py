@@ -34,6 +34,9 @@ TASK_BYTES = 1 << 30
 BROADCAST_DIGESTS, SALTS = 1_000_000, 16
 _EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 _ID = "<urn:lumenloom:page:{}>"
+_OWN_ID = re.escape(_ID).replace(r"\{\}", r"(-?\d+)")
+#: The type of a row for a member that doesn't inflate, or whose payload hasn't the digest that it names.
+CORRUPT = "corrupt"
 RECORDS = "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -144,14 +147,21 @@ def _next_record(file: _File, at: int, stop: int) -> int | None:
     return None
 
 
+class Corrupt(ValueError):
+    """A member that doesn't inflate to its check sum."""
+
+
 def _inflate(file: _File, at: int) -> tuple[bytes, int]:
-    """A member's content and where it ends."""
+    """A member's content and where it ends. ``EOFError`` if the file ends first."""
     unpacker, out = zlib.decompressobj(31), []
     while not unpacker.eof:
         chunk = file.read(at, _FEED)
         if not chunk:
             raise EOFError("a gzip member is cut off")
-        out.append(unpacker.decompress(chunk))
+        try:
+            out.append(unpacker.decompress(chunk))
+        except zlib.error as e:
+            raise Corrupt(str(e)) from e
         at += len(chunk)
     return b"".join(out), at - len(unpacker.unused_data)
 
@@ -161,8 +171,9 @@ def _headers(block: bytes) -> dict[str, str]:
 
 
 def _page(name: str | None) -> int | None:
-    found = re.search(r"(-?\d+)>$", name or "")
-    return int(found[1]) if found else None
+    """The page that one of this writer's record ids names; ids of other writers name none."""
+    found = re.fullmatch(_OWN_ID, name or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
 
 
 def _whole(text: str | None) -> int | None:
@@ -172,7 +183,8 @@ def _whole(text: str | None) -> int | None:
 def parse_record(content: bytes) -> tuple:
     """A row of ``RECORDS``.
 
-    A response's digest is computed; if the record names a SHA-1 digest, they are compared. Of
+    A response's digest is computed; if the record names another SHA-1 digest, its payload isn't
+    what was written: the row is of type ``corrupt`` and has the digest that the record names. Of
     other records (``warcinfo``, ``request``, ``metadata`` and so on) the size is that of the
     block and the digest the one they name, if any. Header names may come in any case and order.
     """
@@ -187,8 +199,9 @@ def parse_record(content: bytes) -> tuple:
     if kind == "response":
         own, size, body = digest(payload), len(payload), payload
         if known is not None and known != own:
-            raise ValueError(f"the payload of {fields.get('warc-record-id')} does not have its digest")
-        known = own
+            kind, body = CORRUPT, None
+        else:
+            known = own
     elif kind == "revisit":
         size = _whole(_headers(http).get("content-length"))
     return _page(fields.get("warc-record-id")), kind, fields.get("warc-target-uri"), size, known, _page(fields.get("warc-refers-to")), body
@@ -210,6 +223,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 except EOFError:  # nothing can follow in this file
                     rows.append((None, "truncated", None, None, None, None, None))
                     break
+                except Corrupt:  # what it held is lost; records behind it are not
+                    rows.append((None, CORRUPT, None, None, None, None, None))
+                    at = _next_record(file, at + 1, stop)
+                    continue
                 rows.append(parse_record(content))
                 size += len(content)
                 if size > _BATCH_BYTES:
@@ -226,7 +243,8 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
     """The records of all archives below ``path``, by ranges of ``range_bytes``.
 
     Files without records and empty files give none; a member that is cut off gives a row of type
-    ``truncated``. Ranges are dealt so that a task reads TASK_BYTES on a large set of archives.
+    ``truncated``, one that is damaged a row of type ``corrupt``, and the search goes on behind its
+    first byte. Only record ids of ``write_warc`` give a page id. Ranges are dealt so that a task reads TASK_BYTES on a large set of archives.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
