@@ -1,142 +1,17 @@
-"""What commands, settings and catalogs decide, case by case, beside the decisions that are expected."""
+"""Limits, files and playlists as commands use them, over the driver's tables."""
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import functions as F
 
-from lumenloom import cli, settings
 from lumenloom.operators import guide as G
 from lumenloom.operators import lookup as L
-from lumenloom.operators.guide import Guide
 from lumenloom.plans import guide_queries as Q
 from lumenloom.plans.registry import query, table
-from lumenloom.providers import Catalog, Profile, Provider, context, notes
 from lumenloom.scratch import new_path
 from lumenloom.sources import m3u, xmltv
 
 
-def _values(rows: list[tuple[str, str]]) -> str:
-    quoted = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {quoted}) AS t(given, result)"
-
-
-def _register(name: str, cases: list[tuple[str, str]], decide) -> None:
-    def run(spark, sf_dir):
-        return spark.createDataFrame([(given, decide(given)) for given, _ in cases], "given string, result string")
-
-    run.__name__ = name
-    query(_values(cases))(run)
-
-
-def _first_complaint(flags: str) -> str:
-    return next(cli.complaints(cli.parser().parse_args(flags.split())), "")
-
-
-FLAGS = [
-    ("--provider a", ""), ("--provider a --date 1", "--date: YYYY-MM-DD expected, not 1"), ("--provider a --date 2026-02-30", "--date: 2026-02-30 is no date"), ("--provider a --days-back 60", ""), ("--provider a --days-back 61", "--days-forward, --days-back: whole numbers from 0 to 60 expected"),
-    ("--provider a --days-forward 1x", "--days-forward, --days-back: whole numbers from 0 to 60 expected"), ("--provider ,", "--provider: an id is missing"), ("--merge --compare", "--compare and --merge exclude each other"), ("--provider a,b,c --compare", "--compare: two providers at most"),
-    ("--provider a,b", "several providers need --merge or --compare"), ("--from x", "--from needs --merge or --compare"), ("--from , --merge", "--from: a path is missing"), ("--provider a --sports-only", "--sports-only needs --merge"), ("--m3u x --merge", "--m3u excludes the flags of guides"),
-    ("--provider a --max-channels 0", "--max-channels: a positive whole number expected"), ("--provider a,b --date x", "--date: YYYY-MM-DD expected, not x"), ("--m3u x --m3u-want a", ""), ("--provider a,b --merge --exclusive-channels", ""),
-]
-_register("command_flags", FLAGS, _first_complaint)
-_register("output_names", [("a TR ", "epg_a_TR.xml"), ("merged SE z", "epg_merged_SE.xml.gz")], lambda g: cli._name(*g.split(" ")[:2], bool(g.split(" ")[2])))
-_register("command_window", [("0 0", "2026-03-01"), ("1 1", "2026-02-28 2026-03-01 2026-03-02"), ("0 2", "2026-03-01 2026-03-02 2026-03-03")], lambda g: " ".join(map(str, cli.window(cli.parser().parse_args(["--date", "2026-03-01", "--days-back", g.split()[0], "--days-forward", g.split()[1]]), "UTC"))))
-
-
-def _setting(text: str) -> str:
-    with tempfile.TemporaryDirectory() as d:
-        p = Path(d) / "s.json"
-        p.write_text(text, encoding="utf-8")
-        try:
-            s = settings.load_playlist(p, env={"HOST": "h"}, catalog=[{"pattern": " trt* ", "group": "Ulusal"}, {"group": "lost"}], want=["last"])
-        except settings.SettingsError as e:
-            return str(e).replace(str(p), "FILE").split(" column")[0]
-    return f"{s.sources[0]['path']} {','.join(s.options.want)} {s.options.style} {s.options.max_copies} {len(s.options.rules)}"
-
-
-SETTINGS = [
-    ('{"sources": [{"url": "${HOST}/a"}]}', "h/a trt*,last backup 6 1"), ('{"sources": [{"url": "${NO:-x}"}], "want": ["w"], "style": "none", "maxCopies": 0}', "x trt*,w,last none 0 1"), ('{"sources": [{"url": "a"}], "catalog": false}', "a last backup 6 0"),
-    ('{"sources": [{"url": "${NO}"}]}', "sources[0].url: NO is not set"), ('{"sources": []}', "sources: a list of 1 to 50 expected"), ('{"sources": [{"url": "a", "x": 1}]}', "sources[0]: unknown x"), ('{"sources": [{"url": "a"}], "y": 1}', "settings: unknown y"),
-    ('{"sources": [{"url": "a"}], "maxCopies": true}', "maxCopies: a whole number from 0 to 1000 expected"), ('{"sources": [{"url": "a"}], "live": {"depth": 3}}', "live.depth: a whole number from 1 to 2 expected"), ('{"sources": [{"url": "a"}], "want": [" "]}', "want: a list of texts expected that aren't blank"), ("[]", "settings FILE: a JSON object expected"),
-]
-_register("playlist_settings", SETTINGS, _setting)
-
-
-def _flagged(flags: str) -> str:
-    s = settings.PlaylistSettings([{"id": "a", "path": "a"}], settings.PlaylistOptions(want=["w"]))
-    try:
-        s = cli.overridden(s, cli.parser().parse_args(["--m3u", "x", *flags.split()]))
-    except cli.Refused as e:
-        return str(e)
-    o = s.options
-    return f"{','.join(x['path'] for x in s.sources)} {','.join(o.want)} {o.style} {o.max_copies} {int(o.unify_scheme)}{int(o.keep_query)}{int(o.infer_id)}{int(o.use_backups)} {','.join(f'{k}={v}' for k, v in s.live.items())}".strip()
-
-
-PLAYLIST_FLAGS = [
-    ("", "a w backup 6 1011"), ("--m3u-want x,y --m3u-style none", "a w,x,y none 6 1011"), ("--m3u-sources b,c --m3u-max-copies 0", "b,c w backup 0 1011"), ("--m3u-keep-scheme --m3u-keep-query --m3u-no-infer-tvg-id --m3u-no-yedek", "a w backup 6 0100"),
-    ("--m3u-live-keep --m3u-live-depth 2", "a w backup 6 1011 depth=2,enabled=True,keepFailed=True"), ("--m3u-live --m3u-live-retry 0", "a w backup 6 1011 retries=0,enabled=True"), ("--m3u-max-copies 1001", "--m3u-max-copies: a whole number from 0 to 1000 expected"),
-    ("--m3u-max-bytes 1023", "--m3u-max-bytes: a whole number from 1024 to 268435456 expected"), ("--m3u-live-concurrency 9", "--m3u-live-concurrency: a whole number from 1 to 8 expected"), ("--m3u-style odd", "--m3u-style: one of numbered, parenthesized, none, backup, source, keep-first, fail expected"),
-]
-_register("playlist_flags", PLAYLIST_FLAGS, _flagged)
-
-
-def _env(text: str) -> str:
-    with tempfile.TemporaryDirectory() as d:
-        (p := Path(d) / ".env").write_text(text, encoding="utf-8")
-        return "|".join(f"{k}={v}" for k, v in settings.read_env(p).items())
-
-
-_register("env_files", [("# n\nexport A=1 # e\nB=\"two words\"\nC='x#y'", "A=1|B=two words|C=x#y"), ("D=\nA-B\n9=1", "D="), ("T=`a b`\nE=\"x\\ny\"", "T=a b|E=x\ny")], _env)
-_register("alias_files", [('{"A.tr": "B.tr", "b.TR": "C.tr"}', "A.TR=C.tr,B.TR=C.tr"), ('{"x": 1}', ""), ('{"x": "Y", "Y": "x"}', "X=x,Y=Y")], lambda g: ",".join(f"{k}={v}" for k, v in sorted(G.resolve_aliases(__import__("json").loads(g)).items())))
-_register("value_lists", [("a, b ,,c", "a|b|c"), (" ", ""), ("x", "x")], lambda g: "|".join(settings.split_list(g)))
-
-
-def _nations(spark, sf_dir) -> Catalog:
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # 25 nations stand for providers
-    return Catalog(Provider(r.n_name, r.n_name.title(), country="se" if r.n_regionkey == 1 else None, zone="Europe/Stockholm" if r.n_regionkey == 1 else "Nowhere/X", channel_ids=("a", "b", "a")[: r.n_nationkey % 4], sports_ids=("s",) if r.n_nationkey % 5 == 0 else (), live_sports=r.n_nationkey % 2 == 0, scheduled=r.n_nationkey % 3 == 0, schedule_order=-r.n_nationkey, arguments=("--delay", "3")) for r in rows)
-
-
-@query("SELECT n_name AS id, CASE WHEN n_regionkey = 1 THEN 'SE' ELSE 'TR' END AS country, 'tr' AS language, CASE WHEN n_regionkey = 1 THEN 'Europe/Stockholm' ELSE 'Europe/Istanbul' END AS zone, CAST(least(n_nationkey % 4, 2) AS INTEGER) AS channels, n_nationkey % 2 = 0 AS live_sports, n_nationkey % 3 = 0 AS scheduled FROM nation")
-def provider_inventory(spark, sf_dir):
-    return _nations(spark, sf_dir).inventory(spark).drop("name")
-
-
-@query("SELECT n_name AS provider, '--delay 3' AS args, row_number() OVER (ORDER BY n_nationkey DESC) AS place FROM nation WHERE n_nationkey % 3 = 0")
-def provider_schedule(spark, sf_dir):
-    daily = _nations(spark, sf_dir).schedule()
-    return spark.createDataFrame([(r["provider"], r["args"], k + 1) for k, r in enumerate(daily)], "provider string, args string, place long")
-
-
-@query("SELECT n_name AS provider, CASE WHEN n_nationkey % 5 = 0 THEN 's' WHEN n_nationkey % 4 = 0 THEN '' WHEN n_nationkey % 4 = 1 THEN 'a' ELSE 'a,b' END AS ids FROM nation WHERE n_nationkey % 2 = 0")
-def provider_sports(spark, sf_dir):
-    catalog = _nations(spark, sf_dir)
-    return spark.createDataFrame([(p.id, ",".join(catalog.sports_ids(p.id))) for p in catalog.sports()], "provider string, ids string")
-
-
-@query("SELECT n_name AS provider, 'epg_' || n_name || CASE WHEN n_regionkey = 1 THEN '_SE' ELSE '_TR' END || '.xml.gz' AS file FROM nation")
-def profile_files(spark, sf_dir):
-    catalog = _nations(spark, sf_dir)
-    ids = tuple(p.id for p in catalog)
-    return spark.createDataFrame(list(zip(ids, catalog.guide_files(Profile(ids, "all")), strict=True)), "provider string, file string")
-
-
-@query("SELECT line FROM (SELECT '- ' || coalesce(nullif(s_name, ''), '?') || ' (`s' || s_suppkey || '`)' AS line FROM supplier) UNION ALL SELECT '<details><summary><b>`epg_n' || s_nationkey || '_TR.xml`</b>: provider `n' || s_nationkey || '`, ' || count(*) || ' channels</summary>' FROM supplier GROUP BY s_nationkey")
-def published_notes(spark, sf_dir):
-    channels = table(spark, sf_dir, "supplier").select(F.concat(F.lit("epg_n"), F.col("s_nationkey").cast("string"), F.lit("_TR.xml")).alias("file"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"))
-    text = notes(channels, Catalog(), {}, "2026-01-01")
-    return spark.createDataFrame([(x,) for x in text.split("\n") if x.startswith(("- ", "<details>"))], "line string")
-
-
-@query("SELECT 'empty' AS guide, true AS refused UNION ALL SELECT 'channels only', true UNION ALL SELECT 'whole', false")
-def empty_guides(spark, sf_dir):
-    g = Q.guide(spark, sf_dir)
-    cases = [("empty", Guide(g.channels.limit(0), g.programmes.limit(0))), ("channels only", Guide(g.channels, g.programmes.limit(0))), ("whole", g)]
-    return spark.createDataFrame([(name, cli.is_empty(x)) for name, x in cases], "guide string, refused boolean")
-
-
 @query(f"WITH {Q._PROGRAMMES} SELECT id, name FROM (SELECT row_number() OVER (ORDER BY provider, seq) AS n, id, name FROM c) WHERE n <= 40")
 def channel_limit(spark, sf_dir):
     """At most forty channels are read: the limit is the feature."""
@@ -162,24 +37,6 @@ def guide_language(spark, sf_dir):
     return guide.channels.agg(F.count("*").alias("channels")).withColumns({"language": F.lit(guide.language), "otherwise": F.lit(none.language)})
 
 
-_BAD = [("sound", ""), ("blank name", "1 entries without a name"), ("placeholder", "1 entries with a placeholder as id"), ("no url", "1 entries without an http(s) URL"), ("twice", "1 repeated URLs; 1 repeated names; 1 repeated ids")]
-
-
-@query(_values(_BAD))
-def playlist_validation(spark, sf_dir):
-    base = [("A", "a.tr", "http://h/1"), ("B", "b.tr", "http://h/2")]
-    more = {"sound": ("C", "", "https://h/3"), "blank name": (" ", "c.tr", "http://h/3"), "placeholder": ("C", "ext", "http://h/3"), "no url": ("C", "c.tr", "rtmp://h/3"), "twice": ("a", "A.tr", " http://h/1 ")}
-
-    def verdict(name: str) -> str:
-        try:
-            m3u.validate(spark.createDataFrame([*base, more[name]], "name string, tvg_id string, url string"))
-        except ValueError as e:
-            return str(e)
-        return ""
-
-    return spark.createDataFrame([(n, verdict(n)) for n, _ in _BAD], "given string, result string")
-
-
 @query("SELECT count(*) FILTER (p_partkey % 10 <> 1) AS parsed, count(*) FILTER (p_partkey % 10 = 1) AS missing_url, count(*) FILTER (p_partkey % 10 = 2) AS extra_urls, count(*) FILTER (p_partkey % 10 = 3) AS malformed, max(CASE WHEN p_partkey % 10 = 5 THEN 16384 ELSE 0 END) AS longest, CAST(count(*) FILTER (p_partkey % 10 = 4) AS BIGINT) AS regrouped FROM part")
 def playlist_hostile(spark, sf_dir):
     """A playlist with entries that lack a URL or have two, unclosed quotes, groups of their own and fields beyond all bounds."""
