@@ -129,9 +129,13 @@ def epoch_to_iso(ms: Column, zone: str) -> Column:
 def turkish_date(x: Column, before: str = "", after: str = "") -> Column:
     """The first ``8 Eylül 2026`` in a text as a date. ``before``, ``after``: patterns of what must stand around it."""
     p = before + r"(\d{1,2})\s+(\p{L}+)\s+(\d{4})" + after
-    name = F.lower(F.replace(F.replace(F.regexp_extract(x, p, 2), F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı")))
-    month = F.array_position(F.array(*[F.lit(m) for m in TURKISH_MONTHS]), name).cast("int")
-    return F.when(month > 0, F.try_make_timestamp(_int(x, p, 3), month, _int(x, p, 1), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
+
+    def read(t: Column) -> Column:
+        name = F.lower(F.replace(F.replace(F.regexp_extract(t, p, 2), F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı")))
+        month = F.array_position(F.array(*[F.lit(m) for m in TURKISH_MONTHS]), name).cast("int")
+        return _bound(month, lambda m: F.when(m > 0, F.try_make_timestamp(_int(t, p, 3), m, _int(t, p, 1), F.lit(0), F.lit(0), F.lit(0)).cast("date")))
+
+    return _bound(x, read)
 
 
 def date_window(anchor: Column, back: int, forward: int) -> Column:

@@ -10,6 +10,8 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,24 +152,32 @@ def base_display_name(tvg_name: Column, name: Column) -> Column:
     return F.coalesce(F.nullif(trim(_text(tvg_name)), F.lit("")), F.nullif(stripped, F.lit("")), trim(_text(name)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _character(reference: Column) -> Column:
+    """The character that a numeric reference (without ``&`` and ``;``) names, null if XML forbids it."""
+    digits = F.regexp_replace(reference, "^#[xX]?0*", "")
+    code = F.when(reference.rlike("^#[xX]"), F.when(F.length(digits) < 7, F.conv(digits, 16, 10))).otherwise(F.when(F.length(digits) < 8, digits)).try_cast("long")
+    legal = lambda c: (c <= 0x10FFFF) & ((c >= 0x20) | c.isin(9, 10, 13)) & ~c.between(0xD800, 0xDFFF) & ~c.isin(0xFFFE, 0xFFFF)
+    return let(code, lambda c: F.when(legal(c), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")))
+
+
 def decode_entities(x: Column) -> Column:
     """Character references decoded in one pass, so ``&amp;lt;`` becomes ``&lt;``. References to characters that XML forbids, and unknown names, stay as they are."""
     reference = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);"
-    parts = F.regexp_extract_all(_text(x), F.lit(rf"(?s){reference}|[^&]+|&"), F.lit(0))
-    named = F.create_map(*[F.lit(v) for kv in ENTITIES.items() for v in kv])
+    # one literal: a map of many would make every plan that decodes texts larger
+    named = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in ENTITIES.items())), F.lit("\x01"), F.lit("\x02"))
 
     def decoded(t: Column) -> Column:
         body = F.substring(t, F.lit(2), F.length(t) - 2)
-        digits = F.regexp_replace(body, "^#[xX]?0*", "")
-        hexa = F.when(body.rlike("^#[xX]"), F.upper(digits)).otherwise(F.when(F.length(digits) < 9, F.hex(F.coalesce(digits.try_cast("long"), F.lit(0)))).otherwise("FFFFFFFF"))
-        hexa = F.when(hexa == "", F.lit("0")).otherwise(hexa)
-        code = F.when(F.length(hexa) < 7, F.conv(hexa, 16, 10).cast("long"))
-        legal = (code <= 0x10FFFF) & ((code >= 0x20) | code.isin(9, 10, 13)) & ~code.between(0xD800, 0xDFFF) & ~code.isin(0xFFFE, 0xFFFF)
-        char = F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")
-        number = F.when(F.coalesce(legal, F.lit(False)), char).otherwise(t)
-        return F.when(~t.rlike(f"^{reference}$"), t).when(body.startswith("#"), number).otherwise(F.coalesce(F.try_element_at(named, body), t))
-
-    return F.array_join(F.transform(parts, decoded), "")
+        found = F.when(F.startswith(t, F.lit("&#")), _character(body)).otherwise(F.try_element_at(named, body))
+        return F.when(t.rlike(f"^{reference}$"), F.coalesce(found, t)).otherwise(t)
+
+    parts = lambda t: F.regexp_extract_all(t, F.lit(rf"(?s){reference}|[^&]+|&"), F.lit(0))
+    return let(_text(x), lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(parts(t), decoded), "")).otherwise(t))
 
 
 _XML_ILLEGAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"

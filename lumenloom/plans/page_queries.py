@@ -54,8 +54,9 @@ _SLOTS = f"WITH {_E} SELECT page, seq, m AS start_min, title"
 
 @query(_SLOTS + ", CAST(day AS VARCHAR) AS served FROM ok")
 def page_flat_list(spark, sf_dir):
-    item = lambda e: _html('<li  ><div class="time"> ', e["clock"], '</div><div class="program-name"><b>', X.escape_xml(e["title"]), "</b>  </div></li>\n")
-    page = lambda body, day: _html("<title>1 Ocak 2001 gibi, ", _turkish(day), ' tarihli Akış</title><ul><li>9</li></ul>\n<ul class="epg-list">', body, "</ul>")
+    item = lambda e: _html('<li  ><div class="time"> ', e["clock"], '</div><div class="program-name"><div><b>', X.escape_xml(e["title"]), "</b></div>  </div></li>\n")
+    head = '<!-- a <title>2 Ocak 2002 tarihli</title> in a comment <ul class="epg-list"><li> --><script>if (1 < 2) x = "<title>3 Ocak 2003 tarihli</title>"</script>'
+    page = lambda body, day: _html(head + '<title lang="a>b">1 Ocak 2001 gibi, ', _turkish(day), ' tarihli Akış</title><ul><li>9</li></ul>\n<ul class="epg-list">', body, "</ul>")
     return _seq(P.flat_list(days(spark, sf_dir, item, page)), "start_min", "title", F.col("served").cast("string"))
 
 
@@ -77,10 +78,10 @@ def page_zipped_lists(spark, sf_dir):
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 10).cast("string").alias("page"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.floor(F.col("p_partkey") / 100).cast("string").alias("page"))
 
 
-_CARDS = "c AS (SELECT CAST(p_partkey % 10 AS VARCHAR) AS page, 'kanal-' || (p_partkey // 20) AS slug, p_partkey AS k, p_name AS name FROM part)"
+_CARDS = "c AS (SELECT CAST(p_partkey // 100 AS VARCHAR) AS page, 'kanal-' || (p_partkey // 2) AS slug, p_partkey AS k, p_name AS name FROM part)"
 
 
 @query(f"WITH {_CARDS} SELECT page, slug, arg_min(name, k) AS name, arg_min(CASE WHEN k % 3 <> 0 THEN 'http://i/' || k || '.png' END, k) FILTER (true) AS icon FROM (SELECT DISTINCT ON (page, slug) * FROM c ORDER BY page, slug, k) GROUP BY ALL")
@@ -88,7 +89,7 @@ def page_channel_cards(spark, sf_dir):
     """Two cards of each slug on a page: the first counts; every third icon is no http address."""
     k = F.col("p_partkey").cast("string")
     source = F.when(F.col("p_partkey") % 3 == 0, F.lit("data:x")).otherwise(_html("http://i/", k, ".png"))
-    card = _html('<a class="c" href="/tv/kanal-', F.floor(F.col("p_partkey") / 20).cast("string"), '-yayin-akisi-bugun">\n<img src="x.gif" data-src="', source, '" alt=" ', X.escape_xml(F.col("p_name")), ' "></a><a href="/other">no</a>')
+    card = _html('<a class="c" href="/tv/kanal-', F.floor(F.col("p_partkey") / 2).cast("string"), '-yayin-akisi-bugun">\n<img src="x.gif" data-src="', source, '" alt=" ', X.escape_xml(F.col("p_name")), ' "></a><a href="/other">no</a>')
     cards = _parts(spark, sf_dir).groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("x")))), lambda c: c["x"]), "").alias("value"))
     return P.channel_cards(cards).select("page", "slug", "name", "icon")
 
@@ -98,7 +99,7 @@ def page_logo_cards(spark, sf_dir):
     """The first sound logo of a slug counts, not the first logo."""
     k = F.col("p_partkey").cast("string")
     source = F.when(F.col("p_partkey") % 3 == 0, F.lit("http://i/a|b")).otherwise(_html("http://i/", k, ".png?a=1&amp;b"))
-    card = _html('<a title="t" href="https://h/yayin-akisi/KANAL-', F.floor(F.col("p_partkey") / 20).cast("string"), '/03-10-2026" class="u"><img alt="x" src="', source, '" /></a>')
+    card = _html('<a title="t" href="https://h/yayin-akisi/KANAL-', F.floor(F.col("p_partkey") / 2).cast("string"), '/03-10-2026" class="u"><img alt="x" src="', source, '" /></a>')
     cards = _parts(spark, sf_dir).groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("x")))), lambda c: c["x"]), "").alias("value"))
     return P.logo_cards(cards).select("page", "slug", "icon")
 
@@ -119,7 +120,7 @@ def page_brand_logo(spark, sf_dir):
     return P.brand_logo(rows)
 
 
-_GRID = """, g AS (SELECT CAST(user_id % 10 AS VARCHAR) AS page, dense_rank() OVER (PARTITION BY user_id % 10 ORDER BY user_id) - 1 AS channel_no, user_id, event_id, m, title,
+_GRID = """, g AS (SELECT CAST(user_id // 20 AS VARCHAR) AS page, dense_rank() OVER (PARTITION BY user_id // 20 ORDER BY user_id) - 1 AS channel_no, user_id, event_id, m, title,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, (event_id % 3) * 720 AS span FROM e WHERE event_id % 10 <> 7)"""
 
 
@@ -132,7 +133,7 @@ def page_week_grid(spark, sf_dir):
     cell = _html('<div class="flow-module-col passive" data-type="', (F.col("event_id") % 3).cast("string"), '"><div><h2 class="column-title">', shown, ' <a href="x">more</a></h2><span class="column-time"> ', _clock(F.col("m")), " - ", _clock(stop), "</span></div></div>")
     rows = e.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", cell.alias("x")))), lambda c: c["x"]), "").alias("cells"))
     rail = _html('<li class="flow-module-channel"><a href="/u"><img src="/i.png?v=1" alt="Ch ', F.col("user_id").cast("string"), ' &amp; co"></a></li>')
-    day = rows.groupBy((F.col("user_id") % 10).cast("string").alias("page")).agg(F.sort_array(F.collect_list(F.struct("user_id", rail.alias("rail"), _html('<div class="flow-module-row">', F.col("cells"), "</div>").alias("row")))).alias("all"))
+    day = rows.groupBy(F.floor(F.col("user_id") / 20).cast("string").alias("page")).agg(F.sort_array(F.collect_list(F.struct("user_id", rail.alias("rail"), _html('<div class="flow-module-row">', F.col("cells"), "</div>").alias("row")))).alias("all"))
     value = F.concat(F.lit("<ul>"), F.array_join(F.transform("all", lambda c: c["rail"]), ""), F.lit("</ul>"), F.array_join(F.transform("all", lambda c: c["row"]), ""))
     channels, slots = P.week_grid(day.select("page", value.alias("value")), {"1": "Film"})
     paired, lost = P.pair_rail(channels, slots)

@@ -32,7 +32,11 @@ def content(section: Column, tag: str) -> Column:
 
 def attributes(opening: Column) -> Column:
     """The attributes of an opening tag, or of a text that begins with one, by name in lower case; of several with one name the first counts. Values are as written."""
-    head = F.regexp_extract(opening, r"(?s)^<?[^>]*", 0)
+    return attribute_pairs(F.regexp_extract(opening, r"(?s)^<?[^>]*", 0))
+
+
+def attribute_pairs(head: Column) -> Column:
+    """The same of a whole tag, whatever its values hold."""
     group = lambda k: F.regexp_extract_all(head, F.lit(_ATTRIBUTE), F.lit(k))
     names = F.transform(group(1), F.lower)
     pairs = F.arrays_zip(names.alias("k"), F.zip_with(group(2), group(3), lambda a, b: F.concat(a, b)).alias("v"))

@@ -1,4 +1,4 @@
-"""Listing pages and API payloads: HTML by patterns, embedded JSON by schema.
+"""Listing pages and API payloads: HTML by tokens, embedded JSON by schema.
 
 Every parser takes ``pages(page, value)``, a whole document a row, and gives one row a slot or
 channel with ``page`` and ``seq``, the place in the document. What is unsound is left out.
@@ -6,6 +6,8 @@ channel with ``page`` and ``seq``, the place in the document. What is unsound is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,9 @@ from pyspark.sql import types as T
 from lumenloom.functions import instants as I
 from lumenloom.functions import text as X
 from lumenloom.operators.guide import least
+from lumenloom.scratch import cut
 from lumenloom.sources import markup as M
+from lumenloom.sources import tokens as K
 
 
 # Names of the parts of pages.
@@ -27,14 +31,21 @@ SERVED_AFTER, CARD_LINK, LOGO_LINK = r"\s+tarihli", r"/([a-z0-9-]+)-yayin-akisi-
 _CLOCK = r"^(\d{1,2}):(\d{2})$"
 
 
-def _each(pages: DataFrame, found: Column, *more: str) -> DataFrame:
-    """A row for each section; ``seq`` counts those of a page."""
-    return pages.select("page", *more, F.posexplode(found).alias("seq", "section"))
+def _read(pages: DataFrame, **fields: Callable[[Column], Column]) -> DataFrame:
+    """``page`` and what ``fields`` read from its tokens. Tokens stay inside one expression: as a column they would be packed, and unpacked whole for each section."""
+    made = X.let(K.tokens(F.col("value")), lambda t: F.struct(*[f(t).alias(name) for name, f in fields.items()]))
+    return pages.select("page", made.alias("r")).select("page", *[F.col(f"r.{name}") for name in fields])
+
+
+def _each(pages: DataFrame, found: Callable[[Column], Column], fields: dict[str, Callable[[Column], Column]], **more: Callable[[Column], Column]) -> DataFrame:
+    """A row for each section with what ``fields`` read from it; ``seq`` counts those of a page."""
+    read = lambda t: F.transform(found(t), lambda s: F.struct(*[f(s).alias(name) for name, f in fields.items()]))
+    return _rows(_read(pages, read=read, **more), "read", *more).select("page", *more, "seq", *[F.col(f"x.{name}") for name in fields])
 
 
-def _one(x: Column, tag: str, css: str) -> Column:
-    """What the first element of a kind and class holds, null without one."""
-    return M.content(F.get(M.sections(x, tag, css), F.lit(0)), tag)
+def _rows(whole: DataFrame, read: str, *more: str, seq: str = "seq") -> DataFrame:
+    """A row for each element of ``read``, as ``x``. The outer form keeps Spark from asking for the size of the array first, which would have it made twice."""
+    return whole.select("page", *more, F.posexplode_outer(read).alias(seq, "x")).where(f"{seq} IS NOT NULL")
 
 
 def _slots(rows: DataFrame, end_of_day: bool = True) -> DataFrame:
@@ -46,89 +57,99 @@ def _slots(rows: DataFrame, end_of_day: bool = True) -> DataFrame:
 
 def _image(x: Column) -> Column:
     """The address if it is http(s) and has no ``|``."""
-    url = X.trim(x)
-    return F.when(url.rlike("(?i)^https?://") & ~url.contains("|"), url)
+    return X.let(X.trim(x), lambda url: F.when(url.rlike("(?i)^https?://") & ~url.contains("|"), url))
+
+
+def _clocked(clock: Callable[[Column], Column], title: Callable[[Column], Column]) -> dict[str, Callable[[Column], Column]]:
+    return {"clock": lambda s: K.words(clock(s)), "title": lambda s: K.words(title(s))}
 
 
 def flat_list(pages: DataFrame) -> DataFrame:
     """Slots of a page with one list of times and names, and the date that the page's title says it serves."""
-    listed = _each(pages, M.sections(_one(F.col("value"), "ul", LIST), "li"))
-    rows = listed.select("page", "seq", M.words(_one(F.col("section"), "div", TIME)).alias("clock"), M.words(_one(F.col("section"), "div", NAME)).alias("title"))
-    title = M.content(F.get(M.sections(F.col("value"), "title"), F.lit(0)), "title")
-    return _slots(rows, end_of_day=False).join(pages.select("page", I.turkish_date(M.words(title), after=SERVED_AFTER).alias("served")), "page")
+    served = lambda t: I.turkish_date(K.words(K.element(t, "title")), after=SERVED_AFTER)
+    items = lambda t: K.sections(K.element(t, "ul", LIST), ("li", None))
+    rows = _each(pages, items, _clocked(lambda s: K.element(s, "div", TIME), lambda s: K.element(s, "div", NAME)), served=served)
+    return _slots(rows, end_of_day=False)
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
     """Slots of a page with a table of names and times, and the date that begins its heading."""
-    cells = F.transform(F.filter(M.sections(F.col("section"), "td"), lambda c: c.rlike("(?i)<strong>")), lambda c: M.words(M.content(c, "td")))
-    rows = _each(pages, M.sections(F.col("value"), "tr")).select("page", "seq", cells.alias("cells")).where(F.size("cells") >= 2)
-    heading = M.words(M.content(F.get(M.sections(F.col("value"), "h2"), F.lit(0)), "h2"))
-    slots = _slots(rows.select("page", "seq", F.get("cells", F.lit(1)).alias("clock"), F.get("cells", F.lit(0)).alias("title")))
-    return slots.join(pages.select("page", I.turkish_date(heading, before="^").alias("served")), "page")
+    served = lambda t: I.turkish_date(K.words(K.element(t, "h2")), before="^")
+
+    def cells(row: Column) -> Column:
+        strong = F.filter(K.sections(row, ("td", None)), lambda c: F.exists(c, lambda t: t["name"] == "strong"))
+        return F.transform(strong, lambda c: K.words(K.content(c)))
+
+    rows = _each(pages, lambda t: K.sections(t, ("tr", None)), {"cells": cells}, served=served).where(F.size("cells") >= 2)
+    return _slots(rows.select("page", "served", "seq", F.get("cells", F.lit(1)).alias("clock"), F.get("cells", F.lit(0)).alias("title")))
 
 
 def table_logo(pages: DataFrame, base: str) -> DataFrame:
     """The address, without its query, of a page's first borderless image."""
-    own = F.get(F.filter(M.sections(F.col("value"), "img"), lambda i: F.coalesce(F.try_element_at(M.attributes(i), F.lit("border")) == "0", F.lit(False))), F.lit(0))
-    src = X.trim(F.try_element_at(M.attributes(own), F.lit("src")))
-    sound = (src != "") & ~src.startswith("data:") & ~src.rlike(r"[\s|]")
-    return pages.select("page", F.when(sound, X.strip_query(X.absolutize(src, base))).alias("icon")).where("icon IS NOT NULL")
+    plain = lambda t: F.filter(K.sections(t, ("img", None)), lambda i: F.coalesce(K.raw_attribute(i, "border") == "0", F.lit(False)))
+    found = _read(pages, src=lambda t: X.trim(K.raw_attribute(F.get(plain(t), F.lit(0)), "src")))
+    sound = (F.col("src") != "") & ~F.col("src").startswith("data:") & ~F.col("src").rlike(r"[\s|]")
+    return found.select("page", F.when(sound, X.strip_query(X.absolutize(F.col("src"), base))).alias("icon")).where("icon IS NOT NULL")
 
 
 def zipped_lists(pages: DataFrame) -> DataFrame:
     """Slots of a page whose times and names stand beside each other in two series; the longer one's end is left out."""
-    every = lambda tag, css: F.transform(M.sections(F.col("value"), tag, css), lambda s: M.words(M.content(s, tag)))
-    lists = pages.select("page", every("strong", PAIR_TIME).alias("t"), every("p", PAIR_NAME).alias("n"))
-    both = F.least(F.size("t"), F.size("n"))
-    rows = lists.select("page", F.posexplode(F.arrays_zip(F.slice("t", F.lit(1), both).alias("t"), F.slice("n", F.lit(1), both).alias("n"))).alias("seq", "x"))
+    every = lambda tag, css: lambda t: F.transform(K.sections(t, (tag, css)), lambda s: K.words(K.content(s)))
+    lists = _read(pages, times=every("strong", PAIR_TIME), names=every("p", PAIR_NAME))
+    both = F.least(F.size("times"), F.size("names"))
+    rows = _rows(lists.select("page", F.arrays_zip(F.slice("times", F.lit(1), both).alias("t"), F.slice("names", F.lit(1), both).alias("n")).alias("both")), "both")
     return _slots(rows.select("page", "seq", F.col("x.t").alias("clock"), F.col("x.n").alias("title")))
 
 
-def _cards(pages: DataFrame, link: str) -> DataFrame:
-    """Links whose address ends like ``link``: ``page, seq, slug`` and the attributes of the first image inside, as ``image``."""
-    rows = _each(pages, M.sections(F.col("value"), "a"))
-    slug = F.lower(F.regexp_extract(F.coalesce(M.attribute(F.col("section"), "href"), F.lit("")), f"(?i){link}", 1))
-    image = F.get(M.sections(M.content(F.col("section"), "a"), "img"), F.lit(0))
-    return rows.select("page", "seq", slug.alias("slug"), image.alias("image")).where("slug <> ''")
+def _cards(pages: DataFrame, link: str, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Links whose address ends like ``link``: ``page, seq, slug`` and what ``fields`` read from the first image inside."""
+    slug = lambda s: F.lower(F.regexp_extract(F.coalesce(K.attribute(s, "href"), F.lit("")), f"(?i){link}", 1))
+    inside = lambda f: lambda s: K.let(K.first(K.content(s), "img"), f)
+    return _each(pages, lambda t: K.sections(t, ("a", None)), {"slug": slug, **{name: inside(f) for name, f in fields.items()}}).where("slug <> ''")
 
 
 def channel_cards(pages: DataFrame) -> DataFrame:
     """Channels of an index page; the first card of a slug that has a name counts."""
-    icon = F.coalesce(M.attribute(F.col("image"), "data-src"), M.attribute(F.col("image"), "src"))
-    named = _cards(pages, CARD_LINK).select("page", "seq", "slug", X.collapse_whitespace(M.attribute(F.col("image"), "alt")).alias("name"), _image(icon).alias("icon"))
+    icon = lambda i: _image(F.coalesce(K.attribute(i, "data-src"), K.attribute(i, "src")))
+    named = _cards(pages, CARD_LINK, {"name": lambda i: X.collapse_whitespace(K.attribute(i, "alt")), "icon": icon})
     return least(named.where("name <> ''"), ["page", "slug"], ["seq"])
 
 
 def logo_cards(pages: DataFrame) -> DataFrame:
     """Channel logos of an index page by slug; the first sound one counts."""
-    sound = _cards(pages, LOGO_LINK).withColumn("icon", _image(M.attribute(F.col("image"), "src"))).where("icon IS NOT NULL")
+    sound = _cards(pages, LOGO_LINK, {"icon": lambda i: _image(K.attribute(i, "src"))}).where("icon IS NOT NULL")
     return sound.groupBy("page", "slug").agg(F.min_by("icon", "seq").alias("icon"))
 
 
 def brand_logo(pages: DataFrame) -> DataFrame:
     """The logo in a page's brand link."""
-    brand = M.content(F.get(M.sections(F.col("value"), "a", BRAND), F.lit(0)), "a")
-    return pages.select("page", _image(M.attribute(F.get(M.sections(brand, "img"), F.lit(0)), "src")).alias("icon")).where("icon IS NOT NULL")
+    image = lambda t: K.first(K.element(t, "a", BRAND), "img")
+    return _read(pages, icon=lambda t: _image(K.attribute(image(t), "src"))).where("icon IS NOT NULL")
 
 
 def week_grid(pages: DataFrame, categories: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Channels of the rail and slots of the rows; row i belongs to the i-th channel. Equal times are a whole day, and a slot may cross midnight."""
-    rail = _each(pages, M.sections(F.col("value"), "li", RAIL))
-    block = M.content(F.col("section"), "li")
-    image, link = F.get(M.sections(block, "img"), F.lit(0)), F.get(M.sections(block, "a"), F.lit(0))
-    named = rail.select("page", "seq", X.collapse_whitespace(M.attribute(image, "alt")).alias("name"), M.attribute(link, "href").alias("url"), X.strip_query(M.attribute(image, "src")).alias("icon")).where("name <> ''")
+    image = lambda name: lambda s: K.attribute(K.first(K.content(s), "img"), name)
+    link = lambda s: K.attribute(K.first(K.content(s), "a"), "href")
+    rail = lambda t: F.transform(K.sections(t, ("li", RAIL)), lambda s: F.struct(X.collapse_whitespace(image("alt")(s)).alias("name"), link(s).alias("url"), X.strip_query(image("src")(s)).alias("icon")))
+
+    def cell(s: Column) -> Column:
+        # the title ends where a link in it begins
+        title = K.words(K.until(K.element(s, "h2", CELL_TITLE), "a"))
+        shown = F.get(F.get(K.sections(s, (None, CELL_TIME)), F.lit(0)), F.lit(1))
+        times = F.regexp_extract_all(F.when(shown["name"] == "", shown["raw"]), F.lit(r"(\d{1,2}:\d{2})"), F.lit(1))
+        return F.struct(title.alias("title"), K.attribute(s, "data-type").alias("kind"), times.alias("times"))
+
+    cells = lambda t: F.transform(K.sections(t, ("div", ROW)), lambda r: F.transform(K.sections(r, ("div", CELL)), cell))
+    read = cut(_read(pages, rail=rail, cells=cells), "grids")  # a page is read once for both
+    named = _rows(read, "rail").select("page", "seq", "x.*").where("name <> ''")
     channels = named.withColumn("channel_no", F.row_number().over(Window.partitionBy("page").orderBy("seq")) - 1)
-    rows = pages.select("page", F.posexplode(M.sections(F.col("value"), "div", ROW)).alias("channel_no", "row"))
-    cells = rows.select("page", "channel_no", F.posexplode(M.sections(F.col("row"), "div", CELL)).alias("seq", "cell"))
-    # the title ends where a link in it begins
-    title = M.words(F.regexp_replace(F.get(F.transform(M.sections(F.col("cell"), "h2", CELL_TITLE), lambda h: M.content(h, "h2")), F.lit(0)), r"(?s)<a\s.*$", ""))
-    kind = M.attribute(F.col("cell"), "data-type")
-    times = F.regexp_extract_all(F.regexp_extract("cell", rf'(?s)class="{CELL_TIME}"[^>]*>([^<]*)', 1), F.lit(r"(\d{1,2}:\d{2})"), F.lit(1))
-    read = cells.select("page", "channel_no", "seq", title.alias("title"), kind.alias("kind"), times.alias("times")).where(F.size("times") == 2)
+    rows = _rows(read, "cells", seq="channel_no").withColumnRenamed("x", "row")
+    found = _rows(rows, "row", "channel_no").select("page", "channel_no", "seq", "x.*").where(F.size("times") == 2)
     minute = lambda k, end: I.clock_minutes(F.split_part(F.get("times", F.lit(k)), F.lit(":"), F.lit(1)).try_cast("int"), F.split_part(F.get("times", F.lit(k)), F.lit(":"), F.lit(2)).try_cast("int"), end)
     start, span = minute(0, False), F.pmod(minute(1, True) - minute(0, False), F.lit(1440))
     category = F.try_element_at(F.create_map(*[F.lit(v) for kv in categories.items() for v in kv]), F.col("kind")) if categories else F.lit(None).cast("string")
-    slots = read.select("page", "channel_no", "seq", "title", category.alias("category"), start.alias("start_min"), (start + F.when(span == 0, 1440).otherwise(span)).alias("stop_min"))
+    slots = found.select("page", "channel_no", "seq", "title", category.alias("category"), start.alias("start_min"), (start + F.when(span == 0, 1440).otherwise(span)).alias("stop_min"))
     return channels, slots.where("title <> '' AND start_min IS NOT NULL AND stop_min IS NOT NULL")
 
 
@@ -142,17 +163,19 @@ def pair_rail(channels: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFra
 def weekly_cards(pages: DataFrame) -> DataFrame:
     """Slots of a page of day headings (``name / DD.MM.YYYY``) and rows; a row belongs to the last sound heading before it.
 
-    The page is split at headings and rows at once, so the order of what comes is its offset.
+    Headings and rows are sections of one series, so the order of what comes is its offset.
     """
-    mark = rf'(?i)(?=<h3\b[^>]*class="{DAY_TITLE}")|(?=<div\s+class="{DAY_ROW}")'
-    both = pages.select("page", F.posexplode(F.split("value", mark)).alias("seq", "section"))
-    heading = F.col("section").rlike("(?i)^<h3")
-    label = F.when(heading, M.words(M.content(F.col("section"), "h3")))
-    day = F.when(F.trim(F.substring_index(label, "/", 1)) != "", F.try_to_date(F.regexp_extract(label, r"/\s*(\d{2}\.\d{2}\.\d{4})$", 1), "dd.MM.yyyy"))
+
+    def day(s: Column) -> Column:
+        own = lambda x: F.when(F.trim(F.substring_index(x, "/", 1)) != "", F.try_to_date(F.regexp_extract(x, r"/\s*(\d{2}\.\d{2}\.\d{4})$", 1), "dd.MM.yyyy"))
+        return F.when(F.get(s, F.lit(0))["name"] == "h3", K.let(K.words(K.content(s)), own))
+
+    of = lambda css: lambda s: K.element(s, "span", css)
+    fields = {"day": day, "heading": lambda s: F.get(s, F.lit(0))["name"] == "h3", **_clocked(of(DAY_TIME), of(DAY_NAME))}
+    both = _each(pages, lambda t: K.sections(t, ("h3", DAY_TITLE), ("div", DAY_ROW)), fields)
     w = Window.partitionBy("page").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dated = both.withColumn("date", F.last(day, ignorenulls=True).over(w)).where(F.col("section").rlike("(?i)^<div") & F.col("date").isNotNull())
-    of = lambda css: M.words(_one(F.col("section"), "span", css))
-    return _slots(dated.select("page", "seq", "date", of(DAY_TIME).alias("clock"), of(DAY_NAME).alias("title")))
+    dated = both.withColumn("date", F.last("day", ignorenulls=True).over(w)).where("NOT heading AND date IS NOT NULL")
+    return _slots(dated.select("page", "seq", "date", "clock", "title"))
 
 
 NEXT_DATA = "props struct<pageProps:struct<activeLeagues:array<struct<rewriteId:string,image:string,channelId:string>>,data:struct<event_date:string,listTvGuides:array<struct<channel_id:string,event_time:string,name:string>>>>>"
