@@ -182,9 +182,6 @@ def test_lookups(spark):
 
 
 def test_playlist_flags(tmp_path):
-    from lumenloom.plans.command_queries import PLAYLIST_FLAGS, _flagged
-
-    assert [(f, _flagged(f)) for f, _ in PLAYLIST_FLAGS] == PLAYLIST_FLAGS
     s = settings.load_playlist(settings_file(tmp_path, live={"depth": 2, "retries": 3}, stripQuality=["HD"]), env={})
     changed = cli.overridden(s, cli.parser().parse_args(["--m3u", "x", "--m3u-live-retry", "1", "--m3u-strip-quality", "4K, UHD", "--m3u-max-bytes", "2048"]))
     assert (changed.live["retries"], changed.live["depth"], changed.options.quality_tokens, changed.max_bytes) == (1, 2, ("4K", "UHD"), 2048)
