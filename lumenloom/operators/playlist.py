@@ -212,7 +212,7 @@ def _numbered(rows: DataFrame, want: str, numbered) -> DataFrame:
 
     Rows are numbered within their candidate. What no other row has stays as it is; only the forms
     that meet are moved on, by rounds in which the row that comes first in output order keeps what
-    it has, and each round writes no more than the rows that still meet and what they could meet.
+    it has. A round writes all rows again, as a moved form may meet any other.
     """
     order = ["channel_key", "copy_index"]
     low = F.lower(F.col(want))
@@ -249,7 +249,9 @@ def finalise(entries: DataFrame, style: str, infer: bool = True) -> DataFrame:
     inferred = F.coalesce(F.nullif(X.trim(F.coalesce("tvg_name", F.lit(""))), F.lit("")), F.nullif(X.trim(F.coalesce("base_name", F.lit(""))), F.lit("")))
     out = entries.withColumn("_id", F.coalesce(own, inferred if infer else F.lit(None), F.lit("")))
     if style != "none":
-        n = F.row_number().over(Window.partitionBy(F.lower("_id")).orderBy("channel_key", "copy_index"))
+        # blank ids get no number, so they needn't meet in one task
+        apart = F.when(F.col("_id") == "", F.xxhash64("channel_key", "copy_index"))
+        n = F.row_number().over(Window.partitionBy(F.lower("_id"), apart).orderBy("channel_key", "copy_index"))
         out = out.withColumn("_k", n).withColumn("_id", F.when((F.col("_k") > 1) & (F.col("_id") != ""), _with_id_number(F.col("_id"), F.col("_k"))).otherwise(F.col("_id"))).drop("_k")
     return out.select("channel_key", "copy_index", "id", "name", F.col("_id").alias("tvg_id"), F.coalesce("tvg_name", F.lit("")).alias("tvg_name"), F.coalesce("tvg_logo", F.lit("")).alias("logo"), X.canonical_group_title(F.col("group_title")).alias("group_title"), "url", "vlc_options", "attributes", "source_id", "base_name")
 

@@ -111,7 +111,7 @@ def write(guide: Guide, path: str, gzip: bool = True) -> int:
     """One document in one part file below ``path``; gives its size in bytes.
 
     Blocks are rendered and sorted by many tasks and written to a table first. A text document has
-    one end, so its last step is one task, which merges what is already sorted by range.
+    one end, so its last step is one task, which sorts all blocks once more.
     """
     keys = ["part", "k1", "k2", "k3", "k4"]
     blocks = cut(render(guide).repartitionByRange(*keys).sortWithinPartitions(*keys), "blocks")
