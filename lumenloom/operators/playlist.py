@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from lumenloom.functions import text as X
 from lumenloom.operators.graph import components
 from lumenloom.operators.guide import least
-from lumenloom.scratch import cut, drop
+from lumenloom.operators.names import DOTTED, SPACED, unique_names, with_id_number
+from lumenloom.scratch import cut
 
 STYLES = ("numbered", "parenthesized", "none", "backup", "source", "keep-first", "fail")
 
@@ -162,9 +163,8 @@ def vote_labels(entries: DataFrame) -> DataFrame:
 def name_copies(entries: DataFrame, style: str = "backup", suffix: str = "tr") -> tuple[DataFrame, DataFrame]:
     """``entries`` with ``base_name, copy_index, id`` and the name that the style gives, and ``base_name, feeds`` of channels in conflict (style ``fail`` only).
 
-    Candidate names and ids that are taken get the next free number, in output order. Only rows
-    whose candidate occurs more than once, or is another's numbered form, need looking at; those
-    are settled among themselves, one group of like names at a time.
+    Candidate names and ids that are taken get the next free number, in output order. The rows
+    are written once; names and ids are found over their keys alone and joined to them at the end.
     """
     if style not in STYLES:
         raise ValueError(f"unknown style {style!r}; known are {', '.join(STYLES)}")
@@ -173,6 +173,7 @@ def name_copies(entries: DataFrame, style: str = "backup", suffix: str = "tr") -
     base = X.base_display_name(F.col("tvg_name"), F.col("name"))
     declared = F.first(F.nullif(X.trim(F.coalesce("tvg_id", F.lit(""))), F.lit("")), ignorenulls=True).over(whole)
     out = entries.withColumns({"copy_index": F.row_number().over(w) - 1, "base_name": F.first(base).over(whole), "_declared": declared, "_feeds": F.count("*").over(whole)})
+    out = cut(out, "copies")
     conflicts = out.where("copy_index = 0 AND _feeds > 1").select("base_name", F.col("_feeds").alias("feeds")) if style == "fail" else out.limit(0).select("base_name", F.col("_feeds").alias("feeds"))
     if style == "fail":
         out = out.where("_feeds = 1")
@@ -187,53 +188,16 @@ def name_copies(entries: DataFrame, style: str = "backup", suffix: str = "tr") -
     }
     name = b if style in ("none", "keep-first") else F.when(k == 0, b).otherwise(later.get(style, b))
     if style == "none":
-        heads = out.where("copy_index = 0").withColumn("_want", F.coalesce("_declared", X.channel_id_from_name(b, suffix)))
-        ids = _numbered(heads.select("channel_key", "copy_index", "_want"), "_want", _with_id_number).select("channel_key", F.col("_given").alias("id"))
+        heads = out.where("copy_index = 0").select("channel_key", "copy_index", F.coalesce("_declared", X.channel_id_from_name(b, suffix)).alias("_want"))
+        ids = unique_names(heads, "_want", DOTTED, "id").select("channel_key", "id")
         shared = out.join(ids, "channel_key")
         return shared.withColumns({"name": b, "tvg_name": b, "tvg_id": F.col("id")}).drop("_declared", "_feeds"), conflicts
-    names = _numbered(out.select("channel_key", "copy_index", name.alias("_want")), "_want", lambda c, n: F.concat(c, F.lit(" "), n.cast("string")))
-    out = out.drop("name").join(names.select("channel_key", "copy_index", F.col("_given").alias("name")), ["channel_key", "copy_index"])
+    key = ["channel_key", "copy_index"]
     kept = F.when((k == 0) & F.col("_declared").isNotNull(), F.col("_declared"))
-    want = out.select("channel_key", "copy_index", F.coalesce(kept, X.channel_id_from_name(F.col("name"), suffix)).alias("_want"))
-    ids = _numbered(want, "_want", _with_id_number)
-    out = out.join(ids.select("channel_key", "copy_index", F.col("_given").alias("id")), ["channel_key", "copy_index"])
-    return out.drop("_declared", "_feeds"), conflicts
-
-
-def _with_id_number(candidate: Column, n: Column) -> Column:
-    """``x.tr`` becomes ``x.2.tr``; an id without a country gets the number at its end."""
-    tail = F.regexp_extract(candidate, r"(?i)(\.[a-z]{2})$", 1)
-    head = F.substring(candidate, F.lit(1), F.length(candidate) - F.length(tail))
-    return F.concat(head, F.lit("."), n.cast("string"), tail)
-
-
-def _numbered(rows: DataFrame, want: str, numbered) -> DataFrame:
-    """``_given``: the candidate, or its first numbered form that is free.
-
-    Rows are numbered within their candidate. What no other row has stays as it is; only the forms
-    that meet are moved on, by rounds in which the row that comes first in output order keeps what
-    it has. A round writes all rows again, as a moved form may meet any other.
-    """
-    order = ["channel_key", "copy_index"]
-    low = F.lower(F.col(want))
-    out = rows.withColumn("_n", F.row_number().over(Window.partitionBy(low).orderBy(*order)))
-    given = F.when(F.col("_n") == 1, F.col(want)).otherwise(numbered(F.col(want), F.col("_n")))
-    out = cut(out.withColumn("_given", given), "names")
-    while True:
-        # a name meets another only if two rows have it: found by counting, without a window over all rows
-        met = out.groupBy(F.lower("_given").alias("_low")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_low")
-        clash = out.join(met, F.lower("_given") == F.col("_low"), "left_semi")
-        place = F.row_number().over(Window.partitionBy(F.lower("_given")).orderBy(F.col("_n") > 1, *order))
-        moved = cut(clash.withColumn("_place", place).where("_place > 1").groupBy(low.alias("_k")).agg(F.sort_array(F.collect_list("_n")).alias("_hit")), "moved")
-        if moved.isEmpty():
-            return out.drop("_n")
-        # rows of a candidate from its first hit on move up by one for each hit so far; a first row that is hit becomes the second
-        mine = out.join(moved, low == F.col("_k"), "left")
-        before = F.size(F.filter("_hit", lambda h: h <= F.col("_n")))
-        n = F.when(F.col("_hit").isNull(), F.col("_n")).when(F.col("_n") == 1, F.when(before > 0, 2).otherwise(1)).otherwise(F.col("_n") + before)
-        stepped = mine.withColumn("_n", n.cast("int")).drop("_hit", "_k")
-        old, out = out, cut(stepped.withColumn("_given", F.when(F.col("_n") == 1, F.col(want)).otherwise(numbered(F.col(want), F.col("_n")))), "names")
-        drop(old, moved)
+    names = unique_names(out.select(*key, name.alias("_want"), kept.alias("_kept")), "_want", SPACED, "name").select(*key, "_kept", "name")
+    want = names.select(*key, "name", F.coalesce("_kept", X.channel_id_from_name(F.col("name"), suffix)).alias("_want"))
+    ids = unique_names(want, "_want", DOTTED, "id").select(*key, "name", "id")
+    return out.drop("name", "_declared", "_feeds").join(ids, key), conflicts
 
 
 def drop_repeated_urls(entries: DataFrame, unify_scheme: bool = True) -> DataFrame:
@@ -252,7 +216,7 @@ def finalise(entries: DataFrame, style: str, infer: bool = True) -> DataFrame:
         # blank ids get no number, so they needn't meet in one task
         apart = F.when(F.col("_id") == "", F.xxhash64("channel_key", "copy_index"))
         n = F.row_number().over(Window.partitionBy(F.lower("_id"), apart).orderBy("channel_key", "copy_index"))
-        out = out.withColumn("_k", n).withColumn("_id", F.when((F.col("_k") > 1) & (F.col("_id") != ""), _with_id_number(F.col("_id"), F.col("_k"))).otherwise(F.col("_id"))).drop("_k")
+        out = out.withColumn("_k", n).withColumn("_id", F.when((F.col("_k") > 1) & (F.col("_id") != ""), with_id_number(F.col("_id"), F.col("_k"))).otherwise(F.col("_id"))).drop("_k")
     return out.select("channel_key", "copy_index", "id", "name", F.col("_id").alias("tvg_id"), F.coalesce("tvg_name", F.lit("")).alias("tvg_name"), F.coalesce("tvg_logo", F.lit("")).alias("logo"), X.canonical_group_title(F.col("group_title")).alias("group_title"), "url", "vlc_options", "attributes", "source_id", "base_name")
 
 
