@@ -6,20 +6,20 @@ refuses what is unsound.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.functions import instants as I
 from lumenloom.functions import text as X
-from lumenloom.operators.guide import Guide, dedupe_slots, normalise, validate
-from lumenloom.scratch import cut, drop, size_of
+from lumenloom.operators.guide import Guide, dedupe_slots, least, normalise, validate
+from lumenloom.operators.ranks import with_rank
+from lumenloom.scratch import cut, drop
 from lumenloom.sources import markup as M
+from lumenloom.sources import records as R
 
 
-def _elements(documents: DataFrame, tag: str) -> DataFrame:
-    """``provider, seq, attrs, children`` of each element."""
-    found = documents.select("provider", F.posexplode(M.sections(F.col("value"), tag)).alias("seq", "x")).where(F.col("x").contains(f"</{tag}>"))
-    return found.select("provider", F.col("seq").cast("long").alias("seq"), M.attributes(F.col("x")).alias("attrs"), M.children(M.content(F.col("x"), tag)).alias("children"))
+#: A programme's end. A record is what lies between two of them: a programme's element and what stands before it, such as the channels.
+_END = "</programme"
 
 
 def _own(name: str) -> Column:
@@ -35,50 +35,67 @@ def _of_inner(tag: str, name: str) -> Column:
     return F.try_element_at(M.attributes(M.child(F.col("children"), tag)["opening"]), F.lit(name))
 
 
-def _read(elements: DataFrame, tag: str, **texts: Column) -> DataFrame:
-    """``provider, seq`` and the given texts, decoded and trimmed, blank ones null; and ``lang``, the language that an element's first ``tag`` says it is in, null if it says none or no sound one.
+def _read(elements: DataFrame, keys: list[str], tag: str, **texts: Column) -> DataFrame:
+    """``keys`` and the given texts, decoded and trimmed, blank ones null; and ``lang``, the language that an element's first ``tag`` says it is in, null if it says none or no sound one.
 
-    All texts of an element are decoded by one expression, over their array.
+    ``element`` is its section. All texts of an element are decoded by one expression, over their array.
     """
+    kind = "channel" if tag == "display-name" else "programme"
+    elements = elements.select(*keys, M.attributes(F.col("element")).alias("attrs"), M.children(M.content(F.col("element"), kind)).alias("children"))
     own = texts | {"lang": _of_inner(tag, "lang")}
     decoded = F.transform(F.array(*own.values()), lambda t: F.nullif(X.trim(X.decode_entities(t)), F.lit("")))
-    rows = elements.select("provider", "seq", decoded.alias("x"))
+    rows = elements.select(*keys, decoded.alias("x"))
     lang = F.get("x", F.lit(len(texts)))
-    return rows.select("provider", "seq", *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate(texts)], F.when(X.is_language_tag(lang), lang).alias("lang"))
+    return rows.select(*keys, *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate(texts)], F.when(X.is_language_tag(lang), lang).alias("lang"))
 
 
-def parse(documents: DataFrame) -> Guide:
-    """The guide of ``documents(provider, value)``, a whole document a row.
+def _parse(records: DataFrame) -> Guide:
+    """The guide of records, each with where it is.
 
-    Each element is split into attributes and children once, and what was read is written before
-    anything looks at it again: else each later condition would be put together with the patterns
-    and evaluated over and over. The guide's language is the one that is said first, else Turkish.
+    A record is scanned once. Its last programme is the one whose end it runs up to; what lies
+    before is text of no sound element, or channels, which are kept as they are and read from what was written.
+    What was read is written before anything looks at it again: else each later condition would be put
+    together with the patterns and evaluated over and over. The guide's language is the one that is
+    said first, else Turkish.
     """
-    ch = cut(_read(_elements(documents, "channel"), "display-name", id=_own("id"), name=_inner("display-name"), icon=_of_inner("icon", "src"), url=_inner("url")), "channels")
-    w = Window.partitionBy("provider", "id").orderBy("seq")
-    channels = ch.where("id IS NOT NULL").withColumn("name", F.coalesce("name", "id"))
-    channels = channels.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "lang")
+    where = ["provider", *R.WHERE, "listed"]
+    opened = lambda tag: F.col("value").rlike(rf"(?i)<{tag}[\s/>]")
+    sections = lambda tag: F.when(opened(tag), M.sections(F.col("value"), tag))
+    ended = F.filter(sections("channel"), lambda x: x.contains("</channel>"))
+    found = records.select(F.col("provider"), *R.WHERE, ended.alias("listed"), F.try_element_at(sections("programme"), F.lit(-1)).alias("element"))
     texts = {"title": "title", "sub_title": "sub-title", "desc": "desc", "category": "category"}
-    raw = _read(_elements(documents, "programme"), "title", **{c: _own(c) for c in ("channel", "start", "stop")}, **{c: _inner(t) for c, t in texts.items()}, icon=_of_inner("icon", "src"))
-    raw = cut(raw, "programmes")
-    timed = cut(raw.withColumns({"start": I.from_xmltv(F.col("start")), "stop": I.from_xmltv(F.col("stop"))}), "programmes")
+    raw = cut(_read(found, where, "title", **{c: _own(c) for c in ("channel", "start", "stop")}, **{c: _inner(t) for c, t in texts.items()}, icon=_of_inner("icon", "src")), "records")
+    at = R.placed(raw, ["provider"])
+    lists = cut(at.where(F.size("listed") > 0).select("provider", "seq", F.posexplode("listed").alias("n", "element")), "listed")
+    ch = cut(_read(lists, ["provider", "seq", "n"], "display-name", id=_own("id"), name=_inner("display-name"), icon=_of_inner("icon", "src"), url=_inner("url")), "channels")
+    drop(lists)
+    order = ["provider", "seq", "n"]
+    first = least(ch.where("id IS NOT NULL").withColumn("name", F.coalesce("name", "id")).drop("lang"), ["provider", "id"], ["seq", "n"])
+    channels = with_rank(first, order, "place").select("provider", F.col("place").alias("seq"), "id", "name", "icon", "url")
+    timed = cut(at.where("NOT tail").drop("listed", "tail").withColumns({"start": I.from_xmltv(F.col("start")), "stop": I.from_xmltv(F.col("stop"))}), "programmes")
+    drop(raw)
     listed = channels.select("provider", F.col("id").alias("channel"))
     sound = timed.where("start IS NOT NULL AND stop IS NOT NULL AND title IS NOT NULL").drop("lang").join(listed, ["provider", "channel"], "left_semi")
-    said = ch.select("provider", F.lit(0).alias("part"), "seq", "lang").unionByName(timed.select("provider", F.lit(1).alias("part"), "seq", "lang")).where("lang IS NOT NULL")
-    by_provider = {r.provider: r.lang for r in said.groupBy("provider").agg(F.min_by("lang", F.struct("part", "seq")).alias("lang")).collect()}  # one row a file
+    said = ch.select("provider", F.lit(0).alias("part"), "seq", "n", "lang").unionByName(timed.select("provider", F.lit(1).alias("part"), "seq", F.lit(0).alias("n"), "lang")).where("lang IS NOT NULL")
+    by_provider = {r.provider: r.lang for r in said.groupBy("provider").agg(F.min_by("lang", F.struct("part", "seq", "n")).alias("lang")).collect()}  # one row a file
     providers = sorted(by_provider)
     guide, _ = normalise(Guide(channels, sound, language=by_provider[providers[0]] if providers else "tr"))
     guide.languages = tuple(by_provider[p] for p in providers)
     return guide
 
 
+def parse(documents: DataFrame) -> Guide:
+    """The guide of ``documents(provider, value)``, a whole document a row."""
+    return _parse(R.of_documents(documents, _END, "provider"))
+
+
 def read(spark: SparkSession, paths: list[str]) -> Guide:
-    """The guides of files, plain or gzipped, in order of precedence."""
-    parts = [spark.read.text(p, wholetext=True).select(F.lit(k).alias("provider"), "value") for k, p in enumerate(paths)]
-    documents = parts[0]
-    for p in parts[1:]:
-        documents = documents.unionByName(p)
-    return parse(documents)
+    """The guides of files, plain or gzipped, or of folders of a guide's parts, in order of precedence.
+
+    Plain files are read in splits of ``spark.sql.files.maxPartitionBytes``. A task holds what lies between the ends of two
+    programmes: a slot, and once the list of channels. A programme whose end is missing at the end of its file is not read.
+    """
+    return _parse(R.read(spark, paths, _END))
 
 
 def _element(tag: str, value: Column, lang: str | None = None) -> Column:
@@ -107,14 +124,9 @@ def render(guide: Guide, generator: str = "lumenloom") -> DataFrame:
     return edge.unionByName(ch).unionByName(pr)
 
 
-def write(guide: Guide, path: str, gzip: bool = True) -> int:
-    """One document in one part file below ``path``; gives its size in bytes.
-
-    Blocks are rendered and sorted by many tasks and written to a table first. A text document has
-    one end, so its last step is one task, which sorts all blocks once more.
-    """
-    keys = ["part", "k1", "k2", "k3", "k4"]
-    blocks = cut(render(guide).repartitionByRange(*keys).sortWithinPartitions(*keys), "blocks")
-    blocks.repartition(1).sortWithinPartitions(*keys).select("value").write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+def write(guide: Guide, path: str, gzip: bool = True, whole: bool = True) -> int:
+    """One document below ``path``, in one file or, if not ``whole``, in parts that ``read`` takes for it; gives its size in bytes."""
+    blocks = cut(render(guide), "blocks")  # rendered once: ranges are sampled from it before it is sorted
+    size = R.write(blocks, ["part", "k1", "k2", "k3", "k4"], path, gzip, whole)
     drop(blocks)
-    return size_of(guide.channels.sparkSession, path)
+    return size
