@@ -71,10 +71,8 @@ def _first(keys: list[str], *order: Column | str) -> Column:
 
 
 def least(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The least row of each key. Tasks reduce their own rows first, so a key that many rows have is no burden; nulls are keys as well."""
-    rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in rows.columns])
+    """The least row of each key. Tasks reduce their own rows to one a key first, so a key that many rows have is no burden; nulls are keys as well."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
 def sanitize_channels(channels: DataFrame) -> DataFrame:
