@@ -103,7 +103,7 @@ def _parse(lines: DataFrame, max_bytes: int, max_entries: int) -> tuple[DataFram
 
 
 def parse(files: DataFrame, max_bytes: int = MAX_BYTES, max_entries: int = MAX_ENTRIES) -> tuple[DataFrame, DataFrame]:
-    """Entries and ``source_id, parsed, missing_url, extra_urls, malformed, truncated`` of ``files(source_id, source_order, weight, value)``, a whole file a row."""
+    """Entries and ``source_id, parsed, missing_url, extra_urls, malformed, truncated`` of ``files(source_id, source_order, weight, value)``, a whole file a row; ``max_bytes`` 0: all bytes."""
     return _parse(R.of_documents(files, "\n", *_KEYS), max_bytes, max_entries)
 
 
