@@ -31,10 +31,15 @@ SERVED_AFTER, CARD_LINK, LOGO_LINK = r"\s+tarihli", r"/([a-z0-9-]+)-yayin-akisi-
 _CLOCK = r"^(\d{1,2}):(\d{2})$"
 
 
+def _made(rows: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """``kept`` and ``columns`` of ``rows``, worked out once a row. A condition on a plain column is checked before the column is made, which makes the column again wherever the condition names it; on an exploded one it is checked afterwards."""
+    return rows.select(*kept, F.explode_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_r")).select(*kept, *[F.col(f"_r.{name}") for name in columns])
+
+
 def _read(pages: DataFrame, **fields: Callable[[Column], Column]) -> DataFrame:
-    """``page`` and what ``fields`` read from its tokens. Tokens stay inside one expression: as a column they would be packed, and unpacked whole for each section."""
+    """``page`` and what ``fields`` read from its tokens, once. Tokens stay inside one expression: as a column they would be packed, and unpacked whole for each section."""
     made = X.let(K.tokens(F.col("value")), lambda t: F.struct(*[f(t).alias(name) for name, f in fields.items()]))
-    return pages.select("page", made.alias("r")).select("page", *[F.col(f"r.{name}") for name in fields])
+    return _made(pages, "page", r=made).select("page", *[F.col(f"r.{name}") for name in fields])
 
 
 def _each(pages: DataFrame, found: Callable[[Column], Column], fields: dict[str, Callable[[Column], Column]], **more: Callable[[Column], Column]) -> DataFrame:
@@ -51,8 +56,9 @@ def _rows(whole: DataFrame, read: str, *more: str, seq: str = "seq") -> DataFram
 def _slots(rows: DataFrame, end_of_day: bool = True) -> DataFrame:
     """``rows(clock, title)`` with ``start_min``; rows without a time of day or a title are left out."""
     part = lambda k: F.regexp_extract("clock", _CLOCK, k).try_cast("int")
-    out = rows.withColumn("start_min", I.clock_minutes(part(1), part(2), end_of_day))
-    return out.where("start_min IS NOT NULL AND title <> ''").drop("clock")
+    start = X.let(F.struct(part(1).alias("h"), part(2).alias("m")), lambda p: I.clock_minutes(p["h"], p["m"], end_of_day))
+    kept = [c for c in rows.columns if c not in ("clock", "title")]
+    return _made(rows, *kept, title=F.col("title"), start_min=start).where("start_min IS NOT NULL AND title <> ''")
 
 
 def _image(x: Column) -> Column:
@@ -146,10 +152,13 @@ def week_grid(pages: DataFrame, categories: dict[str, str] | None = None) -> tup
     channels = named.withColumn("channel_no", F.row_number().over(Window.partitionBy("page").orderBy("seq")) - 1)
     rows = _rows(read, "cells", seq="channel_no").withColumnRenamed("x", "row")
     found = _rows(rows, "row", "channel_no").select("page", "channel_no", "seq", "x.*").where(F.size("times") == 2)
-    minute = lambda k, end: I.clock_minutes(F.split_part(F.get("times", F.lit(k)), F.lit(":"), F.lit(1)).try_cast("int"), F.split_part(F.get("times", F.lit(k)), F.lit(":"), F.lit(2)).try_cast("int"), end)
-    start, span = minute(0, False), F.pmod(minute(1, True) - minute(0, False), F.lit(1440))
+    part = lambda k, n: F.split_part(F.get("times", F.lit(k)), F.lit(":"), F.lit(n)).try_cast("int")
+    clocks = F.struct(part(0, 1).alias("h0"), part(0, 2).alias("m0"), part(1, 1).alias("h1"), part(1, 2).alias("m1"))
+    ends = X.let(clocks, lambda c: F.struct(I.clock_minutes(c["h0"], c["m0"]).alias("start"), I.clock_minutes(c["h1"], c["m1"], True).alias("stop")))
+    timed = _made(found, "page", "channel_no", "seq", "title", "kind", ends=ends)
+    start, span = F.col("ends.start"), F.pmod(F.col("ends.stop") - F.col("ends.start"), F.lit(1440))
     category = F.try_element_at(F.create_map(*[F.lit(v) for kv in categories.items() for v in kv]), F.col("kind")) if categories else F.lit(None).cast("string")
-    slots = found.select("page", "channel_no", "seq", "title", category.alias("category"), start.alias("start_min"), (start + F.when(span == 0, 1440).otherwise(span)).alias("stop_min"))
+    slots = timed.select("page", "channel_no", "seq", "title", category.alias("category"), start.alias("start_min"), (start + F.when(span == 0, 1440).otherwise(span)).alias("stop_min"))
     return channels, slots.where("title <> '' AND start_min IS NOT NULL AND stop_min IS NOT NULL")
 
 
@@ -247,7 +256,7 @@ def state_schedule(pages: DataFrame, zone: str = "Europe/Stockholm") -> DataFram
     rows = schedule.select("page", F.posexplode("s.broadcasts").alias("seq", "b"))
     start, stop = F.col("b.broadcast.startTime"), F.col("b.broadcast.endTime")
     genre = F.try_element_at(F.filter(F.transform("b.genres", lambda g: X.clean_text(g["name"])), lambda n: n.isNotNull()), F.lit(1))
-    out = rows.select("page", "seq", I.epoch_to_iso(start, zone).alias("start"), I.epoch_to_iso(stop, zone).alias("stop"), F.to_date(I.local_wall(start, zone)).alias("date"), X.clean_text(F.col("b.title")).alias("title"), X.clean_text(F.col("b.description")).alias("desc"), genre.alias("category"), X.episode_label(F.col("b.seasonNumber"), F.col("b.episodeNumber")).alias("sub_title"), (stop > start).alias("ok"))
+    out = _made(rows, "page", "seq", start=I.epoch_to_iso(start, zone), stop=I.epoch_to_iso(stop, zone), date=F.to_date(I.local_wall(start, zone)), title=X.clean_text(F.col("b.title")), desc=X.clean_text(F.col("b.description")), category=genre, sub_title=X.episode_label(F.col("b.seasonNumber"), F.col("b.episodeNumber")), ok=stop > start)
     return out.where("ok AND title IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL").drop("ok")
 
 
@@ -257,11 +266,11 @@ def playbill(pages: DataFrame) -> DataFrame:
     p = r"^(\d{4}-\d{2}-\d{2}) (\d{1,2}):(\d{2})(?::\d{2})? UTC\+03:00$"
 
     def instant(x: Column) -> Column:
-        t = X.trim(x)
-        m = I.clock_minutes(F.regexp_extract(t, p, 2).try_cast("int"), F.regexp_extract(t, p, 3).try_cast("int"), True)
-        return I.wall_to_instant(F.try_to_date(F.regexp_extract(t, p, 1), "yyyy-MM-dd"), m)
+        part = lambda t, k: F.regexp_extract(t, p, k)
+        parts = lambda t: F.when(t.rlike(p), F.struct(F.try_to_date(part(t, 1), "yyyy-MM-dd").alias("date"), part(t, 2).try_cast("int").alias("h"), part(t, 3).try_cast("int").alias("m")))
+        return X.let(X.let(X.trim(x), parts), lambda w: X.let(I.clock_minutes(w["h"], w["m"], True), lambda m: I.wall_to_instant(w["date"], m)))
 
-    rows = items.select("page", "seq", instant(F.col("x.starttime")).alias("start"), instant(F.col("x.endtime")).alias("stop"), X.trim(F.col("x.name")).alias("title"), X.blank_to_null(X.trim(F.col("x.genres"))).alias("category"))
+    rows = _made(items, "page", "seq", start=instant(F.col("x.starttime")), stop=instant(F.col("x.endtime")), title=X.trim(F.col("x.name")), category=X.let(X.trim(F.col("x.genres")), X.blank_to_null))
     return rows.where("title <> '' AND stop > start")
 
 
@@ -281,7 +290,7 @@ def prevue(pages: DataFrame) -> DataFrame:
     day = lambda c: F.try_to_date(F.regexp_extract(X.trim(F.col(c)), p, 1), "yyyy.MM.dd")
     minute = lambda c: I.clock_minutes(F.regexp_extract(X.trim(F.col(c)), p, 2).try_cast("int"), F.regexp_extract(X.trim(F.col(c)), p, 3).try_cast("int"), True)
     b, e = "x.beginTime", "x.endTime"
-    rows = items.select("page", "seq", day(b).alias("begin_date"), minute(b).alias("begin_min"), day(e).alias("end_date"), minute(e).alias("end_min"), X.clean_text(F.col("x.prevueName")).alias("title"), X.blank_to_null(X.trim(F.col("x.genre"))).alias("category"), X.clean_text(F.col("x.description")).alias("desc"))
+    rows = _made(items, "page", "seq", begin_date=day(b), begin_min=minute(b), end_date=day(e), end_min=minute(e), title=X.clean_text(F.col("x.prevueName")), category=X.let(X.trim(F.col("x.genre")), X.blank_to_null), desc=X.clean_text(F.col("x.description")))
     return rows.where("title IS NOT NULL AND begin_min IS NOT NULL AND end_min IS NOT NULL AND (end_date > begin_date OR end_date = begin_date AND end_min > begin_min)")
 
 

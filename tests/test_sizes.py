@@ -25,3 +25,37 @@ def test_a_playlist_of_more_than_the_default_limit_comes_back_whole(spark):
     assert 4500 * 4000 > m3u.MAX_BYTES
     back = all_queries()[0]["m3u_roundtrip"](spark, path)
     assert back.agg(F.count("*"), F.count_distinct("url")).first()[:] == (4500, 4500)
+
+
+def plan(spark, name, **named):
+    rows = all_queries()[0][name](spark, tables(spark, **named))
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def events(spark, n):
+    columns = [F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 600 + 1_700_000_000).alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("view").alias("event_type"), F.lit("{}").alias("props")]
+    return spark.range(n).select(*columns)
+
+
+def test_a_page_is_made_and_read_once_and_not_again_for_each_condition(spark):
+    shown = plan(spark, "page_table_logo", part=parts(spark, 20, F.lit("t")))
+    assert shown.count("chrome.png") == 1 and shown.count("RepartitionByExpression") == 1
+
+
+def test_conditions_on_an_answers_slots_look_at_what_was_read(spark):
+    shown = plan(spark, "page_playbill", events=events(spark, 20))
+    assert not [line for line in shown.splitlines() if "Filter" in line and "regexp" in line]
+
+
+def test_conditions_on_a_grids_slots_look_at_what_was_read(spark):
+    shown = plan(spark, "page_week_grid", events=events(spark, 20))
+    assert not [line for line in shown.splitlines() if "Filter" in line and "split" in line]
+
+
+def test_one_attribute_is_the_first_of_its_name(spark):
+    from lumenloom.sources import markup as M
+
+    tags = ["""<a X='1' x="2" data-x="0">""", """<a b="c d='e' x=" x = 'f"g'>""", "<a x=1 X\t=\n\"\">", "<a b='x'>", None]
+    rows = spark.createDataFrame([(t,) for t in tags], "t string").select(M.first_attribute(F.col("t"), "x").alias("one"), F.try_element_at(M.attribute_pairs(F.col("t")), F.lit("x")).alias("of_all"))
+    got = [tuple(r) for r in rows.collect()]
+    assert [a for a, _ in got] == ["1", 'f"g', "", None, None] and all(a == b for a, b in got)
