@@ -81,6 +81,11 @@ def _parts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.floor(F.col("p_partkey") / 100).cast("string").alias("page"))
 
 
+def _dealt_parts(spark, sf_dir) -> DataFrame:
+    """Keys of parts, dealt out: what is rendered from them takes long, and a row group of them is one task's."""
+    return table(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 _CARDS = "c AS (SELECT CAST(p_partkey // 100 AS VARCHAR) AS page, 'kanal-' || (p_partkey // 2) AS slug, p_partkey AS k, p_name AS name FROM part)"
 
 
@@ -108,7 +113,7 @@ def page_logo_cards(spark, sf_dir):
 def page_table_logo(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     source = F.when(F.col("p_partkey") % 4 == 0, F.lit("data:x")).otherwise(_html("/l/", k, ".png?rkt=9"))
-    rows = table(spark, sf_dir, "part").select(k.alias("page"), _html('<img src="/chrome.png"><img alt="a" border="0" src="', source, '">').alias("value"))
+    rows = _dealt_parts(spark, sf_dir).select(k.alias("page"), _html('<img src="/chrome.png"><img alt="a" border="0" src="', source, '">').alias("value"))
     return P.table_logo(rows, "https://b/")
 
 
@@ -116,7 +121,7 @@ def page_table_logo(spark, sf_dir):
 def page_brand_logo(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     source = F.when(F.col("p_partkey") % 4 == 0, F.lit("/relative.png")).otherwise(_html("https://b/", k, "&amp;x"))
-    rows = table(spark, sf_dir, "part").select(k.alias("page"), _html('<a class="x"><img src="http://no"></a><a href="/" class="nav w-nav-brand w--current">\n<img loading="lazy" src="', source, '"></a>').alias("value"))
+    rows = _dealt_parts(spark, sf_dir).select(k.alias("page"), _html('<a class="x"><img src="http://no"></a><a href="/" class="nav w-nav-brand w--current">\n<img loading="lazy" src="', source, '"></a>').alias("value"))
     return P.brand_logo(rows)
 
 
