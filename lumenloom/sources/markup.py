@@ -6,6 +6,8 @@ of its kind; what it holds ends at the first closing tag, or with the section.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,12 @@ def attribute_pairs(head: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
 
 
+def first_attribute(head: Column, name: str) -> Column:
+    """One of them (``name`` in lower case), null without it: the tag is gone through once, and only this one's value is taken out."""
+    found = F.filter(F.regexp_extract_all(head, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: a.rlike(rf"(?i)^{re.escape(name)}\s*="))
+    return F.regexp_extract(F.get(found, F.lit(0)), r"""(?s)^[^=]*=\s*["'](.*)["']$""", 1)
+
+
 def attribute(opening: Column, name: str) -> Column:
     """An attribute's decoded value, null without it."""
     found = F.try_element_at(attributes(opening), F.lit(name))

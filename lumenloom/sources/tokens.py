@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import text as X
 from lumenloom.functions.text import let
-from lumenloom.sources.markup import attribute_pairs
+from lumenloom.sources.markup import first_attribute
 
 _IN_TAG = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>"""
 _TOKEN = (
@@ -30,9 +30,11 @@ _CDATA = r"(?is)^<!\[CDATA\[(.*?)(?:\]\]>)?$"
 def tokens(x: Column) -> Column:
     """The tokens of a document as ``name, raw``: the tag in lower case, a closing one's with a slash; text has no name. Null has no tokens."""
     found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(_TOKEN), F.lit(0))
-    seen = F.filter(found, lambda t: ~t.rlike(r"(?i)^<(?:!(?!\[CDATA\[)|\?)"))
-    raw = lambda t: F.when(t.rlike(r"(?i)^<!\[CDATA\["), F.replace(F.replace(F.regexp_extract(t, _CDATA, 1), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))).otherwise(t)
-    return F.transform(seen, lambda t: F.struct(F.lower(F.regexp_extract(t, _NAME, 1)).alias("name"), raw(t).alias("raw")))
+    cdata = lambda t: t.startswith("<![") & t.rlike(r"(?i)^<!\[CDATA\[")
+    seen = F.filter(found, lambda t: ~t.startswith("<?") & (~t.startswith("<!") | cdata(t)))
+    raw = lambda t: F.when(cdata(t), F.replace(F.replace(F.regexp_extract(t, _CDATA, 1), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))).otherwise(t)
+    name = lambda t: F.when(t.startswith("<"), F.lower(F.regexp_extract(t, _NAME, 1))).otherwise("")
+    return F.transform(seen, lambda t: F.struct(name(t).alias("name"), raw(t).alias("raw")))
 
 
 def _opens(t: Column, tag: str | None, css: str | None) -> Column:
@@ -97,7 +99,7 @@ def words(found: Column) -> Column:
 
 def raw_attribute(section: Column, name: str) -> Column:
     """An attribute of a section's opening tag as written, null without it."""
-    return F.try_element_at(attribute_pairs(F.get(section, F.lit(0))["raw"]), F.lit(name))
+    return first_attribute(F.get(section, F.lit(0))["raw"], name)
 
 
 def attribute(section: Column, name: str) -> Column:
