@@ -2,7 +2,8 @@
 
 A file is read by as many tasks as it has splits: a record belongs to the split that it begins
 in. Its place is the split's first byte and its number among the task's records; ``placed`` makes
-one number of them. A gzipped file is one split, read record by record. A folder is one document
+one number of them. A gzipped file is one split: one task unpacks it, record by record, and deals the
+records out, so that what is done with them is many tasks' work. A folder is one document
 in parts, in the order of the parts' numbers. What a task holds is a record, whatever the file's size.
 """
 
@@ -30,7 +31,10 @@ def read(spark: SparkSession, paths: list[str], end: str) -> DataFrame:
     """``provider, file, block, at, value``: the records of each path's files, ``provider`` its place in the list."""
     def one(k: int, path: str) -> DataFrame:
         where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
-        return spark.read.text(path, lineSep=end).select(F.lit(k).alias("provider"), *where, "value")
+        text = spark.read.text(path, lineSep=end)
+        rows = text.select(F.lit(k).alias("provider"), *where, "value")
+        packed = any(f.endswith(".gz") for f in text.inputFiles())
+        return rows.repartition("file", "at") if packed else rows
 
     return reduce(DataFrame.unionByName, [one(k, p) for k, p in enumerate(paths)])
 
@@ -61,7 +65,8 @@ def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
     before = F.sum("width").over(Window.partitionBy(*keys).orderBy(*_by_file())) - F.col("width")  # a row a file
     files = files.select(*keys, "file", "end", before.alias("base"))
     where = parts.join(files, [*keys, "file"]).select(*keys, "file", "block", (F.col("base") + F.col("block") - F.col("first")).alias("_base"), F.when(F.col("block") == F.col("end"), F.col("last")).alias("_last"))
-    found = rows.join(where, [*keys, "file", "block"])
+    # broadcast, as rows of a packed file, or of a long split, all have one key: a sorted join would have them in one task
+    found = rows.join(F.broadcast(where), [*keys, "file", "block"])  # a row a split
     return found.withColumns({"seq": F.col("at") + F.col("_base"), "tail": F.coalesce(F.col("at") == F.col("_last"), F.lit(False))}).drop(*WHERE, "_base", "_last")
 
 

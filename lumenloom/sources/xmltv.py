@@ -66,7 +66,7 @@ def _parse(records: DataFrame) -> Guide:
     texts = {"title": "title", "sub_title": "sub-title", "desc": "desc", "category": "category"}
     raw = cut(_read(found, where, "title", **{c: _own(c) for c in ("channel", "start", "stop")}, **{c: _inner(t) for c, t in texts.items()}, icon=_of_inner("icon", "src")), "records")
     at = R.placed(raw, ["provider"])
-    lists = cut(at.where(F.size("listed") > 0).select("provider", "seq", F.posexplode("listed").alias("n", "element")), "listed")
+    lists = cut(at.where(F.size("listed") > 0).select("provider", "seq", F.posexplode("listed").alias("n", "element")).repartition("provider", "seq", "n"), "listed")  # a list is one record, its channels are read by many tasks
     ch = cut(_read(lists, ["provider", "seq", "n"], "display-name", id=_own("id"), name=_inner("display-name"), icon=_of_inner("icon", "src"), url=_inner("url")), "channels")
     drop(lists)
     order = ["provider", "seq", "n"]

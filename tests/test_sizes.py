@@ -1,10 +1,14 @@
 """What a table's size must not change: nothing is cut off, tables make more pages and files and not larger ones."""
 
+import gzip
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from lumenloom.plans.registry import all_queries
 from lumenloom.scratch import new_path
 from lumenloom.sources import m3u
+from lumenloom.sources import records as R
 
 
 def tables(spark, **named):
@@ -59,3 +63,26 @@ def test_one_attribute_is_the_first_of_its_name(spark):
     rows = spark.createDataFrame([(t,) for t in tags], "t string").select(M.first_attribute(F.col("t"), "x").alias("one"), F.try_element_at(M.attribute_pairs(F.col("t")), F.lit("x")).alias("of_all"))
     got = [tuple(r) for r in rows.collect()]
     assert [a for a, _ in got] == ["1", 'f"g', "", None, None] and all(a == b for a, b in got)
+
+
+def test_a_packed_file_is_unpacked_by_one_task_and_read_by_many(spark):
+    path = Path(new_path(spark, "packed").removeprefix("file://"))
+    path.mkdir(parents=True)
+    pieces = [f"{k} " + "x" * (k % 97) for k in range(5000)]
+    with gzip.open(path / "x.gz", "wt") as f:
+        f.write("</end".join(pieces))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would be one partition
+    try:
+        rows = R.read(spark, [str(path)], "</end")
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        got = [r.value for r in R.placed(rows, ["provider"]).orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 4000 and got == pieces
+
+
+def test_records_of_one_split_do_not_meet_in_one_task(spark):
+    rows = spark.range(2000).select(F.lit(0).alias("provider"), F.lit("f").alias("file"), F.lit(0).cast("long").alias("block"), F.col("id").alias("at"), F.lit("x").alias("value"))
+    placed = R.placed(rows, ["provider"])
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) > 1 and placed.agg(F.count_distinct("seq"), F.max("seq")).first()[:] == (2000, 1999)
