@@ -45,8 +45,8 @@ def playlist_hostile(spark, sf_dir):
     tail = F.when(kind == 1, "").when(kind == 2, F.concat(url, url)).when(kind == 4, F.concat(F.lit("\n#EXTGRP: Own"), url)).otherwise(url)
     attrs = F.when(kind == 3, ' tvg-id="x tvg-name=y').when(kind == 5, F.concat(F.lit(' tvg-logo="'), F.repeat(F.lit("x"), 20_000), F.lit('"'))).otherwise(' tvg-id="i" group-title="G"')
     lines = table(spark, sf_dir, "part").select(F.struct("p_partkey", F.concat(F.lit("#EXTINF:-1"), attrs, F.lit(",Part "), k, tail).alias("x")).alias("s"))
-    # every tenth part's line alone is 20,000 characters: a file for each hundredth of the parts
-    files = lines.groupBy((F.col("s.p_partkey") % 100).alias("f")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]), "\n").alias("body"))
+    # every tenth part's line alone is 20,000 characters: a file for each 200 parts, so that files grow in number and not in size
+    files = lines.groupBy(F.floor(F.col("s.p_partkey") / 200).alias("f")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]), "\n").alias("body"))
     entries, stats = m3u.parse(files.select(F.concat(F.lit("s"), F.col("f").cast("string")).alias("source_id"), F.col("f").cast("int").alias("source_order"), F.lit(0.0).alias("weight"), F.concat(F.lit("﻿#EXTM3U\r\n"), "body").alias("value")), max_bytes=10**9)
     counted = stats.agg(*[F.sum(c).cast("long").alias(c) for c in ("parsed", "missing_url", "extra_urls", "malformed")])
     return counted.crossJoin(entries.agg(F.max(F.length("tvg_logo")).alias("longest"), F.count_if(F.col("group_title") == "Own").alias("regrouped")))  # two one-row tables

@@ -86,3 +86,17 @@ def test_records_of_one_split_do_not_meet_in_one_task(spark):
     placed = R.placed(rows, ["provider"])
     sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) > 1 and placed.agg(F.count_distinct("seq"), F.max("seq")).first()[:] == (2000, 1999)
+
+
+def test_hostile_files_grow_in_number_and_not_in_size(spark, monkeypatch):
+    seen, own = [], m3u.parse
+
+    def parse(files, **limits):
+        seen.append(files.agg(F.count("*"), F.max(F.length("value"))).first()[:])
+        return own(files, **limits)
+
+    monkeypatch.setattr(m3u, "parse", parse)
+    for n in (2000, 6000):
+        all_queries()[0]["playlist_hostile"](spark, tables(spark, part=parts(spark, n, F.lit("t"))))
+    (few, small), (many, large) = seen
+    assert many == 3 * few and large < 1.1 * small
