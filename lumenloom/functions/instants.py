@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # The three forms of an instant.
 _GUIDE = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d[+-](?:[01]\d|2[0-3]):[0-5]\d$"
 _ISO = r"^\d{4}-\d\d-\d\dT\d\d:\d\d(?::\d\d)?(?:\.\d+)?(?:Z|[+-](?:[01]\d|2[0-3]):?[0-5]\d)?$"
-_XMLTV = r"^\d{14}\s*[+-]\d{4}$"
+_XMLTV = r"^\d{14}\s*[+-](?:[01]\d|2[0-3])[0-5]\d\z"
 
 # Month names of Turkish pages, January first.
 TURKISH_MONTHS = ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık")
@@ -95,7 +95,9 @@ def to_xmltv(x: Column) -> Column:
         offset = F.when(p["away"] == "", F.lit("+0000")).otherwise(F.translate(p["away"], ":", ""))
         return F.when((p["fraction"] == "") & _iso_seconds(p).isNotNull(), F.concat(F.translate(p["wall"], "-T:", ""), F.lit(" "), offset))
 
-    return _iso(x, laid_out)
+    # a strict instant is laid out by its places, without the parts that other forms may lack
+    strict = lambda t: F.when(_wall_seconds(_piece(t, 1, 19)).isNotNull(), F.concat(F.translate(_piece(t, 1, 19), "-T:", ""), F.lit(" "), F.translate(_piece(t, 20, 6), ":", "")))
+    return _bound(x, lambda t: F.when(t.rlike(_GUIDE), strict(t)).otherwise(_iso(t, laid_out)))
 
 
 def from_xmltv(x: Column) -> Column:
@@ -106,7 +108,7 @@ def from_xmltv(x: Column) -> Column:
         y, mo, d, h, mi, s = digits
         return F.concat(F.concat_ws("-", y, mo, d), F.lit("T"), F.concat_ws(":", h, mi, s), F.left(away, F.lit(3)), F.lit(":"), F.right(away, F.lit(2)))
 
-    sound = lambda i: F.when(_guide_epoch(i).isNotNull(), i)
+    sound = lambda i: F.when(_wall_seconds(_piece(i, 1, 19)).isNotNull(), i)
     return _bound(F.trim(x), lambda t: F.when(t.rlike(_XMLTV), _bound(instant(t), sound)))
 
 

@@ -37,13 +37,17 @@ def _text(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
 
+#: The characters of ``WS``, one by one.
+_BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(_BLANKS))
 
 
 def blank_to_null(x: Column) -> Column:
-    """Null where nothing but white space stands; other values unchanged."""
-    return F.when(trim(x) != "", x)
+    """Null where nothing but white space stands; other values unchanged. The first other character decides."""
+    return F.when(x.rlike(f"[^{WS[1:]}"), x)
 
 
 def collapse_whitespace(x: Column) -> Column:
@@ -177,7 +181,12 @@ def decode_entities(x: Column) -> Column:
         return F.when(t.rlike(f"^{reference}$"), F.coalesce(found, t)).otherwise(t)
 
     parts = lambda t: F.regexp_extract_all(t, F.lit(rf"(?s){reference}|[^&]+|&"), F.lit(0))
-    return let(_text(x), lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(parts(t), decoded), "")).otherwise(t))
+    # with no other "&" than those of the five references that every writer makes, replacing them, "&amp;" last, is the same pass
+    five = {k: ENTITIES[k] for k in ("lt", "gt", "quot", "apos", "amp")}
+    plain = lambda t: reduce(lambda c, kv: F.replace(c, F.lit(f"&{kv[0]};"), F.lit(kv[1])), five.items(), t)
+    other = lambda t: t.rlike(f"&(?!(?:{'|'.join(five)});)")
+    all_of = lambda t: F.array_join(F.transform(parts(t), decoded), "")
+    return let(_text(x), lambda t: F.when(~F.contains(t, F.lit("&")), t).when(other(t), all_of(t)).otherwise(plain(t)))
 
 
 _XML_ILLEGAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"

@@ -88,19 +88,25 @@ def union_channels(channels: DataFrame, keys: list[str]) -> DataFrame:
     return channels.groupBy(*keys).agg(first.alias("first"), have("icon"), have("url")).select(*[k for k in keys if k not in ("id", "provider")], F.col("first.provider").alias("provider"), F.col("first.seq").alias("seq"), F.col("first.id").alias("id"), F.col("first.name").alias("name"), "icon", "url")
 
 
+def _with_epochs(programmes: DataFrame) -> DataFrame:
+    """``_start`` and ``_stop`` as columns of their own: in conditions each mention would read the instants again."""
+    return programmes.withColumns({"_start": I.guide_epoch(F.col("start")), "_stop": I.guide_epoch(F.col("stop"))})
+
+
 def check_programmes(programmes: DataFrame, ids: DataFrame) -> DataFrame:
     """Programmes on folded ids with ``issue``: null for good rows. ``ids(provider, id)``: the channels that each provider lists."""
     known = ids.select(F.col("provider").alias("k_provider"), F.col("id").alias("k_id")).distinct()
     own = programmes.withColumn("channel", X.fold_channel_id(F.col("channel")))
     own = own.join(known, (F.col("provider") == F.col("k_provider")) & (F.col("channel") == F.col("k_id")), "left")
-    start, stop = I.guide_epoch(F.col("start")), I.guide_epoch(F.col("stop"))
+    own = _with_epochs(own)
+    start, stop = F.col("_start"), F.col("_stop")
     bad = F.lit("invalid-programme")
     issue = (
         F.when(X.blank_to_null(F.col("channel")).isNull(), bad)
         .when(F.col("k_id").isNull(), F.lit("unknown-channel"))
         .when(X.blank_to_null(F.col("title")).isNull() | start.isNull() | stop.isNull() | (stop <= start), bad)
     )
-    return own.withColumns({"issue": issue, **{c: X.blank_to_null(F.col(c)) for c in OPTIONAL}}).drop("k_provider", "k_id")
+    return own.withColumns({"issue": issue, **{c: X.blank_to_null(F.col(c)) for c in OPTIONAL}}).drop("k_provider", "k_id", "_start", "_stop")
 
 
 def dedupe_identity(programmes: DataFrame, within: list[str] | None = None) -> DataFrame:
@@ -127,7 +133,8 @@ def with_place(programmes: DataFrame) -> DataFrame:
 def normalise(guide: Guide) -> tuple[Guide, DataFrame]:
     """Each provider's guide made sound, and ``issue, count`` of what was left out."""
     marked = sanitize_channels(guide.channels)
-    channels = union_channels(marked.where("issue IS NULL").drop("issue"), ["provider", "id"])
+    # united once: the check, and all that is made of the guide, read this table
+    channels = cut(union_channels(marked.where("issue IS NULL").drop("issue"), ["provider", "id"]), "channels")
     # checked once: the good slots and the counts both read this table
     checked = cut(check_programmes(guide.programmes, channels), "checked")
     good = checked.where("issue IS NULL").drop("issue")
@@ -146,8 +153,8 @@ def validate(guide: Guide) -> None:
         F.count_if(X.blank_to_null(F.col("name")).isNull()).alias("channels without a name"),
         (F.count("*") - F.count_distinct("id")).alias("channel ids more than once"),
     ).first()
-    start, stop = I.guide_epoch(F.col("start")), I.guide_epoch(F.col("stop"))
-    worse = pr.agg(
+    start, stop = F.col("_start"), F.col("_stop")
+    worse = _with_epochs(pr).agg(
         F.count_if(X.blank_to_null(F.col("title")).isNull()).alias("programmes without a title"),
         F.count_if(start.isNull() | stop.isNull()).alias("programmes with an impossible instant"),
         F.count_if(stop <= start).alias("programmes that stop before they start"),

@@ -29,7 +29,8 @@ def sections(x: Column, tag: str, css: str | None = None) -> Column:
 
 def content(section: Column, tag: str) -> Column:
     """What a section's element holds."""
-    return F.regexp_replace(section, rf"(?is)^<[^>]*>|</{tag}\s*>.*$", "")
+    body = F.regexp_replace(section, r"^<[^>]*>", "")
+    return F.when(body.rlike(rf"(?i)</{tag}\s*>"), F.regexp_replace(body, rf"(?is)</{tag}\s*>.*$", "")).otherwise(body)
 
 
 def attributes(opening: Column) -> Column:
@@ -45,27 +46,46 @@ def attribute_pairs(head: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
 
 
-def first_attribute(head: Column, name: str) -> Column:
-    """One of them (``name`` in lower case), null without it: the tag is gone through once, and only this one's value is taken out."""
-    found = F.filter(F.regexp_extract_all(head, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: a.rlike(rf"(?i)^{re.escape(name)}\s*="))
+def listed_attributes(head: Column) -> Column:
+    """The attributes of a tag as they are written, name and value: the tag is gone through once."""
+    return F.regexp_extract_all(head, F.lit(_ATTRIBUTE), F.lit(0))
+
+
+def value_of(listed: Column, name: str) -> Column:
+    """The value of the first of ``listed_attributes`` with a name (in lower case), null without it."""
+    found = F.filter(listed, lambda a: a.rlike(rf"(?i)^{re.escape(name)}\s*="))
     return F.regexp_extract(F.get(found, F.lit(0)), r"""(?s)^[^=]*=\s*["'](.*)["']$""", 1)
 
 
+def first_attribute(head: Column, name: str) -> Column:
+    """One of a tag's attributes (``name`` in lower case), null without it: only this one's value is taken out."""
+    return value_of(listed_attributes(head), name)
+
+
 def attribute(opening: Column, name: str) -> Column:
     """An attribute's decoded value, null without it."""
     found = F.try_element_at(attributes(opening), F.lit(name))
     return F.when(found.isNotNull(), X.decode_entities(found))
 
 
-def children(body: Column) -> Column:
-    """The elements in ``body``, one pass, as ``tag, opening, text``: text as written, opening without its tag."""
-    group = lambda k: F.regexp_extract_all(body, F.lit(_CHILD), F.lit(k))
-    return F.arrays_zip(group(1).alias("tag"), group(2).alias("opening"), group(3).alias("text"))
+def listed_children(body: Column) -> Column:
+    """The elements in ``body`` as they are written: ``body`` is gone through once."""
+    return F.regexp_extract_all(body, F.lit(_CHILD), F.lit(0))
+
+
+def first_child(listed: Column, tag: str) -> Column:
+    """The first of ``listed_children`` of a kind, as written, null without one."""
+    return F.get(F.filter(listed, lambda c: c.rlike(rf"^<{re.escape(tag)}[\s/>]")), F.lit(0))
+
+
+def child_text(written: Column) -> Column:
+    """What one of them holds, as written."""
+    return F.regexp_extract(written, _CHILD, 3)
 
 
-def child(found: Column, tag: str) -> Column:
-    """The first child of a kind, null without one."""
-    return F.get(F.filter(found, lambda c: c["tag"] == tag), F.lit(0))
+def child_opening(written: Column) -> Column:
+    """Its opening without its tag."""
+    return F.regexp_extract(written, _CHILD, 2)
 
 
 def words(x: Column) -> Column:

@@ -6,6 +6,8 @@ refuses what is unsound.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,27 +25,29 @@ _END = "</programme"
 
 
 def _own(name: str) -> Column:
-    return F.try_element_at("attrs", F.lit(name))
+    return M.value_of(F.col("attrs"), name)
 
 
 def _inner(tag: str) -> Column:
-    return M.child(F.col("children"), tag)["text"]
+    return M.child_text(M.first_child(F.col("children"), tag))
 
 
 def _of_inner(tag: str, name: str) -> Column:
     """An attribute of the first child of a kind."""
-    return F.try_element_at(M.attributes(M.child(F.col("children"), tag)["opening"]), F.lit(name))
+    return M.first_attribute(M.child_opening(M.first_child(F.col("children"), tag)), name)
 
 
 def _read(elements: DataFrame, keys: list[str], tag: str, **texts: Column) -> DataFrame:
     """``keys`` and the given texts, decoded and trimmed, blank ones null; and ``lang``, the language that an element's first ``tag`` says it is in, null if it says none or no sound one.
 
-    ``element`` is its section. All texts of an element are decoded by one expression, over their array.
+    ``element`` is its section. Its attributes and its children are listed as written, in one pass each, and only what is
+    wanted is taken apart. All texts of an element are decoded by one expression, over their array.
     """
     kind = "channel" if tag == "display-name" else "programme"
-    elements = elements.select(*keys, M.attributes(F.col("element")).alias("attrs"), M.children(M.content(F.col("element"), kind)).alias("children"))
+    opening = F.regexp_extract("element", r"(?s)^<?[^>]*", 0)
+    elements = elements.select(*keys, M.listed_attributes(opening).alias("attrs"), M.listed_children(M.content(F.col("element"), kind)).alias("children"))
     own = texts | {"lang": _of_inner(tag, "lang")}
-    decoded = F.transform(F.array(*own.values()), lambda t: F.nullif(X.trim(X.decode_entities(t)), F.lit("")))
+    decoded = F.transform(F.array(*own.values()), lambda t: X.let(X.trim(X.decode_entities(t)), lambda v: F.when(v != "", v)))
     rows = elements.select(*keys, decoded.alias("x"))
     lang = F.get("x", F.lit(len(texts)))
     return rows.select(*keys, *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate(texts)], F.when(X.is_language_tag(lang), lang).alias("lang"))
@@ -126,7 +130,10 @@ def render(guide: Guide, generator: str = "lumenloom") -> DataFrame:
 
 def write(guide: Guide, path: str, gzip: bool = True, whole: bool = True) -> int:
     """One document below ``path``, in one file or, if not ``whole``, in parts that ``read`` takes for it; gives its size in bytes."""
-    blocks = cut(render(guide), "blocks")  # rendered once: ranges are sampled from it before it is sorted
+    # worked out once: the checks and the rendering read these tables
+    own = replace(guide, channels=cut(guide.channels, "channels"), programmes=cut(guide.programmes, "programmes"))
+    blocks = cut(render(own), "blocks")  # rendered once: ranges are sampled from it before it is sorted
+    drop(own.channels, own.programmes)
     size = R.write(blocks, ["part", "k1", "k2", "k3", "k4"], path, gzip, whole)
     drop(blocks)
     return size

@@ -100,3 +100,31 @@ def test_hostile_files_grow_in_number_and_not_in_size(spark, monkeypatch):
         all_queries()[0]["playlist_hostile"](spark, tables(spark, part=parts(spark, n, F.lit("t"))))
     (few, small), (many, large) = seen
     assert many == 3 * few and large < 1.1 * small
+
+
+def test_a_written_guide_is_worked_out_once(spark, monkeypatch):
+    from lumenloom.operators.guide import Guide
+    from lumenloom.sources import xmltv
+
+    seen, own = [], xmltv.render
+    monkeypatch.setattr(xmltv, "render", lambda guide: seen.append(guide) or own(guide))
+    ch = spark.createDataFrame([(0, 0, "A.tr", "A", None, None)], "provider int, seq long, id string, name string, icon string, url string")
+    at = lambda hour: F.concat(F.lit("2026-09-08T"), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00:00+03:00"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("sub_title", "desc", "category", "icon")]
+    pr = spark.range(5).select(F.lit(0).alias("provider"), F.col("id").alias("seq"), F.lit("A.tr").alias("channel"), at(F.col("id")).alias("start"), at(F.col("id") + 1).alias("stop"), F.lit("t").alias("title"), *none).distinct()
+    path = new_path(spark, "once")
+    xmltv.write(Guide(ch, pr), path)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (seen[0].channels, seen[0].programmes)]
+    assert not any("Aggregate" in p or "LogicalRDD" in p for p in plans)
+    assert xmltv.read(spark, [path]).programmes.count() == 5
+
+
+def test_an_element_is_gone_through_once_for_its_attributes_and_once_for_its_children(spark):
+    from lumenloom.sources import xmltv
+
+    texts = ['<programme Start = "1" start=\'2\' channel="c &amp; d"><title lang="sv">t</title><title>u</title><icon SRC=\'i\'/><desc/>', "<programme><titles>x</titles><icon>", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, element string")
+    found = xmltv._read(rows, ["k"], "title", start=xmltv._own("start"), channel=xmltv._own("channel"), title=xmltv._inner("title"), desc=xmltv._inner("desc"), icon=xmltv._of_inner("icon", "src"))
+    assert [tuple(r)[1:] for r in found.orderBy("k").collect()] == [("1", "c & d", "t", None, "i", "sv"), (None,) * 6, (None,) * 6]
+    # the element's own two lists, the attributes of the title and of the icon, references
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= 6
