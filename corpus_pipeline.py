@@ -14,7 +14,7 @@ from lumenloom.llm.mixing import repeat_rows
 from lumenloom.llm.near_dedup import drop_near
 from lumenloom.llm.packing import pack_with_public_tokenizer
 from lumenloom.llm.quality import keep_good
-from lumenloom.scratch import cut, drop_since, written
+from lumenloom.scratch import cut, drop, drop_since, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         before = written()
-        docs = stage(spark, docs, sf_dir)
+        read, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs, name)
             drop_since(before, docs)  # a stage's own tables go when its result is written
+            drop(read)  # and so does the table that it read
     return docs

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenloom.llm.bytewords import SLICE_BYTES, slices
-from lumenloom.llm.hot import bounded, join_hot, release
+from lumenloom.llm.hot import LEAST, MOST, bounded, join_hot, release
 from lumenloom.operators.graph import components
 from lumenloom.scratch import cut, drop
 
@@ -73,6 +73,26 @@ def _signed(rows: DataFrame, text: str, shingle: int, bands: int, per_band: int,
     return cut(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
 
 
+def _met(members: DataFrame) -> DataFrame:
+    """``members(key, node, n)``, a written table, of the buckets that more than one node has, with their bucket's least member ``center``, size ``c`` and two checksums of its members.
+
+    Most keys are one node's alone, so rows are dealt by key once, as narrow as they are, and what
+    has met nobody goes no further. Rows of hot keys are reduced in their tasks instead. A share
+    of the nodes tells which keys are hot; that decides how a bucket is put together and not what is in it.
+    """
+    about = {"center": F.min(F.struct("node", "n")), "c": F.count("*"), **{f"x{k}": F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)}}
+    limit = max(LEAST, members.count() // MOST)
+    share = 1 << max(0, (limit // 16).bit_length() - 1)  # 16 to 32 rows of a key with ``limit`` rows are looked at
+    seen = members.where(F.pmod(F.xxhash64("node", F.lit(8)), F.lit(share)) == 0)
+    hot = cut(seen.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= limit // share // 2).select("key"), "hot")
+    whole = Window.partitionBy("key")
+    dealt = members.join(F.broadcast(hot), "key", "left_anti").repartition("key")  # before the window, which would deal out what it looks at as well
+    cold = dealt.withColumns({k: x.over(whole) for k, x in about.items()})
+    rows = members.join(F.broadcast(hot), "key", "left_semi")
+    found = cut(rows.groupBy("key").agg(*[x.alias(k) for k, x in about.items()]), "found")  # as many rows as hot keys
+    return cold.unionByName(rows.join(F.broadcast(found), "key")).where("c > 1")
+
+
 def _named(signed: DataFrame, shingle: int, percent: int, text: str, slice_bytes: int) -> DataFrame:
     """``row, doc_id, n, best`` of all rows: ``best`` is the row that stands for the row's component, null for empty sets.
 
@@ -84,11 +104,13 @@ def _named(signed: DataFrame, shingle: int, percent: int, text: str, slice_bytes
     classes = cut(filled.groupBy("n", "d1", "d2").agg(F.min("row").alias("node"), best, F.count("*").alias("rows")), "classes")
     members = filled.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", F.explode("keys").alias("key"))
     members = cut(members, "members")
-    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    buckets = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("center"), F.count("*").alias("c"), *same).where("c > 1")
-    buckets = cut(buckets.groupBy("center", "c", "x1", "x2").agg(F.min("key").alias("key")).select("key", "center", "c"), "buckets")
-    shared = cut(join_hot(members, buckets, ["key"], "c"), "shared")
-    drop(members, buckets)
+    met = cut(_met(members), "met")
+    drop(members)
+    # a bucket's center is in it, so there is one such row a bucket
+    buckets = met.where(F.col("node") == F.col("center.node")).groupBy("center", "c", "x1", "x2").agg(F.min("key").alias("key")).select("key", "center", "c")
+    buckets = cut(buckets, "buckets")
+    shared = cut(join_hot(met.select("key", "node", "n"), buckets, ["key"], "c"), "shared")
+    drop(met, buckets)
     ids = cut(shared.select("node").distinct(), "candidates")
     wanted = ids.select(F.col("node").alias("row"))
     texts = signed.select("row", F.col(f"`{text}`").alias("text")).join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, "row", "left_semi")
@@ -290,12 +312,13 @@ def _compare_block(size: int, percent: int, slice_bytes: int):
 def _crossing(shared: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int, slice_bytes: int) -> DataFrame:
     """Links between members of one bucket that are in different components.
 
-    A bucket's members outside its largest component, in i blocks, are compared with all of its
+    Its least member was compared with all others and is left out. A bucket's members outside its largest component, in i blocks, are compared with all of its
     members, in j blocks: i times j independent groups of rows, each of two blocks at most. Pairs
     are not made into rows.
     """
     label = labels.withColumnRenamed("node", "l_node")
-    many = shared.where("c > 2").join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    others = shared.where("c > 2").where(F.col("node") != F.col("center.node"))
+    many = others.join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     many = cut(many, "many")
     parts = many.groupBy("key", "label").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     heads = parts.groupBy("key").agg(F.max(F.struct("k", "label", "s")).alias("head"), F.sum("k").alias("c"), F.sum("s").alias("s"), F.count("*").alias("parts"))

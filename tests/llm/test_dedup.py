@@ -133,3 +133,31 @@ def test_hot_keys_join_alike(spark):
     for how in ("inner", "left"):
         got = sorted(hot.join_hot(rows, table, ["k"], "n", how).select("k", "id", "n").collect(), key=str)
         assert got == sorted(rows.join(table, ["k"], how).select("k", "id", "n").collect(), key=str)
+
+
+def test_buckets_are_the_same_whether_their_rows_are_dealt_or_reduced_where_they_are(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lumenloom.llm import near_dedup
+
+    rng = random.Random(11)
+    rows = [(1, k, k % 9 + 1) for k in range(700)]  # one key of many nodes, some of a few, most of one
+    rows += [(2 + rng.randrange(300), k, 1) for k in range(700, 1000)] + [(1000 + k, k, 2) for k in range(4000)]
+    rows = list({(key, node): (key, node, n) for key, node, n in rows}.values())
+    members = spark.createDataFrame(rows, "key long, node long, n long").repartition(5).cache()
+    by = {}
+    for key, node, n in rows:
+        by.setdefault(key, []).append((node, n))
+    wanted = sorted((key, node, n, min(of), len(of)) for key, of in by.items() if len(of) > 1 for node, n in of)
+    for least in (256, 10**6):  # the large key is hot, and is not
+        monkeypatch.setattr(near_dedup, "LEAST", least)
+        met = near_dedup._met(members).cache()
+        got = sorted((r.key, r.node, r.n, tuple(r.center), r.c) for r in met.collect())
+        assert got == wanted
+        assert all(r.x == 1 for r in met.groupBy("key").agg(F.count_distinct("x1", "x2").alias("x")).collect())
+    shown = near_dedup._met(members)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # what is dealt by key is no wider than the rows are
+    at = next(k for k, line in enumerate(shown) if "RepartitionByExpression [key" in line)
+    assert not any("xxhash64(node" in line or "struct" in line for line in shown[at:] if "Repartition" not in line and "Filter" not in line)

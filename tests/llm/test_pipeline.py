@@ -140,3 +140,15 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_a_stage_that_is_written_leaves_no_other_table(spark, monkeypatch):
+    from lumenloom.scratch import new_path, written
+
+    path = new_path(spark, "docs")
+    spark.range(10).write.parquet(f"{path}/documents.parquet")
+    one = lambda spark, docs, sf_dir: cut(docs, "own").selectExpr("id + 1 AS id")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", one), ("b", one), ("c", lambda spark, docs, sf_dir: docs)])
+    before = written()
+    out = corpus_pipeline.run(spark, path)
+    assert len(written() - before) == 1 and sorted(r.id for r in out.collect()) == list(range(2, 12))
