@@ -66,29 +66,33 @@ def _reached(rows: DataFrame, bucket: str, need: str, keys: list[str]) -> DataFr
     return hit.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col(bucket).alias(f"r_{bucket}"), (F.col("upto") - F.col("size")).alias("before"))
 
 
-def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def mixed(rows: DataFrame, plan: DataFrame, sums: DataFrame | None = None, size: Column | None = None) -> DataFrame:
     """``rows(key, source, size, ..)`` with ``source_size, target, taken``.
 
     ``key`` is 16 hex digits or more, the seeded order. A source's fraction is its target less
     its whole epochs, rounded to words; documents take it in the order of their keys, each up to
-    its size, so a source takes exactly its rounded target.
+    its size, so a source takes exactly its rounded target. Wide rows that aren't written with
+    their sizes: ``sums(key, source, size)`` has them narrow, four digits of a key suffice there, and ``size`` is
+    worked out once for each row.
     """
     plan = plan.withColumns({"epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")})
     plan = plan.withColumn("need", (F.round("target") - F.col("epochs") * F.col("source_size")).cast("long")).withColumnRenamed("source", "p_source")
     hexa = lambda a: F.conv(F.substring("key", a, 2), 16, 10).cast("int")
-    out = rows.withColumns({"b1": hexa(1), "b2": hexa(3)}).join(plan, _same("source", "p_source"), "left").drop("p_source")
-    one = cut(_reached(out, "b1", "need", ["source"]), "reached")
-    out = out.join(one.withColumnRenamed("before", "before1"), _same("source", "r_source"), "left").drop("r_source").withColumnRenamed("r_b1", "t1")
-    inner = out.where(F.col("b1") == F.col("t1")).withColumn("need2", F.col("need") - F.col("before1"))
-    two = cut(_reached(inner, "b2", "need2", ["source"]), "reached")
-    out = out.join(two.withColumnRenamed("before", "before2"), _same("source", "r_source"), "left").drop("r_source").withColumnRenamed("r_b2", "t2")
+    begun = lambda of: of.withColumns({"b1": hexa(1), "b2": hexa(3)}).join(plan, _same("source", "p_source"), "left").drop("p_source")
+    narrow = begun(rows if sums is None else sums)
+    one = cut(_reached(narrow, "b1", "need", ["source"]), "reached").withColumnRenamed("before", "before1")
+    first = lambda of: of.join(one, _same("source", "r_source"), "left").drop("r_source").withColumnRenamed("r_b1", "t1")
+    inner = first(narrow).where(F.col("b1") == F.col("t1")).withColumn("need2", F.col("need") - F.col("before1"))
+    two = cut(_reached(inner, "b2", "need2", ["source"]), "reached").withColumnRenamed("before", "before2")
+    out = first(begun(rows)).join(two, _same("source", "r_source"), "left").drop("r_source").withColumnRenamed("r_b2", "t2")
     last = (F.col("b1") == F.col("t1")) & (F.col("b2") == F.col("t2"))
-    edge = out.where(last)
+    sized = lambda of: of if size is None else of.withColumn("size", size)
+    edge = sized(out.where(last))
     w = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("need") - F.col("before1") - F.col("before2") - F.coalesce(F.sum("size").over(w), F.lit(0))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left)))
     early = (F.col("b1") < F.col("t1")) | ((F.col("b1") == F.col("t1")) & (F.col("b2") < F.col("t2")))
-    rest = out.where(~F.coalesce(last, F.lit(False))).withColumn("part", F.when(early, F.col("size")).otherwise(F.lit(0)))
+    rest = sized(out.where(~F.coalesce(last, F.lit(False)))).withColumn("part", F.when(early, F.col("size")).otherwise(F.lit(0)))
     return edge.unionByName(rest).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
 
 
@@ -110,11 +114,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHAR
 
 
 def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken whole, and a last time cut after the words that are left (at most one such row a source)."""
+    """The mix itself: each row of ``docs`` as often as it is taken whole, and a last time cut after the words that are left (at most one such row a source).
+
+    ``docs`` is read for the sizes and again for the rows, which are not written in between: it should be a table.
+    """
     names = docs.columns
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row"))
-    rows = cut(packed.withColumn("key", order_key(seed, F.col("doc_id"))), "sizes")
-    out = mixed(rows, cut(targets(rows.select("source", "size"), weights, percent, epochs), "targets"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row"))
+    rows = packed.withColumn("key", order_key(seed, F.col("doc_id")))
+    size = word_count(F.col(f"row.c{names.index('text')}"))
+    sums = cut(rows.select("source", size.alias("size"), F.substring("key", 1, 4).alias("key")), "sizes")
+    out = mixed(rows, cut(targets(sums.select("source", "size"), weights, percent, epochs), "targets"), sums, size)
     out = out.withColumn("times", F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0))).withColumn("over", F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("times").cast("int")), F.when(F.col("over") > 0, F.array("over")).otherwise(F.array().cast("array<bigint>")))
     out = out.select("row", F.explode(copies).alias("words"))

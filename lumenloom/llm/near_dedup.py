@@ -1,7 +1,9 @@
 """Near duplicates: fast similarity sketches, banding, and exact verification on full sets.
 
 Rows with equal shingle sets are one class, a node of its own whatever ids its rows have. Classes
-meet in buckets of equal band keys; buckets with the same members are one. Within a bucket no
+meet in buckets of equal band keys; buckets with the same members are one. What buckets tie
+together, directly or not, is a cluster. A cluster that fits into a block is one group of rows:
+each of its texts is dealt once, and all are compared with all. Larger clusters go by buckets, and within a bucket no
 list of pairs is made: first every member is compared with the bucket's least member, which joins
 most large groups; then, with the components known, the members outside a bucket's largest
 component are compared with the others. Both happen in blocks of texts, whose sets are multiplied
@@ -33,13 +35,12 @@ BROADCAST_IDS = 2_000_000
 BLOCK, BLOCK_SHINGLES, _COLUMNS = 128, 500_000, 4096
 
 
-def _signatures(size: int, bands: int, rows: int, slice_bytes: int, text: str):
+def _signatures(size: int, bands: int, rows: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lumenloom.llm import sketching as S
 
         for batch in batches:
-            column = batch.column(batch.schema.names.index(text))
-            for part in slices(column, slice_bytes):
+            for part in slices(batch.column(2), slice_bytes):
                 values, begin = S.shingle_sets(part, size)
                 n = np.diff(begin)
                 keys = S.band_keys(S.sketches(values, begin, bands * rows), bands, rows)
@@ -47,7 +48,7 @@ def _signatures(size: int, bands: int, rows: int, slice_bytes: int, text: str):
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].reshape(-1).view(np.int64)))
                 d = [pa.array(S.set_digest(values, begin, s).view(np.int64)) for s in (11, 12)]
                 own = batch.slice(part.first, len(part))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n.astype(np.int64)), *d, listed], [*own.schema.names, "n", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([*own.columns[:2], pa.array(n.astype(np.int64)), *d, listed], ["row", "doc_id", "n", "d1", "d2", "keys"])
         release()
 
     return run
@@ -66,15 +67,15 @@ def _part(node: Column, blocks: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(seed)), blocks)
 
 
-def _signed(rows: DataFrame, text: str, shingle: int, bands: int, per_band: int, slice_bytes: int) -> DataFrame:
-    """A written table of ``rows`` with ``row``, a number of its own, set size, digests and band keys."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    signed = rows.mapInArrow(_signatures(shingle, bands, per_band, slice_bytes, text), f"{kinds}, n long, d1 long, d2 long, keys array<bigint>")
-    return cut(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+def _signed(rows: DataFrame, text: str, shingle: int, bands: int, per_band: int, slice_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: ``rows`` with ``row``, a number of its own, and by that number ``doc_id``, set size, digests and band keys."""
+    numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    read = numbered.select("row", "doc_id", F.col(f"`{text}`"))
+    return numbered, cut(read.mapInArrow(_signatures(shingle, bands, per_band, slice_bytes), "row long, doc_id long, n long, d1 long, d2 long, keys array<bigint>"), "signed")
 
 
 def _met(members: DataFrame) -> DataFrame:
-    """``members(key, node, n)``, a written table, of the buckets that more than one node has, with their bucket's least member ``center``, size ``c`` and two checksums of its members.
+    """``members(key, node, n)``, read from written tables, of the buckets that more than one node has, with their bucket's least member ``center``, size ``c`` and two checksums of its members.
 
     Most keys are one node's alone, so rows are dealt by key once, as narrow as they are, and what
     has met nobody goes no further. Rows of hot keys are reduced in their tasks instead. A share
@@ -93,44 +94,78 @@ def _met(members: DataFrame) -> DataFrame:
     return cold.unionByName(rows.join(F.broadcast(found), "key")).where("c > 1")
 
 
-def _named(signed: DataFrame, shingle: int, percent: int, text: str, slice_bytes: int) -> DataFrame:
+def _hinted(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _clusters(shared: DataFrame) -> DataFrame:
+    """``node, cluster`` of all members, a written table: a cluster is what buckets tie together; null if it is too large for one block."""
+    tied = components(shared.select(F.col("center.node").alias("u"), F.col("node").alias("v")))
+    own = shared.select("node", "n").distinct().join(tied, "node", "left")
+    own = cut(own.select("node", "n", F.coalesce("label", "node").alias("label")), "tied")
+    sums = cut(own.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")), "clusters")
+    small = (F.col("c") <= BLOCK) & (F.col("s") <= BLOCK_SHINGLES)
+    out = cut(join_hot(own, sums, ["label"], "c").select("node", F.when(small, F.col("label")).alias("cluster")), "candidates")
+    drop(tied, own, sums)
+    return out
+
+
+def _labels(shared: DataFrame, texts: DataFrame, shingle: int, percent: int, slice_bytes: int) -> DataFrame:
+    """``node, label`` of each member that is not itself the least of its component, a written table. ``texts(node, cluster, text)``."""
+    dealt = texts.where("cluster IS NOT NULL").select("cluster", "node", "text").repartition("cluster").sortWithinPartitions("cluster", "node")
+    labels = cut(dealt.mapInArrow(_compare_cluster(shingle, percent, slice_bytes), "node long, label long"), "labels")
+    large = cut(texts.where("cluster IS NULL").select("node", "text"), "texts")
+    if large.isEmpty():
+        drop(large)
+        return labels
+    # a bucket is in one cluster as a whole
+    own = cut(shared.join(large.select("node"), "node", "left_semi"), "shared")
+    links = cut(_star_links(own, large, shingle, percent, slice_bytes), "links")
+    found = components(links)
+    more = cut(_crossing(own, found, large, shingle, percent, slice_bytes), "links")
+    if not more.isEmpty():
+        # each node's tie to its component says what the links said, in one step
+        old, found = found, components(found.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
+        drop(old)
+    out = cut(labels.unionByName(found), "labels")
+    drop(large, own, links, more, labels, found)
+    return out
+
+
+def _named(numbered: DataFrame, signed: DataFrame, shingle: int, percent: int, text: str, slice_bytes: int) -> DataFrame:
     """``row, doc_id, n, best`` of all rows: ``best`` is the row that stands for the row's component, null for empty sets.
 
     A component's best row is that with the smallest id, null ids last, and of those the first as
-    written. ``signed`` needs ``doc_id``.
+    written. The tables are those of ``_signed``.
     """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     filled = signed.where("n > 0")
     classes = cut(filled.groupBy("n", "d1", "d2").agg(F.min("row").alias("node"), best, F.count("*").alias("rows")), "classes")
-    members = filled.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", F.explode("keys").alias("key"))
-    members = cut(members, "members")
+    # a class' other rows are left out; they are looked for by digests, so that band keys stay where they are
+    copies = join_hot(signed.select("row", "n", "d1", "d2"), classes.where("rows > 1").select("n", "d1", "d2", "node", "rows"), ["n", "d1", "d2"], "rows")
+    copies = cut(copies.where("row <> node").select("row"), "copies")
+    members = filled.join(_hinted(copies), "row", "left_anti").select(F.col("row").alias("node"), "n", F.explode("keys").alias("key"))
+    if copies.count() > BROADCAST_IDS:  # that join deals out all rows, which shouldn't be done for each reading
+        members = cut(members, "members")
     met = cut(_met(members), "met")
-    drop(members)
+    drop(members, copies)
     # a bucket's center is in it, so there is one such row a bucket
     buckets = met.where(F.col("node") == F.col("center.node")).groupBy("center", "c", "x1", "x2").agg(F.min("key").alias("key")).select("key", "center", "c")
     buckets = cut(buckets, "buckets")
     shared = cut(join_hot(met.select("key", "node", "n"), buckets, ["key"], "c"), "shared")
     drop(met, buckets)
-    ids = cut(shared.select("node").distinct(), "candidates")
-    wanted = ids.select(F.col("node").alias("row"))
-    texts = signed.select("row", F.col(f"`{text}`").alias("text")).join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, "row", "left_semi")
-    texts = cut(texts.select(F.col("row").alias("node"), "text"), "texts")
-
-    links = cut(_star_links(shared, texts, shingle, percent, slice_bytes), "links")
-    labels = components(links)
-    more = cut(_crossing(shared, labels, texts, shingle, percent, slice_bytes), "links")
-    if not more.isEmpty():
-        # each node's tie to its component says what the links said, in one step
-        old, labels = labels, components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
-        drop(old)
-    drop(shared, ids, texts, links, more)
+    ids = _clusters(shared)
+    texts = numbered.select(F.col("row").alias("node"), F.col(f"`{text}`").alias("text")).join(_hinted(ids), "node")
+    texts = cut(texts.select("node", "cluster", "text"), "texts")
+    labels = _labels(shared, texts, shingle, percent, slice_bytes)
+    drop(shared, ids, texts)
     # class to component, component to its best row: both from tables of one row a class
     owned = cut(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "owned")
     bests = cut(owned.groupBy("label").agg(F.min("best").alias("best"), F.count("*").alias("c")), "bests")
     found = cut(join_hot(owned.select("n", "d1", "d2", "rows", "label"), bests, ["label"], "c").select("n", "d1", "d2", "rows", "best"), "found")
     out = join_hot(signed.select("row", "doc_id", "n", "d1", "d2"), found, ["n", "d1", "d2"], "rows", "left").select("row", "doc_id", "n", "best")
     out = cut(out, "named")
-    drop(classes, owned, bests, found)
+    drop(classes, labels, owned, bests, found)
     return out
 
 
@@ -146,8 +181,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = SIMILARITY_PER
     """
     bounded(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = _signed(texts, "text", shingle, bands, rows, slice_bytes)
-    out = _named(signed, shingle, percent, "text", slice_bytes)
+    numbered, signed = _signed(texts, "text", shingle, bands, rows, slice_bytes)
+    out = _named(numbered, signed, shingle, percent, "text", slice_bytes)
+    drop(numbered, signed)
     component = F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -166,12 +202,11 @@ def drop_near(docs: DataFrame, shingle: int = 5, percent: int = SIMILARITY_PERCE
     ident, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     rows = own.withColumns({"doc_id": F.col(ident).cast("long"), "__lm_text": F.col(text).cast("string")}) if docs.schema[text_col].dataType.typeName() != "string" else own.withColumn("doc_id", F.col(ident).cast("long"))
     read = "__lm_text" if "__lm_text" in rows.columns else text
-    signed = _signed(rows, read, shingle, BANDS, ROWS, SLICE_BYTES)
-    found = _named(signed, shingle, percent, read, SLICE_BYTES)
+    numbered, signed = _signed(rows, read, shingle, BANDS, ROWS, SLICE_BYTES)
+    found = _named(numbered, signed, shingle, percent, read, SLICE_BYTES)
     gone = cut(found.where(F.col("n") > 0).where(F.col("row") != F.col("best.row")).select("row"), "gone")
-    drop(found)
-    hinted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return signed.join(hinted, "row", "left_anti").select(*names).toDF(*docs.columns)
+    drop(found, signed)
+    return numbered.join(_hinted(gone), "row", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def common_sizes(sizes: np.ndarray, values: np.ndarray, other_sizes: np.ndarray, other_values: np.ndarray) -> np.ndarray:
@@ -252,6 +287,26 @@ def _links(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
+def _compare_cluster(size: int, percent: int, slice_bytes: int):
+    """Each member that is linked, over others if need be, with a lesser one: it and the least. Members come in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for (node,), sets in _groups(batches, 1, size, slice_bytes):
+            linked = _alike(sets, sets, percent)
+            label, last = np.arange(len(sets)), None
+            while last is None or (label != last).any():
+                last, label = label, np.where(linked, label, len(sets)).min(axis=1)
+            other = label != np.arange(len(sets))
+            found.append(np.stack([node[other], node[label[other]]]))
+        if found:
+            node, label = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], ["node", "label"])
+        release()
+
+    return run
+
+
 def _compare_star(size: int, percent: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []

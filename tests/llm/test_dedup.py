@@ -161,3 +161,32 @@ def test_buckets_are_the_same_whether_their_rows_are_dealt_or_reduced_where_they
     # what is dealt by key is no wider than the rows are
     at = next(k for k, line in enumerate(shown) if "RepartitionByExpression [key" in line)
     assert not any("xxhash64(node" in line or "struct" in line for line in shown[at:] if "Repartition" not in line and "Filter" not in line)
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_clusters_by_blocks_and_by_buckets_are_the_same(spark, copies, monkeypatch, block):
+    """Of a cluster that fits into a block each text is dealt once; larger ones go by buckets."""
+    from lumenloom.llm import near_dedup
+
+    by_buckets, star = [], near_dedup._star_links
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "_star_links", lambda shared, *a: by_buckets.append(shared.select("node").distinct().count()) or star(shared, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(spark.createDataFrame(copies, "doc_id long, text string").repartition(3), 2).collect()}
+    assert got == brute_force(copies, 2)
+    if block == 4:
+        assert len(by_buckets) == 1 and by_buckets[0] > 4
+    else:
+        assert not by_buckets
+
+
+def test_near_stage_leaves_the_rows_and_no_band_keys(spark, copies):
+    from pyspark.sql import functions as F
+
+    from lumenloom.scratch import written
+
+    before = written()
+    df = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
+    kept = drop_near(df.withColumn("more", F.col("doc_id")), 2)
+    assert kept.count() > 0
+    left = [spark.read.parquet(p).columns for p in written() - before]
+    assert sum("c1" in c for c in left) == 1 and not any("keys" in c for c in left)

@@ -152,3 +152,13 @@ def test_a_stage_that_is_written_leaves_no_other_table(spark, monkeypatch):
     before = written()
     out = corpus_pipeline.run(spark, path)
     assert len(written() - before) == 1 and sorted(r.id for r in out.collect()) == list(range(2, 12))
+
+
+def test_mixing_writes_no_text(spark, rough):
+    """Rows are read again from the table given, not written beside it with their sizes."""
+    from lumenloom.scratch import written
+
+    before = written()
+    assert STAGES["mix_sources"](spark, rough, SF).count() > 0
+    left = [spark.read.parquet(p).columns for p in written() - before]
+    assert left and not any({"row", "text"} & set(c) for c in left)
